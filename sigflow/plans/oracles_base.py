@@ -53,7 +53,7 @@ CTES = {
         SELECT gene FROM v_genes WHERE gene % 3 <> 0""",
     "v_fingerprints": """
         SELECT vec_id AS drug_id, label AS moa,
-               list_filter(range(len(embedding)), i -> embedding[i + 1] > 0) AS bits
+               list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0) AS bits
         FROM embeddings""",
     "v_results": """
         WITH ev AS (
@@ -62,12 +62,40 @@ CTES = {
         SELECT cor_type, cell, moa, median(value) AS r FROM ev GROUP BY ALL
         UNION ALL
         SELECT cor_type, cell, '__inter_moa__', median(value) FROM ev GROUP BY cor_type, cell""",
+    "v_depmap": """
+        SELECT 'CELL_' || CAST(c_custkey % 700 AS VARCHAR) AS CCLEName,
+               CASE WHEN c_custkey % 5 = 0 THEN 'N/A'
+                    WHEN c_custkey % 11 = 0 THEN NULL
+                    ELSE 'CVCL_' || CAST(c_custkey % 40 AS VARCHAR) END AS RRID,
+               c_custkey AS _ord
+        FROM customer""",
+    "v_trans": """
+        SELECT 'CELL_' || CAST(o_custkey % 900 AS VARCHAR) AS ccle_name,
+               'ENSG' || CAST(o_orderkey % 50 AS VARCHAR) || '.' || CAST(o_orderkey % 3 AS VARCHAR) AS gene,
+               o_custkey % 900 AS _cell_ord, avg(o_totalprice) AS value
+        FROM orders GROUP BY ALL""",
+    "v_metab": """
+        SELECT 'CELL_' || CAST(l_orderkey % 800 AS VARCHAR) AS ccle_name,
+               'M' || CAST(l_partkey % 40 AS VARCHAR) AS metabolite,
+               l_orderkey % 800 AS _cell_ord, avg(l_extendedprice) AS value
+        FROM lineitem GROUP BY ALL""",
+    "v_metab_map": """
+        SELECT 'M' || CAST(p_partkey % 36 AS VARCHAR) AS Query,
+               CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'C' || CAST(p_partkey % 30 AS VARCHAR) END AS KEGG,
+               p_partkey AS _ord
+        FROM part""",
+    "v_gene_map": """
+        SELECT 'ENSG' || CAST(p_partkey % 60 AS VARCHAR) AS query,
+               CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE 'SYM' || CAST(p_partkey % 37 AS VARCHAR) END AS symbol,
+               p_partkey AS _ord
+        FROM part""",
 }
 
 # Dependencies between proxy CTEs (emitted in this order).
 _ORDER = ["v_signatures", "v_signatures_long", "v_signatures_null", "v_sig_info",
           "v_available", "v_compounds", "v_cells", "v_genes", "v_pathways",
-          "v_pathway_names", "v_measured", "v_fingerprints", "v_results"]
+          "v_pathway_names", "v_measured", "v_fingerprints", "v_results",
+          "v_depmap", "v_trans", "v_metab", "v_metab_map", "v_gene_map"]
 
 
 def with_views(body: str) -> str:

@@ -8,6 +8,7 @@ import importlib
 # ORACLES (name -> DuckDB SQL; absent for property-checked operators).
 MODULES = [
     "sigflow.plans.q_neighbors",
+    "sigflow.plans.q_tables",
 ]
 
 

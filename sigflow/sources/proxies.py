@@ -148,3 +148,59 @@ def results_long(spark: SparkSession, sf: str) -> DataFrame:
     null = (ev.groupBy("cor_type", "cell").agg(F.median("value").alias("r"))
             .select("cor_type", "cell", F.lit("__inter_moa__").alias("moa"), "r"))
     return per_label.unionByName(null)
+
+
+def depmap(spark: SparkSession, sf: str) -> DataFrame:
+    """v_depmap(CCLEName, RRID, _ord): CCLE name -> registry id, with
+    duplicate names, 'N/A' and NULL ids."""
+    c = table(spark, sf, "customer")
+    return c.select(
+        F.concat(F.lit("CELL_"), (F.col("c_custkey") % 700).cast("string")).alias("CCLEName"),
+        F.when(F.col("c_custkey") % 5 == 0, F.lit("N/A"))
+        .when(F.col("c_custkey") % 11 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("CVCL_"), (F.col("c_custkey") % 40).cast("string"))).alias("RRID"),
+        F.col("c_custkey").alias("_ord"))
+
+
+def transcriptomics(spark: SparkSession, sf: str) -> DataFrame:
+    """v_trans(ccle_name, gene, value, _cell_ord): cell x gene in long form,
+    versioned gene ids."""
+    o = table(spark, sf, "orders")
+    return (o.select(
+        F.concat(F.lit("CELL_"), (F.col("o_custkey") % 900).cast("string")).alias("ccle_name"),
+        F.concat(F.lit("ENSG"), (F.col("o_orderkey") % 50).cast("string"), F.lit("."),
+                 (F.col("o_orderkey") % 3).cast("string")).alias("gene"),
+        F.col("o_totalprice").alias("value"),
+        (F.col("o_custkey") % 900).alias("_cell_ord"))
+        .groupBy("ccle_name", "gene", "_cell_ord").agg(F.avg("value").alias("value")))
+
+
+def metabolomics(spark: SparkSession, sf: str) -> DataFrame:
+    """v_metab(ccle_name, metabolite, value, _cell_ord): cell x metabolite."""
+    li = table(spark, sf, "lineitem")
+    return (li.select(
+        F.concat(F.lit("CELL_"), (F.col("l_orderkey") % 800).cast("string")).alias("ccle_name"),
+        F.concat(F.lit("M"), (F.col("l_partkey") % 40).cast("string")).alias("metabolite"),
+        F.col("l_extendedprice").alias("value"),
+        (F.col("l_orderkey") % 800).alias("_cell_ord"))
+        .groupBy("ccle_name", "metabolite", "_cell_ord").agg(F.avg("value").alias("value")))
+
+
+def metabolite_map(spark: SparkSession, sf: str) -> DataFrame:
+    """v_metab_map(Query, KEGG, _ord): metabolite name -> KEGG id."""
+    p = table(spark, sf, "part")
+    return p.select(
+        F.concat(F.lit("M"), (F.col("p_partkey") % 36).cast("string")).alias("Query"),
+        F.when(F.col("p_partkey") % 4 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("C"), (F.col("p_partkey") % 30).cast("string"))).alias("KEGG"),
+        F.col("p_partkey").alias("_ord"))
+
+
+def gene_map(spark: SparkSession, sf: str) -> DataFrame:
+    """v_gene_map(query, symbol, _ord): unversioned gene id -> symbol."""
+    p = table(spark, sf, "part")
+    return p.select(
+        F.concat(F.lit("ENSG"), (F.col("p_partkey") % 60).cast("string")).alias("query"),
+        F.when(F.col("p_partkey") % 13 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("SYM"), (F.col("p_partkey") % 37).cast("string"))).alias("symbol"),
+        F.col("p_partkey").alias("_ord"))
