@@ -27,13 +27,16 @@ CTES = {
     "v_available": """
         SELECT event_id AS sig_id FROM events WHERE event_id % 10 <> 0""",
     "v_compounds": """
+        WITH pp AS (SELECT *, CASE WHEN p_partkey % 17 = 0 THEN NULL
+                    ELSE upper(replace(p_name, ' ', '')) || '-' || CAST(p_size % 9 AS VARCHAR) END AS smiles
+                    FROM part)
         SELECT p_partkey AS pert_id, p_name AS cmap_name,
                CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END AS moa,
-               p_type AS cluster_id, p_size AS target, p_partkey * 2 AS _ord
-        FROM part
+               p_type AS cluster_id, p_size AS target, smiles AS canonical_smiles, p_partkey * 2 AS _ord
+        FROM pp
         UNION ALL
-        SELECT p_partkey, p_name, p_brand || '_alt', p_type, p_size + 100, p_partkey * 2 + 1
-        FROM part WHERE p_partkey % 3 = 0""",
+        SELECT p_partkey, p_name, p_brand || '_alt', p_type, p_size + 100, smiles, p_partkey * 2 + 1
+        FROM pp WHERE p_partkey % 3 = 0""",
     "v_cells": """
         SELECT c_custkey AS cell_iname,
                CASE WHEN c_custkey % 5 = 0 THEN 'N/A' ELSE 'CVCL_' || CAST(c_nationkey AS VARCHAR) END

@@ -356,7 +356,7 @@ QUERIES = {
 
 # ---------------------------------------------------------------- oracles
 _FIRST_COMP = """first_comp AS (
-    SELECT pert_id, cmap_name, moa, cluster_id, _ord FROM v_compounds
+    SELECT pert_id, cmap_name, moa, cluster_id, canonical_smiles, _ord FROM v_compounds
     QUALIFY row_number() OVER (PARTITION BY pert_id ORDER BY _ord) = 1)"""
 _JN1 = _FIRST_COMP + """,
 jn1 AS (SELECT s.sig_id, m.moa FROM v_signatures s JOIN (

@@ -9,6 +9,7 @@ import importlib
 MODULES = [
     "sigflow.plans.q_neighbors",
     "sigflow.plans.q_tables",
+    "sigflow.plans.q_aggregates",
 ]
 
 

@@ -63,19 +63,23 @@ def available_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compounds(spark: SparkSession, sf: str) -> DataFrame:
-    """v_compounds(pert_id, cmap_name, moa, cluster_id, target, _ord): several
-    rows per pert_id, ``_ord`` is the file order."""
+    """v_compounds(pert_id, cmap_name, moa, cluster_id, target,
+    canonical_smiles, _ord): several rows per pert_id, ``_ord`` is the file
+    order; the structure string stands in for a SMILES."""
     p = table(spark, sf, "part")
+    smiles = F.when(F.col("p_partkey") % 17 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(F.upper(F.regexp_replace("p_name", " ", "")), F.lit("-"),
+                 (F.col("p_size") % 9).cast("string")))
     first = p.select(
         F.col("p_partkey").alias("pert_id"), F.col("p_name").alias("cmap_name"),
         F.when(F.col("p_partkey") % 7 == 0, F.lit(None)).otherwise(F.col("p_brand")).alias("moa"),
         F.col("p_type").alias("cluster_id"), F.col("p_size").alias("target"),
-        (F.col("p_partkey") * 2).alias("_ord"))
+        smiles.alias("canonical_smiles"), (F.col("p_partkey") * 2).alias("_ord"))
     second = p.where(F.col("p_partkey") % 3 == 0).select(
         F.col("p_partkey").alias("pert_id"), F.col("p_name").alias("cmap_name"),
         F.concat(F.col("p_brand"), F.lit("_alt")).alias("moa"),
         F.col("p_type").alias("cluster_id"), (F.col("p_size") + 100).alias("target"),
-        (F.col("p_partkey") * 2 + 1).alias("_ord"))
+        smiles.alias("canonical_smiles"), (F.col("p_partkey") * 2 + 1).alias("_ord"))
     return first.unionByName(second)
 
 
