@@ -10,6 +10,7 @@ MODULES = [
     "sigflow.plans.q_neighbors",
     "sigflow.plans.q_tables",
     "sigflow.plans.q_aggregates",
+    "sigflow.plans.q_correlations",
 ]
 
 
