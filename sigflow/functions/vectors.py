@@ -41,18 +41,47 @@ def sq_dist(a, b) -> Column:
     return vsum(F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) ** 2))
 
 
-def center(v) -> Column:
-    """Subtract the vector's own mean."""
-    m = vsum(v) / F.size(_c(v))
-    return F.transform(_c(v), lambda x: x.cast("double") - m)
+def _unit_rows(mat: np.ndarray) -> np.ndarray:
+    """Centre each row and scale it to unit norm; constant rows -> NaN."""
+    c = mat - mat.mean(axis=1, keepdims=True)
+    n = np.sqrt(np.einsum("ij,ij->i", c, c))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = c / n[:, None]
+    out[n == 0] = np.nan
+    return out
+
+
+def _map_rows(s: pd.Series, fn) -> pd.Series:
+    """Apply a row-matrix function to a Series of equal-length arrays,
+    batch-wise (rows of other lengths or NULL handled one by one)."""
+    out = [None] * len(s)
+    lens = s.map(lambda a: -1 if a is None else len(a)).to_numpy()
+    for L in np.unique(lens):
+        if L < 0:
+            continue
+        idx = np.flatnonzero(lens == L)
+        mat = np.vstack([np.asarray(s.iloc[i], dtype=np.float64) for i in idx]) if L > 0 \
+            else np.zeros((len(idx), 0))
+        res = fn(mat)
+        for r, i in enumerate(idx):
+            row = res[r]
+            out[i] = None if (L == 0 or np.isnan(row).any()) else row
+    return pd.Series(out, index=s.index, dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def unit_centered_udf(s: pd.Series) -> pd.Series:
+    """Arrow-batched unit-centred vectors (NULL for constant vectors)."""
+    return _map_rows(s, _unit_rows)
 
 
 def unit_centered(v) -> Column:
     """Centre then divide by the norm: the dot product of two such vectors is
-    their Pearson correlation. NULL for a constant vector (undefined r)."""
-    c = center(v)
-    n = F.sqrt(vsum(F.transform(c, lambda x: x * x)))
-    return F.when(n > 0, F.transform(c, lambda x: x / n))
+    their Pearson correlation. NULL for a constant vector (undefined r).
+
+    One vectorised pass per Arrow batch; the equivalent higher-order-function
+    expression re-evaluates the mean and norm per element."""
+    return unit_centered_udf(_c(v))
 
 
 def _avg_ranks_np(x: np.ndarray) -> np.ndarray:

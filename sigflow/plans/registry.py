@@ -11,6 +11,7 @@ MODULES = [
     "sigflow.plans.q_tables",
     "sigflow.plans.q_aggregates",
     "sigflow.plans.q_correlations",
+    "sigflow.plans.q_enrich",
 ]
 
 
