@@ -12,6 +12,7 @@ MODULES = [
     "sigflow.plans.q_aggregates",
     "sigflow.plans.q_correlations",
     "sigflow.plans.q_enrich",
+    "sigflow.plans.q_compounds",
 ]
 
 
