@@ -30,19 +30,19 @@ def hex_int(h: Column, start: int, length: int) -> Column:
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], order_col: str, tie_col: str,
-                out: str = "_idx") -> DataFrame:
+                out: str = "_idx", prefix_len: int = 2) -> DataFrame:
     """0-based position of each row inside its key group when ordered by
     ``order_col`` (an md5 hex string), then ``tie_col``.
 
     Equal to ``row_number() over (partition by keys order by order_col) - 1``
-    but skew-safe: rows are split into 256 sub-groups by the first two hex
-    digits of the md5, sub-group sizes are counted (a table of at most 256
+    but skew-safe: rows are split into 16^prefix_len sub-groups (256 by
+    default; 65536 for a global numbering) by the first hex digits of the md5, sub-group sizes are counted (a table of at most 256
     rows per key), and their running offsets added to a row_number taken
     inside each sub-group. A key holding a third of all rows is therefore
     sorted by 256 tasks, not one.
     """
     keys = list(keys)
-    b = F.substring(F.col(order_col), 1, 2)
+    b = F.substring(F.col(order_col), 1, prefix_len)
     x = df.withColumn("_bkt", b)
     counts = x.groupBy(*keys, "_bkt").agg(F.count("*").alias("_cnt"))
     wo = Window.partitionBy(*keys).orderBy("_bkt")

@@ -442,7 +442,7 @@ ORACLES = {
         WHERE metabolite NOT IN (SELECT metabolite FROM known)"""),
     "FLT8_project": with_views("SELECT sig_id, pert_id AS drug_id, cell_iname FROM v_sig_info"),
     "FLT9_float32": with_views("""
-        SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS row_id,
+        SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS row_id,
                round(CAST(CAST(l_quantity AS FLOAT) AS DOUBLE), 6) AS f0,
                round(CAST(CAST(l_discount AS FLOAT) AS DOUBLE), 6) AS f1,
                round(CAST(CAST(l_tax AS FLOAT) AS DOUBLE), 6) AS f2 FROM lineitem"""),

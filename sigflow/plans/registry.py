@@ -13,6 +13,7 @@ MODULES = [
     "sigflow.plans.q_correlations",
     "sigflow.plans.q_enrich",
     "sigflow.plans.q_compounds",
+    "sigflow.plans.q_ml",
 ]
 
 

@@ -131,11 +131,13 @@ def fingerprints(spark: SparkSession, sf: str, threshold: float = 0.0) -> DataFr
 
 
 def regression(spark: SparkSession, sf: str) -> DataFrame:
-    """v_regression: lineitem as an ML table with two groupings."""
+    """v_regression: lineitem as an ML table with two groupings; row_id is
+    (order, line, part, supplier, price in cents), unique in every table."""
     li = table(spark, sf, "lineitem")
     return li.select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"),
-                    F.col("l_linenumber").cast("string")).alias("row_id"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in
+                           ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                    F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")).alias("row_id"),
         F.col("l_suppkey").alias("cell_id"), F.col("l_partkey").alias("drug_id"),
         F.array(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")).alias("features"),
         F.array(F.col("l_extendedprice"),
