@@ -12,6 +12,7 @@ from sigflow.operators import compounds as CH
 from sigflow.operators import ml as M
 from sigflow.plans.oracles_base import with_views
 from sigflow.plans.q_tables import _CMAP
+from sigflow.session import cut_lineage
 from sigflow.sources import proxies as px
 
 # Fixed values of the reference's pipeline: test share 0.2, seed 42,
@@ -62,11 +63,16 @@ def drug_vectors(spark, sf, encoding="fingerprint"):
 
 
 def ml_table(spark, sf, encoding="fingerprint"):
+    """The feature table, written once to the shared checkpoint folder: every
+    fit, split and fold below reads it instead of re-running the joins."""
     obs, y, trans, metab = ml_inputs(spark, sf)
     if encoding in ("onehot", "label"):
         idx = CH.category_index(obs, "drug_id")
-        return M.prepare_features(obs, y, trans, metab, drug_index=idx, encoding=encoding)
-    return M.prepare_features(obs, y, trans, metab, drug_vectors(spark, sf, encoding), encoding=encoding)
+        t, pws, names = M.prepare_features(obs, y, trans, metab, drug_index=idx, encoding=encoding)
+    else:
+        t, pws, names = M.prepare_features(obs, y, trans, metab, drug_vectors(spark, sf, encoding),
+                                           encoding=encoding)
+    return cut_lineage(t), pws, names
 
 
 def regression(spark, sf):
@@ -96,7 +102,7 @@ def ml3_scale_train(spark, sf):
 
 def _one_feature(spark, sf):
     d = M.split(regression(spark, sf), "random", TEST_SIZE, SEED)
-    return d.withColumn("features", F.array(F.col("features")[0]))
+    return cut_lineage(d.withColumn("features", F.array(F.col("features")[0])))
 
 
 def ml4_ridge_1feature(spark, sf):
@@ -129,7 +135,7 @@ def ml13_kfold(spark, sf):
 # ------------------------------------------------------------------ property-checked queries
 def _ml_split(spark, sf, strategy="random", encoding="fingerprint"):
     t, pws, names = ml_table(spark, sf, encoding)
-    return M.scale_train(M.split(t, strategy, TEST_SIZE, SEED)), pws, names
+    return cut_lineage(M.scale_train(M.split(t, strategy, TEST_SIZE, SEED))), pws, names
 
 
 def _model_metrics(name):
@@ -189,7 +195,7 @@ def ml15_grid(spark, sf):
     for enc in ENCODINGS:
         t, _, _ = ml_table(spark, sf, enc)
         for strat in SPLITS:
-            d = M.scale_train(M.split(t, strat, TEST_SIZE, SEED))
+            d = cut_lineage(M.scale_train(M.split(t, strat, TEST_SIZE, SEED)))
             summary, _, _ = M.train_and_evaluate(d)
             rows += [(enc, strat) + tuple(r[:4]) for r in summary]
     return rounded(spark.createDataFrame(
