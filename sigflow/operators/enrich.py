@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Prerank size limits applied after intersecting sets with the ranked genes
 # (library defaults of the reference's call).
@@ -42,9 +43,10 @@ def _walk_stats(hits: DataFrame, keys: list[str], rank: str, weight: str, n_col:
          .withColumn("_csum", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)))
          .withColumn("_nhit", F.count("*").over(wa))
          .withColumn("_wsum", F.sum(weight).over(wa)))
-    miss = (F.col(rank) - F.col("_i")) / (F.col(n_col) - F.col("_nhit"))
-    x = (x.withColumn("_after", F.col("_csum") / F.col("_wsum") - miss)
-         .withColumn("_before", (F.col("_csum") - F.col(weight)) / F.col("_wsum") - miss))
+    # H = N or W = 0 make the walk undefined: NULL (try_divide), not an error
+    miss = F.try_divide((F.col(rank) - F.col("_i")).cast("double"), (F.col(n_col) - F.col("_nhit")).cast("double"))
+    x = (x.withColumn("_after", F.try_divide(F.col("_csum"), F.col("_wsum")) - miss)
+         .withColumn("_before", F.try_divide(F.col("_csum") - F.col(weight), F.col("_wsum")) - miss))
     return x.groupBy(*keys).agg(F.max("_after").alias("hi"), F.min("_before").alias("lo"),
                                 F.first("_nhit").alias("n_hits"), F.first(n_col).alias("n_ranked"),
                                 F.first("_wsum").alias("_wsum"))
@@ -136,3 +138,108 @@ def enrichment_vectors(df: DataFrame, membership: DataFrame, key: str = "sig_id"
     schema = f"{key} {key_type}, {set_col} {set_type}, es double, n_hits bigint"
     out = df.select(key, vec_col).mapInPandas(fn, schema)
     return out.withColumn("es", F.when(~F.isnan("es"), F.col("es")))
+
+
+# ------------------------------------------------------------------ ANA10
+_erf = np.frompyfunc(__import__("math").erf, 1, 1)
+POISSON_EXACT_MAX = 2000   # above this count the Poisson CDF uses a normal approximation
+
+
+def _norm_cdf(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1.0 + _erf(z / np.sqrt(2.0)).astype(np.float64))
+
+
+def _poisson_cdf(k: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """P(X <= k) for X ~ Poisson(lam); k (m,) integers, lam (r,) -> (m, r).
+    Exact summation of the pmf in log space up to POISSON_EXACT_MAX, normal
+    approximation with continuity correction beyond."""
+    from math import lgamma
+    k = np.floor(np.maximum(k, -1)).astype(np.int64)
+    out = np.empty((len(k), len(lam)))
+    kmax = int(k.max()) if len(k) else -1
+    if kmax <= POISSON_EXACT_MAX:
+        i = np.arange(max(kmax, 0) + 1)
+        lg = np.array([lgamma(v + 1.0) for v in i])
+        logp = -lam[None, :] + i[:, None] * np.log(lam)[None, :] - lg[:, None]
+        cdf = np.cumsum(np.exp(logp), axis=0)                     # (kmax+1, r)
+        out[:] = np.where(k[:, None] < 0, 0.0, cdf[np.clip(k, 0, None)])
+    else:
+        out[:] = _norm_cdf((k[:, None] + 0.5 - lam[None, :]) / np.sqrt(lam[None, :]))
+    return np.minimum(out, 1.0)
+
+
+def kernel_cdf(long_df: DataFrame, sample: str, gene: str, value: str, kernel: str = "gaussian",
+               block_rows: int = 1024) -> DataFrame:
+    """ANA10 stage 1: per gene, the kernel estimate of the CDF of each
+    sample's value over all samples of that gene.
+
+    Gaussian: F_ij = mean_k Phi((x_ij - x_ik) / h_i), h_i = sd_i / 4;
+    Poisson:  F_ij = mean_k P(X <= x_ij; x_ik + 0.5).
+    Constant genes (sd = 0) are dropped. Each gene's samples are cut into
+    blocks of ``block_rows``; every (query block, reference block) pair is one
+    task that returns partial sums, so a gene measured on very many samples
+    is spread over many tasks."""
+    if kernel not in ("gaussian", "poisson"):
+        raise ValueError(f"unknown kernel {kernel!r}")
+    x = long_df.select(sample, gene, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    st = x.groupBy(gene).agg(F.count("*").alias("_n"), F.stddev_samp("_x").alias("_sd"))
+    st = st.where(F.col("_sd") > 0).withColumn(
+        "_nb", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int"))
+    x = x.join(st, gene).withColumn("_blk", F.pmod(F.xxhash64(F.col(sample)), F.col("_nb")).cast("int"))
+    seq = F.sequence(F.lit(0), F.col("_nb") - 1)
+    q = x.select(sample, gene, "_x", "_sd", F.col("_blk").alias("_qb"), F.explode(seq).alias("_cb"),
+                 F.lit(0).alias("_role"))
+    r = x.select(sample, gene, "_x", "_sd", F.explode(seq).alias("_qb"), F.col("_blk").alias("_cb"),
+                 F.lit(1).alias("_role"))
+    stype = long_df.schema[sample].dataType
+    gtype = long_df.schema[gene].dataType
+    schema = T.StructType([T.StructField(gene, gtype), T.StructField(sample, stype),
+                           T.StructField("_ps", T.DoubleType())])
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        qq = pdf[pdf["_role"] == 0]
+        rr = pdf[pdf["_role"] == 1]
+        if len(qq) == 0:
+            return pd.DataFrame({gene: [], sample: [], "_ps": []})
+        xq = qq["_x"].to_numpy()
+        xr = rr["_x"].to_numpy()
+        if len(xr) == 0:
+            ps = np.zeros(len(xq))
+        elif kernel == "gaussian":
+            h = float(qq["_sd"].iloc[0]) / 4.0
+            ps = _norm_cdf((xq[:, None] - xr[None, :]) / h).sum(axis=1)
+        else:
+            ps = _poisson_cdf(xq, xr + 0.5).sum(axis=1)
+        return pd.DataFrame({gene: qq[gene].to_numpy(), sample: qq[sample].to_numpy(), "_ps": ps})
+
+    parts = q.unionByName(r).groupBy(gene, "_qb", "_cb").applyInPandas(fn, schema)
+    return (parts.groupBy(gene, sample).agg(F.sum("_ps").alias("_s"))
+            .join(st.select(gene, "_n"), gene)
+            .select(sample, gene, (F.col("_s") / F.col("_n")).alias("cdf")))
+
+
+def gsva(long_df: DataFrame, membership: DataFrame, sample: str = "sample", gene: str = "gene",
+         value: str = "value", set_col: str = "pathway_id", kernel: str = "gaussian",
+         min_size: int = 1, max_size: int = 100000, tau: float = 1.0) -> DataFrame:
+    """ANA10 (GSVA, Haenzelmann et al. 2013, max-diff score): kernel CDF per
+    gene (stage 1), genes ranked inside each sample by decreasing CDF with
+    symmetric weights |p/2 - rank|^tau (stage 2), hits-only walk per
+    (sample, set) with ES = max(0, max) + min(0, min) (stage 3). Sets are
+    intersected with the genes of the matrix, then filtered by that size
+    (``set_size``); ``n_hits`` counts the members measured in the sample."""
+    cdf = kernel_cdf(long_df, sample, gene, value, kernel)
+    # set sizes after intersecting with the genes of the matrix (one row per set)
+    mem = membership.select(set_col, gene).distinct()
+    sizes = (mem.join(long_df.select(gene).distinct(), gene).groupBy(set_col)
+             .agg(F.count("*").alias("set_size"))
+             .where((F.col("set_size") >= min_size) & (F.col("set_size") <= max_size)))
+    w = Window.partitionBy(sample).orderBy(F.col("cdf").desc(), F.col(gene))
+    ranked = (cdf.withColumn("_r", F.row_number().over(w))
+              .withColumn("_N", F.count("*").over(Window.partitionBy(sample))))
+    hits = (ranked.join(mem.join(sizes.select(set_col), set_col), gene)
+            .withColumn("_w", F.pow(F.abs(F.col("_N") / 2.0 - F.col("_r")), F.lit(tau))))
+    stt = _walk_stats(hits, [sample, set_col], "_r", "_w", "_N")
+    es = F.when((F.col("n_hits") < F.col("n_ranked")) & (F.col("_wsum") > 0),
+                F.greatest(F.col("hi"), F.lit(0.0)) + F.least(F.col("lo"), F.lit(0.0)))
+    return (stt.join(sizes, set_col)
+            .select(sample, set_col, es.alias("es"), "n_hits", "set_size"))

@@ -14,6 +14,7 @@ MODULES = [
     "sigflow.plans.q_enrich",
     "sigflow.plans.q_compounds",
     "sigflow.plans.q_ml",
+    "sigflow.plans.q_reduce",
 ]
 
 
