@@ -15,6 +15,7 @@ MODULES = [
     "sigflow.plans.q_compounds",
     "sigflow.plans.q_ml",
     "sigflow.plans.q_reduce",
+    "sigflow.plans.q_io",
 ]
 
 
