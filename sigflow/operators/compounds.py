@@ -59,6 +59,20 @@ def ngram_bits(text_col: str, n: int = 5, n_bits: int = 2048) -> F.Column:
     return bits_udf(F.col(text_col))
 
 
+def dense_bits(bits_col: str, n_bits: int) -> F.Column:
+    """On-bit list -> dense 0/1 vector (Arrow-batched, O(bits) per row)."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def dense_udf(s: pd.Series) -> pd.Series:
+        out = np.zeros((len(s), n_bits))
+        for r, b in enumerate(s):
+            if b is not None and len(b):
+                out[r, np.asarray(b, dtype=np.int64)] = 1.0
+        return pd.Series(list(out), index=s.index)
+
+    return dense_udf(F.col(bits_col))
+
+
 def featurize(df: DataFrame, key: str, text: str, n: int = 5, n_bits: int = 2048,
               fn: Callable[[str], Sequence[int] | None] | None = None) -> DataFrame:
     """CHM1: one row per key with its on-bit set; strings that give no bit

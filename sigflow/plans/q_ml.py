@@ -51,9 +51,7 @@ def drug_vectors(spark, sf, encoding="fingerprint"):
     comp = A.first_compound_row(px.compounds(spark, sf)).where(F.col("canonical_smiles").isNotNull())
     comp = comp.select(F.col("pert_id").alias("drug_id"), "canonical_smiles")
     fp = CH.featurize(comp, "drug_id", "canonical_smiles", 3, FP_BITS)
-    dense = fp.select("drug_id", F.transform(F.sequence(F.lit(0), F.lit(FP_BITS - 1)),
-                                             lambda i: F.when(F.array_contains("bits", i), 1.0)
-                                             .otherwise(0.0)).alias("vec"))
+    dense = fp.select("drug_id", CH.dense_bits("bits", FP_BITS).alias("vec"))
     if encoding == "fingerprint":
         return dense
     desc = CH.descriptors(comp, "drug_id", "canonical_smiles").select("drug_id", F.col("desc").alias("vec"))
@@ -71,7 +69,8 @@ def ml_table(spark, sf, encoding="fingerprint"):
         t, pws, names = M.prepare_features(obs, y, trans, metab, drug_index=idx, encoding=encoding)
     else:
         t, pws, names = M.prepare_features(obs, y, trans, metab, drug_vectors(spark, sf, encoding),
-                                           encoding=encoding)
+                                           encoding=encoding,
+                                           drug_dim=FP_BITS if encoding == "fingerprint" else None)
     return cut_lineage(t), pws, names
 
 
