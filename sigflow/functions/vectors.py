@@ -138,7 +138,11 @@ def attach_group_values(df: DataFrame, per_group: DataFrame, group_cols: Sequenc
     g = list(group_cols)
     if g:
         return df.join(per_group.select(*g, *cols), g)
-    return df.select("*", *[per_group.select(c).scalar().alias(c) for c in cols])
+    # one scalar subquery carrying every value (a subquery per column would
+    # run the aggregation once per column)
+    packed = per_group.select(F.struct(*cols).alias("_vals")).scalar()
+    return df.withColumn("_vals", packed).select(
+        *[c for c in df.columns], *[F.col("_vals")[c].alias(c) for c in cols])
 
 
 def standardize(df: DataFrame, vec_col: str, group_cols: Sequence[str] = (),

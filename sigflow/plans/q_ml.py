@@ -87,6 +87,17 @@ def ml1_prepare_features(spark, sf):
                             F.aggregate("y", F.lit(0.0), lambda a, x: a + x).alias("y_sum")))
 
 
+def jn8_basal_features(spark, sf):
+    """Basal blocks (transcriptomic, metabolomic pathway scores of the
+    signature's cell line) attached to every harmonised signature."""
+    obs, y, trans, metab = ml_inputs(spark, sf)
+    idx = CH.category_index(obs, "drug_id")
+    t, pws, _ = M.prepare_features(obs, y, trans, metab, drug_index=idx, encoding="label")
+    basal = F.slice("features", 1, 2 * len(pws))
+    return rounded(t.select("row_id", "cell_id", F.size(basal).alias("n_basal"),
+                            F.aggregate(basal, F.lit(0.0), lambda a, x: a + x).alias("basal_sum")))
+
+
 def _split_q(strategy):
     def q(spark, sf):
         return M.split(regression(spark, sf), strategy, TEST_SIZE, SEED).select(
@@ -202,7 +213,7 @@ def ml15_grid(spark, sf):
 
 
 QUERIES = {
-    "ML1_prepare_features": ml1_prepare_features,
+    "ML1_prepare_features": ml1_prepare_features, "JN8_basal_features": jn8_basal_features,
     "ML2_split_random": _split_q("random"), "ML2_split_cell_line": _split_q("cell_line"),
     "ML2_split_drug": _split_q("drug"),
     "ML3_scale_train": ml3_scale_train, "ML4_ridge_1feature": ml4_ridge_1feature,
@@ -274,6 +285,16 @@ ORACLES = {
                round(tbs.s + mbs.s + bits.n_on, 6) AS feature_sum, round(ys.y_sum, 6) AS y_sum
         FROM l1000_h l JOIN tbs USING (cell_id) JOIN mbs USING (cell_id) JOIN ys ON ys.row_id = l.sig_id
         JOIN bits ON bits.pert_id = l.drug_id WHERE bits.n_on > 0"""),
+    "JN8_basal_features": with_views("WITH " + _CMAP + f""",
+        tb AS (SELECT cell_id, CAST(regexp_extract(gene, '^ENSG(\\d+)', 1) AS INTEGER) % {N_PW} AS pw,
+                      avg(value) AS v FROM trans_h GROUP BY ALL),
+        mb AS (SELECT cell_id, CAST(substr(metabolite, 2) AS INTEGER) % {N_PW} AS pw, avg(value) AS v
+               FROM metab_h GROUP BY ALL),
+        tbs AS (SELECT cell_id, sum(v) AS s FROM tb GROUP BY cell_id),
+        mbs AS (SELECT cell_id, sum(v) AS s FROM mb GROUP BY cell_id),
+        ys AS (SELECT DISTINCT sig_id FROM v_signatures_long)
+        SELECT l.sig_id AS row_id, l.cell_id, {2 * N_PW} AS n_basal, round(tbs.s + mbs.s, 6) AS basal_sum
+        FROM l1000_h l JOIN tbs USING (cell_id) JOIN mbs USING (cell_id) JOIN ys USING (sig_id)"""),
     "ML2_split_random": _split_sql("row_id"),
     "ML2_split_cell_line": _split_sql("cell_id"),
     "ML2_split_drug": _split_sql("drug_id"),

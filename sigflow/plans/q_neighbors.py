@@ -49,6 +49,7 @@ def agg17_median_over_cells(spark, sf):
 
 QUERIES = {
     "ANA6_knn": ana6_knn,
+    "WIN5_knn_rank": ana6_knn,
     "ANA7_class_purity": ana7_class_purity,
     "AGG16_global_purity": agg16_global_purity,
     "ANA8_cell_purity": ana8_cell_purity,
@@ -97,6 +98,8 @@ def _knn_ctes(per_cell: bool) -> str:
 ORACLES = {
     "ANA6_knn": with_views(_knn_ctes(False) + """
         SELECT q_id, c_id, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM nn"""),
+    "WIN5_knn_rank": with_views(_knn_ctes(False) + """
+        SELECT q_id, c_id, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM nn"""),
     "ANA7_class_purity": with_views(_knn_ctes(False) + """
         SELECT moa, round(mean, 6) AS mean, round(std, 6) AS std, count,
                round(random_baseline, 6) AS random_baseline, round(lift, 6) AS lift,

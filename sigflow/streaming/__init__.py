@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streaming layer (no watermarks, windows over event
+time, or stateful operators), so nothing is built here. Every operator in
+this package is a plain DataFrame transformation and can be applied to each
+micro-batch of a Structured Streaming query through ``foreachBatch`` when
+new signatures arrive incrementally.
+"""
