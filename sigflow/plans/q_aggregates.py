@@ -271,7 +271,7 @@ ORACLES = {
         SELECT cluster_id, count(*) AS n_rows FROM v_sig_info JOIN first_comp USING (pert_id)
         WHERE cluster_id IS NOT NULL GROUP BY cluster_id"""),
     "WIN2_rank_desc": with_views("""
-        SELECT sig_id, gene, row_number() OVER (PARTITION BY sig_id ORDER BY v DESC, gene) AS rank
+        SELECT sig_id, gene, CAST(row_number() OVER (PARTITION BY sig_id ORDER BY v DESC, gene) AS INTEGER) AS rank
         FROM v_signatures_long"""),
     "WIN3_avg_rank": with_views("""
         SELECT sig_id, gene, rank() OVER (PARTITION BY sig_id ORDER BY v)
