@@ -44,12 +44,19 @@ def ml_inputs(spark, sf):
     mnum = F.substring("metabolite", 2, 10).cast("int")
     metab = (mh.groupBy("cell_id", F.concat(F.lit("P"), (mnum % N_PW).cast("string")).alias("pathway"))
              .agg(F.avg("value").alias("value")))
-    return obs, y, trans, metab
+    # each input is read several times while the feature table is built
+    # (pathway names, common cells, vectors): materialise them once
+    return tuple(cut_lineage(d) for d in (obs, y, trans, metab))
 
 
-def drug_vectors(spark, sf, encoding="fingerprint"):
+def drug_vectors(spark, sf, encoding="fingerprint", drugs=None):
+    """Drug encodings; with ``drugs`` only those drugs are encoded (the
+    filter runs before the Python featuriser, which Spark cannot push a join
+    through)."""
     comp = A.first_compound_row(px.compounds(spark, sf)).where(F.col("canonical_smiles").isNotNull())
     comp = comp.select(F.col("pert_id").alias("drug_id"), "canonical_smiles")
+    if drugs is not None:
+        comp = comp.join(drugs.select("drug_id").distinct(), "drug_id", "left_semi")
     fp = CH.featurize(comp, "drug_id", "canonical_smiles", 3, FP_BITS)
     dense = fp.select("drug_id", CH.dense_bits("bits", FP_BITS).alias("vec"))
     if encoding == "fingerprint":
@@ -68,7 +75,7 @@ def ml_table(spark, sf, encoding="fingerprint"):
         idx = CH.category_index(obs, "drug_id")
         t, pws, names = M.prepare_features(obs, y, trans, metab, drug_index=idx, encoding=encoding)
     else:
-        t, pws, names = M.prepare_features(obs, y, trans, metab, drug_vectors(spark, sf, encoding),
+        t, pws, names = M.prepare_features(obs, y, trans, metab, drug_vectors(spark, sf, encoding, obs),
                                            encoding=encoding,
                                            drug_dim=FP_BITS if encoding == "fingerprint" else None)
     return cut_lineage(t), pws, names
