@@ -290,16 +290,16 @@ ORACLES = {
     "AGG8_coverage_stats": with_views("WITH " + _COV + """
         SELECT round(avg(coverage), 6) AS mean, round(median(coverage), 6) AS median,
                round(stddev_samp(coverage), 6) AS std, round(min(coverage), 6) AS min,
-               round(max(coverage), 6) AS max, count_if(coverage = 1.0) AS pathways_full_coverage,
-               count_if(coverage > 0 AND coverage < 1.0) AS pathways_partial_coverage,
-               count_if(coverage = 0) AS pathways_no_coverage, count(*) AS n_pathways_total
+               round(max(coverage), 6) AS max, CAST(count_if(coverage = 1.0) AS BIGINT) AS pathways_full_coverage,
+               CAST(count_if(coverage > 0 AND coverage < 1.0) AS BIGINT) AS pathways_partial_coverage,
+               CAST(count_if(coverage = 0) AS BIGINT) AS pathways_no_coverage, count(*) AS n_pathways_total
         FROM cov"""),
     "AGG9_intersections": with_views("WITH " + _INTER + """
         SELECT ts.threshold, coalesce(c.met_pathways_count, 0) AS met_pathways_count,
                coalesce(c.met_and_rna_count, 0) AS met_and_rna_count, coalesce(c.count, 0) AS count
         FROM ts LEFT JOIN (SELECT threshold, count(*) AS met_pathways_count,
-                                  count_if(in_rna) AS met_and_rna_count,
-                                  count_if(in_rna AND in_l1000) AS count
+                                  CAST(count_if(in_rna) AS BIGINT) AS met_and_rna_count,
+                                  CAST(count_if(in_rna AND in_l1000) AS BIGINT) AS count
                            FROM flags GROUP BY threshold) c USING (threshold)"""),
     "AGG9_intersection_members": with_views("WITH " + _INTER + """
         SELECT threshold, pathway_id FROM flags WHERE in_rna AND in_l1000"""),

@@ -414,7 +414,8 @@ ORACLES = {
     "FLT1_report": with_views(f"""
         WITH c AS (SELECT *, sig_id IN (SELECT sig_id FROM v_available) AS found FROM v_sig_info
                    WHERE tas > CAST({T_ACT} AS DOUBLE) AND pert_type = '{ACTIVE_TYPE}')
-        SELECT count(*) AS n_candidates, count_if(found) AS n_found, count_if(NOT found) AS n_dropped,
+        SELECT count(*) AS n_candidates, CAST(count_if(found) AS BIGINT) AS n_found,
+               CAST(count_if(NOT found) AS BIGINT) AS n_dropped,
                count(DISTINCT CASE WHEN found THEN cell_iname END) AS n_cells,
                count(DISTINCT CASE WHEN found THEN pert_id END) AS n_drugs FROM c"""),
     "FLT2_drop_null_features": with_views("""
