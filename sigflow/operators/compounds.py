@@ -126,16 +126,27 @@ def descriptors(df: DataFrame, key: str, text: str,
 
 # ------------------------------------------------------------------ CHM3
 def tanimoto_pairs(sets: DataFrame, key: str, bits: str = "bits", threshold: float = 0.0,
-                   group_cols: Sequence[str] = ()) -> DataFrame:
+                   group_cols: Sequence[str] = (), salt_rows: int = 4096) -> DataFrame:
     """CHM3: (group..., a, b, inter, sim) for a < b in the same group with
     |A^B| > 0 and sim >= threshold; sim = |A^B| / (|A| + |B| - |A^B|)."""
     g = list(group_cols)
     s = sets.select(*g, F.col(key).alias("_k"), F.col(bits).alias("_b")).withColumn("_n", F.size("_b"))
     tok = s.select(*g, "_k", "_n", F.explode("_b").alias("_t"))
     if threshold <= 0:
-        a = tok.select(*g, F.col("_k").alias("a"), F.col("_n").alias("na"), "_t")
-        b = tok.select(*g, F.col("_k").alias("b"), F.col("_n").alias("nb"), "_t")
-        pairs = (a.join(b, g + ["_t"]).where(F.col("a") < F.col("b"))
+        # every pair sharing a bit is output. A bit held by very many sets is
+        # salted: its rows are split into S sub-buckets (S grows with the
+        # bit's frequency) and every (bucket, bucket) pair is its own join
+        # key, so one hot bit becomes S^2 balanced tasks.
+        freq = tok.groupBy(*g, "_t").agg(
+            F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") / F.lit(float(salt_rows))))).cast("int")
+            .alias("_nsalt"))
+        ts = tok.join(freq, g + ["_t"]).withColumn("_salt", F.pmod(F.xxhash64("_k"), F.col("_nsalt")).cast("int"))
+        seq = F.sequence(F.lit(0), F.col("_nsalt") - 1)
+        a = ts.select(*g, F.col("_k").alias("a"), F.col("_n").alias("na"), "_t",
+                      F.col("_salt").alias("_sa"), F.explode(seq).alias("_sb"))
+        b = ts.select(*g, F.col("_k").alias("b"), F.col("_n").alias("nb"), "_t",
+                      F.explode(seq).alias("_sa"), F.col("_salt").alias("_sb"))
+        pairs = (a.join(b, g + ["_t", "_sa", "_sb"]).where(F.col("a") < F.col("b"))
                  .groupBy(*g, "a", "b", "na", "nb").agg(F.count("*").alias("inter")))
     else:
         t = float(threshold)
