@@ -57,3 +57,16 @@ def test_silhouette_rules():
     s = silhouette(D, np.array([0, 0, 1]))                     # singleton scores 0
     a, b = 1.0, 4.0
     assert abs(s - (2 * (b - a) / b + 0.0) / 3) < 1e-12
+
+
+def test_tanimoto_salted_hot_bit_equals_plain(spark):
+    import random
+
+    from sigflow.operators import compounds as CH
+    random.seed(1)
+    rows = [(i, sorted({0} | set(random.sample(range(1, 200), 5)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, bits array<int>")
+    salted = CH.tanimoto_pairs(df, "id", salt_rows=10)      # bit 0 (held by all) split 4 ways
+    plain = CH.tanimoto_pairs(df, "id", salt_rows=10 ** 9)
+    assert salted.count() == 120 * 119 // 2
+    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
