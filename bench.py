@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from sigflow.plans import registry  # noqa: E402
-from sigflow.session import local_session  # noqa: E402
+from sigflow.session import local_session, ship_package  # noqa: E402
 
 HEADLINE = [
     "ANA7_class_purity",      # flagship: exact k-NN + label purity
@@ -40,6 +40,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session(cpus, shuffle_partitions=max(8, 2 * cpus), app="sigflow-bench")
+    ship_package(spark)
     qs = registry.queries()
     spark.range(1000).selectExpr("sum(id)").collect()   # JVM warm-up
     times = {}
