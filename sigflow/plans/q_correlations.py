@@ -69,12 +69,17 @@ def win4_pair_cap(spark, sf):
 
 
 def _study(spark, sf):
+    """All four setups share ids, cells and labels, hence one set of draws;
+    the four prepared vector tables meet the endpoints in one join."""
+    raw = px.signatures(spark, sf)
+    ends = C.draw_pair_endpoints(raw, "sig_id", "cell", "moa", MAX_PAIRS, SEED)
     parts = []
-    for matrix in ("raw", "pathway"):
+    for matrix, m in (("raw", raw), ("pathway", pathway_matrix(spark, sf))):
         for cor in ("pearson", "spearman"):
-            parts.append(_pairs(spark, sf, cor, matrix)
-                         .withColumn("matrix", F.lit(matrix)).withColumn("cor_type", F.lit(cor)))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+            v = C.correlation_ready(m.select(F.col("sig_id").alias("_id"), "features"), "features", cor)
+            parts.append(v.select("_id", F.lit(matrix).alias("matrix"), F.lit(cor).alias("cor_type"), "_u"))
+    vecs = reduce(lambda a, b: a.unionByName(b), parts)
+    return C.correlate_endpoints(ends, vecs, ["matrix", "cor_type"])
 
 
 def ana5_full_study(spark, sf):
