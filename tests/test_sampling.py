@@ -30,3 +30,14 @@ def test_dense_index_equals_row_number(spark):
     w = Window.partitionBy("k").orderBy("_h", "id")
     want = df.select("id", (F.row_number().over(w) - 1).alias("_idx"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_shared_draws_equal_separate_runs(spark):
+    from conftest import SF001
+    from sigflow.operators import correlations as C
+    from sigflow.plans import q_correlations as Q
+    from sigflow.sources import proxies as px
+    study = Q._study(spark, SF001).where("matrix = 'raw' AND cor_type = 'spearman'").drop("matrix", "cor_type")
+    alone = C.pair_correlations(px.signatures(spark, SF001), "sig_id", "features", "cell", "moa",
+                                "spearman", Q.MAX_PAIRS, Q.SEED)
+    assert study.exceptAll(alone).count() == 0 and alone.exceptAll(study).count() == 0
