@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigflow.llm.bpe import bpe_digests
 from sigflow.llm.exact_dedup import exact_dedup
+from sigflow.llm.packing import pack_documents
 from sigflow.sources.tables import table
 
 
@@ -13,8 +15,24 @@ def op1_exact_dedup(spark, sf_dir):
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_byte_bpe(spark, sf_dir):
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+
+
+def op5_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 1024)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_packing": op5_packing,
 }
 
 ORACLES = {
