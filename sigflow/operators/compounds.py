@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigflow.session import cut_lineage
+from sigflow.operators.components import connected_components  # noqa: F401  (single linkage)
 
 MAX_GROUP_ROWS = 20_000   # rows of one group clustered inside one task
 
@@ -340,40 +340,6 @@ def silhouette_groups(sets: DataFrame, key: str, group_col: str, label_col: str,
     return out.withColumn("silhouette", F.when(~F.isnan("silhouette"), F.col("silhouette")))
 
 
-# ------------------------------------------------------------------ single linkage
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "a",
-                         dst: str = "b", group_cols: Sequence[str] = (),
-                         max_iter: int = 100) -> DataFrame:
-    """Single-linkage flat clusters = connected components: every node gets
-    the smallest node id of its component.
-
-    Each round propagates the minimum label over the edges and then jumps
-    pointers (label <- label of label), so labels travel exponentially far;
-    each round's labels are written as a reliable checkpoint (short lineage,
-    survives executor loss) and the loop stops when no label changed."""
-    g = list(group_cols)
-    lab = cut_lineage(nodes.select(*g, F.col(node).alias("_v")).distinct().withColumn("_c", F.col("_v")))
-    # the edge list is read every round: materialise it once
-    und = cut_lineage(edges.select(*g, F.col(src).alias("_x"), F.col(dst).alias("_y"))
-                      .unionByName(edges.select(*g, F.col(dst).alias("_x"), F.col(src).alias("_y"))))
-    for _ in range(max_iter):
-        prop = (und.join(lab.withColumnRenamed("_v", "_x"), g + ["_x"])
-                .groupBy(*g, F.col("_y").alias("_v")).agg(F.min("_c").alias("_m")))
-        step = (lab.join(prop, g + ["_v"], "left")
-                .select(*g, "_v", F.col("_c").alias("_old"),
-                        F.least(F.col("_c"), F.coalesce(F.col("_m"), F.col("_c"))).alias("_c1")))
-        hop = step.select(*g, F.col("_v").alias("_c1"), F.col("_c1").alias("_c2"))
-        nxt = (step.join(hop, g + ["_c1"], "left")
-               .select(*g, "_v", "_old",
-                       F.least(F.col("_c1"), F.coalesce(F.col("_c2"), F.col("_c1"))).alias("_c")))
-        nxt = cut_lineage(nxt)
-        changed = nxt.where(F.col("_c") != F.col("_old")).limit(1).count()
-        lab = nxt.drop("_old")
-        if changed == 0:
-            break
-    return lab.withColumnRenamed("_v", node).withColumnRenamed("_c", "component")
-
-
 # ------------------------------------------------------------------ CHM7 / CHM8
 def category_index(train: DataFrame, col: str) -> DataFrame:
     """Sorted distinct categories of the training rows with their 0-based
