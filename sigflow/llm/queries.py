@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sigflow.llm.bpe import bpe_digests
 from sigflow.llm.exact_dedup import exact_dedup
 from sigflow.llm.packing import pack_documents
+from sigflow.llm.simhash import simhash_groups
 from sigflow.sources.tables import table
 
 
@@ -29,10 +30,15 @@ def op5_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 1024)
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash_groups(table(spark, sf_dir, "documents"), 4, 4)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_packing": op5_packing,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLES = {
