@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from sigflow.llm.bpe import bpe_digests
+from sigflow.llm.common import crc32_mod
 from sigflow.llm.exact_dedup import exact_dedup
+from sigflow.llm.langid import identify
 from sigflow.llm.packing import pack_documents
 from sigflow.llm.simhash import simhash_groups
 from sigflow.sources.tables import table
@@ -34,11 +34,16 @@ def op6_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"), 4, 4)
 
 
+def op8_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 4) == 2)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLES = {
