@@ -6,6 +6,7 @@ from sigflow.llm.bpe import bpe_digests
 from sigflow.llm.common import crc32_mod
 from sigflow.llm.exact_dedup import exact_dedup
 from sigflow.llm.langid import identify
+from sigflow.llm.lm import lm_scores
 from sigflow.llm.packing import pack_documents
 from sigflow.llm.simhash import simhash_groups
 from sigflow.sources.tables import table
@@ -38,12 +39,17 @@ def op8_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 4) == 2)
 
 
+def op10_lm_scores(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 10) == 0)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op8_language_id": op8_language_id,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLES = {
