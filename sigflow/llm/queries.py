@@ -6,6 +6,7 @@ from sigflow.llm.bpe import bpe_digests
 from sigflow.llm.common import crc32_mod
 from sigflow.llm.exact_dedup import exact_dedup
 from sigflow.llm.langid import identify
+from sigflow.llm import licenses
 from sigflow.llm.lm import lm_scores
 from sigflow.llm.packing import pack_documents
 from sigflow.llm.simhash import simhash_groups
@@ -27,6 +28,43 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """The same definition over gram texts instead of hashes."""
+    named = {f"base:{v}:{k}": k for k, v in licenses.PHRASES.items()} | {f"text:{k}": v for k, v in licenses.TEMPLATES.items()}
+    k, rows = licenses.K, []
+    for label, text in named.items():
+        w = text.split(" ")
+        rows += [f"('{label}', {i}, '{' '.join(w[i:i + k])}', {len(w) - k + 1})" for i in range(len(w) - k + 1)]
+    return f"""
+        WITH places(label, place, gram, size) AS (VALUES {', '.join(rows)}),
+        t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        g AS (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS pos FROM t WHERE len(w) >= {k}),
+        h AS (SELECT g.doc_id, label, size, pos - 1 - place AS diagonal, count(*) AS votes
+              FROM g JOIN places ON array_to_string(w[pos:pos + {k - 1}], ' ') = gram GROUP BY ALL),
+        n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= CASE WHEN label LIKE 'text:%' THEN {licenses.SLACK} ELSE 0 END
+                        THEN 0 ELSE 1 END AS new FROM h WINDOW o AS (PARTITION BY doc_id, label ORDER BY diagonal)),
+        i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, label ORDER BY diagonal) AS span FROM n),
+        s AS (SELECT doc_id, label, span, size, sum(votes) AS votes, min(diagonal) AS first,
+                     least(1.0, sum(votes) / size) AS share FROM i GROUP BY doc_id, label, span, size),
+        f AS (SELECT *, label LIKE 'base:%' AS base, split_part(label, ':', 2) AS name,
+                     CASE WHEN label LIKE 'base:%' THEN votes = size ELSE share >= {licenses.LEAST_SHARE} END AS good FROM s),
+        a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word,
+                     max(first) FILTER (base) AS last_word,
+                     string_agg(DISTINCT name, ',' ORDER BY name) FILTER (base) AS base_labels,
+                     string_agg(DISTINCT name, ',' ORDER BY name) AS labels, max(share) AS score,
+                     count(*) FILTER (NOT base) AS n_spans FROM f WHERE good GROUP BY doc_id)
+        SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
+               CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+               coalesce(base_labels, '') AS base_labels,
+               coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score, coalesce(n_spans, 0) AS n_spans
+        FROM t LEFT JOIN a USING (doc_id)"""
+
+
 def op5_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 1024)
 
@@ -46,6 +84,7 @@ def op10_lm_scores(spark, sf_dir):
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_license_scan": op3_license_scan,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op8_language_id": op8_language_id,
@@ -53,6 +92,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_license_scan": _license_sql(),
     "op1_exact_dedup": """
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
