@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from sigflow.llm import licenses
 from sigflow.llm.bpe import bpe_digests
 from sigflow.llm.common import crc32_mod
 from sigflow.llm.exact_dedup import exact_dedup
 from sigflow.llm.langid import identify
-from sigflow.llm import licenses
 from sigflow.llm.lm import lm_scores
 from sigflow.llm.packing import pack_documents
 from sigflow.llm.simhash import simhash_groups
+from sigflow.llm.toolcalls import CHAT_SCHEMAS, chat_calls, link_tool_calls
 from sigflow.sources.tables import table
 
 
@@ -77,6 +80,11 @@ def op8_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 4) == 2)
 
 
+def op9_tool_calls(spark, sf_dir):
+    calls, results = chat_calls(table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, CHAT_SCHEMAS).withColumn("errors", F.array_join("errors", ";"))
+
+
 def op10_lm_scores(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 10) == 0)
 
@@ -88,6 +96,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op8_language_id": op8_language_id,
+    "op9_tool_calls": op9_tool_calls,
     "op10_lm_scores": op10_lm_scores,
 }
 
@@ -105,4 +114,28 @@ ORACLES = {
                s AS text_sha256
         FROM t
         WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id)""",
+    "op9_tool_calls": """
+        WITH RECURSIVE calls AS (
+            SELECT conv_id, 'call-' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'),
+        results AS (
+            SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'),
+        chain AS (
+            SELECT conv_id, turn, CAST(0 AS BIGINT) AS depth FROM calls c WHERE NOT EXISTS (
+                SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+            UNION ALL
+            SELECT c.conv_id, c.turn, depth + 1 FROM chain p JOIN calls c ON c.conv_id = p.conv_id AND c.turn = p.turn + 2),
+        linked AS (
+            SELECT c.*, depth, r.text AS content,
+                   CASE WHEN length(c.text) BETWEEN 1 AND 200 AND c.turn >= 0 THEN [] ELSE ['range prompt'] END AS faults,
+                   CASE WHEN length(c.text) NOT BETWEEN 1 AND 200 THEN 'invalid_arguments'
+                        WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'ok' END AS status
+            FROM calls c JOIN chain USING (conv_id, turn) LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id)
+        SELECT conv_id, call_id, turn, depth, status, array_to_string(faults, ';') AS errors,
+               CAST(json_object('arguments', json_object('prompt', text, 'turn', turn), 'conversation', conv_id,
+                    'errors', faults, 'id', call_id, 'name', 'reply', 'result', content, 'status', status) AS VARCHAR) AS json
+        FROM linked
+        UNION ALL
+        SELECT conv_id, call_id, turn, NULL, 'orphan_result', '',
+               CAST(json_object('conversation', conv_id, 'id', call_id, 'result', text, 'status', 'orphan_result') AS VARCHAR)
+        FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)""",
 }
