@@ -13,6 +13,7 @@ from sigflow.llm.lm import lm_scores
 from sigflow.llm.packing import pack_documents
 from sigflow.llm.simhash import simhash_groups
 from sigflow.llm.toolcalls import CHAT_SCHEMAS, chat_calls, link_tool_calls
+from sigflow.llm.topk import sign_code, top_k
 from sigflow.sources.tables import table
 
 
@@ -68,6 +69,11 @@ def _license_sql() -> str:
         FROM t LEFT JOIN a USING (doc_id)"""
 
 
+def op4_hamming_top_k(spark, sf_dir):
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code("embedding").alias("code"))
+    return top_k(codes, codes.where(F.col("id") % 20 == 0), 10)
+
+
 def op5_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 1024)
 
@@ -93,6 +99,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_license_scan": op3_license_scan,
+    "op4_hamming_top_k": op4_hamming_top_k,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op8_language_id": op8_language_id,
@@ -138,4 +145,15 @@ ORACLES = {
         SELECT conv_id, call_id, turn, NULL, 'orphan_result', '',
                CAST(json_object('conversation', conv_id, 'id', call_id, 'result', text, 'status', 'orphan_result') AS VARCHAR)
         FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)""",
+    "op4_hamming_top_k": """
+        WITH c AS (
+            SELECT vec_id, string_agg(CASE WHEN coalesce(embedding[i], 0) > 0 THEN '1' ELSE '0' END, '' ORDER BY i) AS bits
+            FROM embeddings, range(1, 65) AS r(i) GROUP BY vec_id),
+        d AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id,
+                   CAST(hamming(q.bits, c.bits) AS INTEGER) AS distance
+            FROM c AS q, c WHERE q.vec_id % 20 = 0)
+        SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, neighbour_id, distance FROM d
+        WINDOW o AS (PARTITION BY query_id ORDER BY distance, neighbour_id)
+        QUALIFY row_number() OVER o <= 10""",
 }
