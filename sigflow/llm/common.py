@@ -34,6 +34,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table written by ``materialise`` that nothing
+    will read again."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/sigflow-llm/" in f}
+    for folder in folders:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def text_of(col: str) -> Column:
     """The text, with NULL counted as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -12,6 +12,7 @@ from sigflow.llm.langid import identify
 from sigflow.llm.lm import lm_scores
 from sigflow.llm.packing import pack_documents
 from sigflow.llm.simhash import simhash_groups
+from sigflow.llm.suffix_dedup import cut_repeats
 from sigflow.llm.toolcalls import CHAT_SCHEMAS, chat_calls, link_tool_calls
 from sigflow.llm.topk import sign_code, top_k
 from sigflow.sources.tables import table
@@ -82,6 +83,10 @@ def op6_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"), 4, 4)
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return cut_repeats(table(spark, sf_dir, "documents"), 200).drop("kept")
+
+
 def op8_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 4) == 2)
 
@@ -102,6 +107,7 @@ QUERIES = {
     "op4_hamming_top_k": op4_hamming_top_k,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
     "op9_tool_calls": op9_tool_calls,
     "op10_lm_scores": op10_lm_scores,

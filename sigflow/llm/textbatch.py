@@ -15,8 +15,9 @@ SLICE_BYTES = 8 << 20        # texts handled at once; a longer text is a slice o
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; NULL is an empty text."""
-    column = column.fill_null("")
     n = len(column)
+    if column.null_count:
+        column = column.fill_null(pa.scalar("", column.type))
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
