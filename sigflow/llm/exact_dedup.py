@@ -12,7 +12,7 @@ if their normalised bytes are equal: one aggregation groups the texts
 themselves (copies collapse inside every map task before the shuffle, so a
 text held by a third of all rows crosses the network once per map task) and
 reports the (key, digest) pairs shared by different texts. Those few are
-numbered in byte order; everywhere else the link number is 0.
+numbered by their SHA-256; everywhere else the link number is 0.
 """
 
 from __future__ import annotations
@@ -53,8 +53,25 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 key: Callable[[Column], Column] = F.xxhash64,
                 digest: Callable[[Column], Column] = lambda c: F.sha2(c, 256),
                 capacity: int = BUCKET_CAPACITY, max_depth: int = DIRECTORY_BITS) -> DataFrame:
+    """The result of ``indexed`` without its row numbers."""
+    return indexed(df, id_col, text_col, key, digest, capacity, max_depth).drop("row")
+
+
+def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns. ``df`` is read
+    more than once and must give the same rows in the same partitions, as a
+    table scan does."""
+    stays = indexed(df, id_col, text_col).where("kept").select(F.col("row").alias("_sigflow_row"))
+    return df.withColumn("_sigflow_row", F.monotonically_increasing_id()).join(stays, "_sigflow_row", "left_semi").drop("_sigflow_row")
+
+
+def indexed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            key: Callable[[Column], Column] = F.xxhash64,
+            digest: Callable[[Column], Column] = lambda c: F.sha2(c, 256),
+            capacity: int = BUCKET_CAPACITY, max_depth: int = DIRECTORY_BITS) -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept,
-    text_sha256, and the index address: bucket, bucket_depth, chain.
+    text_sha256, the index address (bucket, bucket_depth, chain) and row, the
+    number of the row.
 
     Texts are equal when they are identical after deleting ASCII white space;
     a NULL text is empty. Of equal texts the row with the most code points in
@@ -99,4 +116,4 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .drop("prefix", "first"), "index")
     return (entries.join(index, address)
             .select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
-                    F.col("sha").alias("text_sha256"), "bucket", F.col("depth").alias("bucket_depth"), "chain"))
+                    F.col("sha").alias("text_sha256"), "bucket", F.col("depth").alias("bucket_depth"), "chain", "row"))

@@ -121,12 +121,12 @@ def predict(df: DataFrame, langs: list[str], prototypes: np.ndarray, keep: dict[
     """The columns ``keep`` and lang_pred, score (the cosine, 0 if negative).
     A text that is NULL or has no letter is ``und`` with score 0; equal cosines
     give the language first in order."""
-    rows = df.select(text_of(text_col).alias("text"), *[c.alias(n) for n, c in keep.items()])
+    rows = df.select(text_of(text_col).alias("_text"), *[c.alias(n) for n, c in keep.items()])
     unit = (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-300)).T
 
     def run(batches):
         vectors = gram_vectors(dimensions, seed)
-        for batch, data, offsets in slices(batches):
+        for batch, data, offsets in slices(batches, "_text"):
             bundles, known = [], []
             for code, count, has in gram_counts(data, offsets):
                 bundles.append(count.astype(np.float32) @ vectors[code])
@@ -142,7 +142,7 @@ def predict(df: DataFrame, langs: list[str], prototypes: np.ndarray, keep: dict[
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score)],
                                              [*batch.schema.names[1:], "lang_pred", "score"])
 
-    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)
 
 

@@ -84,7 +84,7 @@ def op6_simhash(spark, sf_dir):
 
 
 def op7_suffix_dedup(spark, sf_dir):
-    return cut_repeats(table(spark, sf_dir, "documents"), 200).drop("kept")
+    return cut_repeats(table(spark, sf_dir, "documents"), 200).drop("kept_text")
 
 
 def op8_language_id(spark, sf_dir):

@@ -256,6 +256,36 @@ def fingerprint_components(prints: DataFrame, radius: int, agree: int = 2) -> Da
     return connected_components(nodes, edges, "print")
 
 
+def grouped(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id",
+            text_col: str = "text", agree: int = 2) -> DataFrame:
+    """The result of ``simhash_groups`` with row, the number of the row, and
+    stays, whether it is the component's first by id (NULL last), then row."""
+    rows = df.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+                     text_of(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch, data, offsets in slices(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fingerprints(data, offsets, shingle).view(np.int64))],
+                ["doc_id", "row", "print"])
+
+    docs = materialise(rows.mapInArrow(run, f"doc_id {kind}, row long, print long"), "fingerprints")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("lead")
+    prints = materialise(docs.groupBy("print").agg(lead), "prints")
+    named = prints.join(fingerprint_components(prints.select("print"), radius, agree), "print", "left") \
+        .withColumn("component", F.coalesce("component", "print"))
+    named = materialise(named, "named")
+    leads = named.groupBy("component").agg(F.min("lead").alias("lead"))
+    heavy = heavy_keys(named, ["component"], named.count())
+    names = materialise(lookup(named.select("print", "component"), leads, ["component"], heavy=heavy)
+                        .select("print", F.col("lead.doc_id").alias("component_id"), F.col("lead.row").alias("lead_row")),
+                        "components")
+    return (lookup(docs, names, ["print"], heavy=heavy_keys(docs, ["print"], docs.count()))
+            .select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id",
+                    "row", (F.col("row") == F.col("lead_row")).alias("stays")))
+
+
 def simhash_groups(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id",
                    text_col: str = "text", agree: int = 2) -> DataFrame:
     """One row per row of ``df``: doc_id, fingerprint (16 hex digits) and
@@ -267,22 +297,13 @@ def simhash_groups(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str
     id never names a component unless all its members have NULL ids. An empty
     table gives an empty result; other columns are not read. ``agree`` more
     blocks give longer, rarer keys, for more fingerprints."""
-    rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    return grouped(df, shingle, radius, id_col, text_col, agree).drop("row", "stays")
 
-    def run(batches):
-        for batch, data, offsets in slices(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fingerprints(data, offsets, shingle).view(np.int64))], ["doc_id", "print"])
 
-    docs = materialise(rows.mapInArrow(run, f"doc_id {kind}, print long"), "fingerprints")
-    prints = materialise(docs.groupBy("print").agg(F.min("doc_id").alias("least")), "prints")
-    named = prints.join(fingerprint_components(prints.select("print"), radius, agree), "print", "left") \
-        .withColumn("component", F.coalesce("component", "print"))
-    named = materialise(named, "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    heavy = heavy_keys(named, ["component"], named.count())
-    names = materialise(lookup(named.select("print", "component"), least, ["component"], heavy=heavy)
-                        .select("print", "component_id"), "components")
-    return (lookup(docs, names, ["print"], heavy=heavy_keys(docs, ["print"], docs.count()))
-            .select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"))
+def distinct_near(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """One row of every component, with all its columns. ``df`` is read more
+    than once and must give the same rows in the same partitions, as a table
+    scan does."""
+    stays = grouped(df, shingle, radius, id_col, text_col).where("stays").select(F.col("row").alias("_sigflow_row"))
+    return df.withColumn("_sigflow_row", F.monotonically_increasing_id()).join(stays, "_sigflow_row", "left_semi").drop("_sigflow_row")

@@ -209,8 +209,9 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def cut_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,
                 keep: list[str] = ()) -> DataFrame:
     """One row per row of ``df``: doc_id, the columns ``keep``, n_bytes,
-    n_removed, n_spans (maximal removed runs), kept_sha256 and kept (the
-    remaining bytes).
+    n_removed, n_spans (maximal removed runs), kept_sha256, of the remaining
+    bytes, and kept_text, the remaining text without characters that lost some
+    of their bytes.
 
     Texts are compared as UTF-8 bytes, never across texts; a NULL text is empty
     and a text shorter than ``length`` keeps all. Repeated rows are separate
@@ -249,11 +250,12 @@ def cut_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_c
                 removed.append(int(b - a) - len(text))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[2:], pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()),
-                 pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())],
-                [*batch.schema.names[2:], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                 pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
+                 pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())],
+                [*batch.schema.names[2:], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     schema = rows.select("doc_id", *keep).schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"),
-                       ("kept", "binary")):
+                       ("kept_text", "string")):
         schema = schema.add(name, kind)
     return both.mapInArrow(run, schema)
