@@ -38,21 +38,22 @@ def _block_topk(k: int, key_names: list[str], id_name: str, carry: list[str]):
         C = np.vstack(c["_v"].to_numpy()).astype(np.float64)
         cid = c[id_name].to_numpy()
         # squared distance via one GEMM; exact distances recomputed below
-        d2 = (np.einsum("ij,ij->i", Q, Q)[:, None] + np.einsum("ij,ij->i", C, C)[None, :]
-              - 2.0 * Q @ C.T)
-        m = min(len(c), k + 4)          # small margin against round-off in d2
-        if m < len(c):
-            cand = np.argpartition(d2, m - 1, axis=1)[:, :m]
-        else:
-            cand = np.broadcast_to(np.arange(len(c)), (len(q), len(c)))
-        keep = min(k, cand.shape[1])
+        qq, cc = np.einsum("ij,ij->i", Q, Q), np.einsum("ij,ij->i", C, C)
+        d2 = qq[:, None] + cc[None, :] - 2.0 * Q @ C.T
+        # every candidate whose d2 is within twice the round-off bound of the
+        # k-th smallest may be among the k nearest: all of them are compared
+        # exactly, so ties are decided by id whatever the blocks are
+        keep = min(k, len(c))
+        slack = 4 * (Q.shape[1] + 8) * np.finfo(np.float64).eps * (qq + cc.max())
+        bound = np.partition(d2, keep - 1, axis=1)[:, keep - 1] + 2 * slack
         rows_q, rows_c, rows_d = [], [], []
         for i in range(len(q)):
-            diff = C[cand[i]] - Q[i]                      # (m, d), one query at a time
+            cand = np.flatnonzero(d2[i] <= bound[i])
+            diff = C[cand] - Q[i]                         # one query at a time
             exact = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-            o = np.lexsort((cid[cand[i]], exact))[:keep]
+            o = np.lexsort((cid[cand], exact))[:keep]
             rows_q.append(np.full(keep, i))
-            rows_c.append(cand[i][o])
+            rows_c.append(cand[o])
             rows_d.append(exact[o])
         qi = np.concatenate(rows_q)
         ci = np.concatenate(rows_c)
