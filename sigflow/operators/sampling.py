@@ -13,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed value: a prime larger than any pair count (2^61 - 1). Multiplying
-# pair positions by it modulo the pair count is a permutation of them.
-PAIR_PRIME = 2305843009213693951
+# Draws per wanted pair where a group has more than this many pairs for each
+# wanted one, and draws on top: fewer distinct ones than wanted are then as
+# unlikely as an md5 collision.
+DRAWS_PER_PAIR, MORE_DRAWS = 4, 64
 
 
 def md5_hex(seed, *parts) -> Column:
@@ -72,10 +73,11 @@ def sample_pairs(groups: DataFrame, keys: Sequence[str], n_col: str, max_pairs:
     """For each group with n members, up to ``max_pairs`` distinct member
     pairs drawn without replacement (all pairs when there are fewer).
 
-    Draw: pair numbers q_k = (a k + b) mod C for k < min(C, max_pairs), with
-    C = n(n-1)/2, a = PAIR_PRIME mod C (coprime to C, so distinct k give
-    distinct q) and b from md5(seed, group). Only the drawn pairs are ever
-    produced: at most ``max_pairs`` rows per group, whatever its size.
+    A group of at most 4 * max_pairs pairs sorts its pair numbers by their md5
+    and takes the first; a larger one draws numbers (md5 modulo the number of
+    pairs) and takes the first distinct ones. Either way every set of pairs is
+    equally likely over seeds, and a group's row makes its own draw: at most
+    ``max_pairs`` rows a group leave, whatever its size.
     Returns (keys..., _i, _j)."""
     if max_pairs is None or max_pairs < 1:
         # every pair of a group is quadratic in its size; the reference's
@@ -85,14 +87,16 @@ def sample_pairs(groups: DataFrame, keys: Sequence[str], n_col: str, max_pairs:
     n = F.col(n_col).cast("bigint")
     c = F.shiftright(n * (n - 1), 1)
     p = F.least(c, F.lit(int(max_pairs)).cast("bigint"))
-    h = md5_hex(seed, *keys)
-    g = (groups.where(n >= 2)
-         .select(*keys, c.alias("_C"), p.alias("_P"),
-                 F.pmod(F.lit(PAIR_PRIME), c).alias("_a"),
-                 F.pmod(hex_int(h, 1, 15), c).alias("_b")))
-    k = g.select(*keys, "_C", "_a", "_b", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                                  F.col("_P") - 1)).alias("_k"))
-    q = F.pmod(F.col("_a") * F.col("_k") + F.col("_b"), F.col("_C"))
-    k = k.withColumn("_q", q)
+    few = F.lit(DRAWS_PER_PAIR * int(max_pairs)).cast("bigint")
+    parts = [F.lit(str(seed))] + [F.col(x).cast("string") for x in keys]
+    digest = lambda x: F.md5(F.concat_ws(":", *parts, x.cast("string")))
+    upto = lambda last: F.sequence(F.lit(0).cast("bigint"), last)
+    by_digest = F.transform(F.array_sort(F.transform(upto(F.col("_C") - 1), lambda x: F.struct(
+        digest(x).alias("h"), x.alias("q")))), lambda x: x["q"])
+    drawn = F.array_distinct(F.transform(upto(few + (MORE_DRAWS - 1)), lambda x: F.pmod(
+        hex_int(digest(x), 1, 15), F.col("_C"))))
+    g = groups.where(n >= 2).select(*keys, c.alias("_C"), p.cast("int").alias("_P"))
+    k = g.select(*keys, F.explode(F.slice(F.when(F.col("_C") <= few, by_digest).otherwise(drawn),
+                                          F.lit(1), F.col("_P"))).alias("_q"))
     i, j = decode_pair(F.col("_q"))
     return k.select(*keys, i.alias("_i"), j.alias("_j"))

@@ -167,13 +167,18 @@ def _pairs_sql(src: str, cor: str, p: str = "") -> str:
                AS idx
            FROM (SELECT DISTINCT sig_id, cell, label FROM {p}sl)),
 {p}grp AS (SELECT cell, label, count(*) AS n FROM {p}mem GROUP BY ALL),
-{p}gp AS (SELECT cell, label, n * (n - 1) // 2 AS C, least(n * (n - 1) // 2, {MAX_PAIRS}) AS P,
-              2305843009213693951 % (n * (n - 1) // 2) AS a,
-              CAST(('0x' || substr(md5('{s}:' || CAST(cell AS VARCHAR) || ':' || label), 1, 15)) AS BIGINT)
-                  % (n * (n - 1) // 2) AS b
+{p}gp AS (SELECT cell, label, n * (n - 1) // 2 AS C, least(n * (n - 1) // 2, {MAX_PAIRS}) AS P
           FROM {p}grp WHERE n >= 2),
-{p}ks AS (SELECT cell, label, C, a, b, unnest(range(P)) AS k FROM {p}gp),
-{p}qs AS (SELECT cell, label, (a * k + b) % C AS q FROM {p}ks),
+{p}ks AS (SELECT cell, label, C, P, unnest(range(CASE WHEN C <= {4 * MAX_PAIRS} THEN C ELSE {4 * MAX_PAIRS + 64} END)) AS k
+          FROM {p}gp),
+{p}kh AS (SELECT *, md5('{s}:' || CAST(cell AS VARCHAR) || ':' || label || ':' || CAST(k AS VARCHAR)) AS h FROM {p}ks),
+{p}dq AS (SELECT cell, label, P, k AS q, row_number() OVER (PARTITION BY cell, label ORDER BY h, k) AS pos
+          FROM {p}kh WHERE C <= {4 * MAX_PAIRS}
+          UNION ALL
+          SELECT cell, label, P, q, row_number() OVER (PARTITION BY cell, label ORDER BY k) AS pos FROM (
+              SELECT cell, label, P, CAST(('0x' || substr(h, 1, 15)) AS BIGINT) % C AS q, min(k) AS k
+              FROM {p}kh WHERE C > {4 * MAX_PAIRS} GROUP BY ALL)),
+{p}qs AS (SELECT cell, label, q FROM {p}dq WHERE pos <= P),
 {p}dj AS (SELECT cell, label, q, CAST(floor((1 + sqrt(1 + 8.0 * q)) / 2) AS BIGINT) AS j0 FROM {p}qs),
 {p}pj AS (SELECT cell, label, q, CASE WHEN j0 * (j0 - 1) // 2 > q THEN j0 - 1
                                       WHEN (j0 + 1) * j0 // 2 <= q THEN j0 + 1 ELSE j0 END AS j FROM {p}dj),

@@ -41,3 +41,14 @@ def test_shared_draws_equal_separate_runs(spark):
     alone = C.pair_correlations(px.signatures(spark, SF001), "sig_id", "features", "cell", "moa",
                                 "spearman", Q.MAX_PAIRS, Q.SEED)
     assert study.exceptAll(alone).count() == 0 and alone.exceptAll(study).count() == 0
+
+
+def test_every_pair_is_equally_likely(spark):
+    # 8 of 28 pairs (sorted numbers) and 3 of 45 (drawn numbers), over many seeds
+    from collections import Counter
+    for n, cap in ((8, 8), (10, 3)):
+        groups = spark.createDataFrame([(g, n) for g in range(1500)], "g int, n int")
+        count = Counter((r._i, r._j) for r in sample_pairs(groups, ["g"], "n", cap, 1).collect())
+        c = n * (n - 1) // 2
+        want = 1500 * cap / c
+        assert len(count) == c and all(abs(v - want) < 6 * want ** 0.5 for v in count.values())
