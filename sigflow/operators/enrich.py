@@ -24,6 +24,9 @@ Two plans compute the same numbers:
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
+from math import erf, exp, gamma, lgamma, pi, sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 # Prerank size limits applied after intersecting sets with the ranked genes
 # (library defaults of the reference's call).
 MIN_SIZE, MAX_SIZE = 15, 500
-MAX_MEMBERSHIP_ROWS = 5_000_000   # bound on the membership shipped to tasks
+MEMBERSHIP_ROWS = 5_000_000       # membership rows shipped to tasks at once
 
 
 def _walk_stats(hits: DataFrame, keys: list[str], rank: str, weight: str, n_col: str) -> DataFrame:
@@ -107,11 +110,20 @@ def enrichment_vectors(df: DataFrame, membership: DataFrame, key: str = "sig_id"
                        vec_col: str = "features", set_col: str = "pathway_id", gene: str = "gene",
                        weight_p: float = 1.0, min_size: int = MIN_SIZE,
                        max_size: int = MAX_SIZE) -> DataFrame:
-    """ANA9 at scale: one signature per row, gene = vector position."""
-    n_mem = membership.count()
-    if n_mem > MAX_MEMBERSHIP_ROWS:
-        raise ValueError(f"membership has {n_mem} rows; use prerank_long")
-    rows = membership.select(set_col, gene).collect()   # bounded by the check above
+    """ANA9 at scale: one signature per row, gene = vector position. A
+    collection of more than ``MEMBERSHIP_ROWS`` members is dealt by set into
+    parts of about half that size, each its own pass over the signatures."""
+    # sets beyond max_size give no score; without them a part cannot be much larger than its share
+    sizes = membership.groupBy(set_col).agg(F.count("*").alias("_n")).where(F.col("_n") <= max_size + min_size)
+    n_mem = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    if n_mem > MEMBERSHIP_ROWS:
+        parts = -(-2 * n_mem // MEMBERSHIP_ROWS)
+        part = F.pmod(F.xxhash64(F.col(set_col)), F.lit(parts))
+        fit = membership.join(sizes.select(set_col), set_col, "left_semi")
+        return reduce(DataFrame.unionByName, [
+            enrichment_vectors(df, fit.where(part == i), key, vec_col, set_col, gene, weight_p, min_size, max_size)
+            for i in range(parts)])
+    rows = membership.select(set_col, gene).join(sizes.select(set_col), set_col, "left_semi").collect()
     members: dict = {}
     for r in rows:
         members.setdefault(r[0], []).append(int(r[1]))
@@ -141,31 +153,91 @@ def enrichment_vectors(df: DataFrame, membership: DataFrame, key: str = "sig_id"
 
 
 # ------------------------------------------------------------------ ANA10
-_erf = np.frompyfunc(__import__("math").erf, 1, 1)
-POISSON_EXACT_MAX = 2000   # above this count the Poisson CDF uses a normal approximation
+@lru_cache(1)
+def _erf_table() -> np.ndarray:
+    """Taylor coefficients of erf at 0, 1/32, ..., 6: nine terms leave an
+    error under 1e-17 half a step away."""
+    rows = []
+    for i in range(193):
+        x = i / 32
+        # derivatives of erf: c exp(-x^2) times Hermite polynomials, by recurrence
+        d = [2 / sqrt(pi) * exp(-x * x)]
+        d.append(-2 * x * d[0])
+        for n in range(2, 9):
+            d.append(-2 * x * d[n - 1] - 2 * (n - 1) * d[n - 2])
+        rows.append([erf(x)] + [v / gamma(n + 2) for n, v in enumerate(d)])
+    return np.array(rows)
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    size = np.minimum(np.abs(x), 6.0)
+    at = np.rint(size * 32).astype(np.int64)
+    t, c = size - at / 32, _erf_table()
+    out = c[at, 9]
+    for n in range(8, -1, -1):
+        out = out * t + c[at, n]
+    return np.copysign(out, x)
 
 
 def _norm_cdf(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + _erf(z / np.sqrt(2.0)).astype(np.float64))
+    return 0.5 * (1.0 + _erf(z / np.sqrt(2.0)))
+
+
+@lru_cache(1)
+def _temme() -> list[np.ndarray]:
+    """Taylor coefficients in eta of the first terms of Temme's uniform
+    expansion of the incomplete gamma function, from its own recurrence:
+    eta^2 / 2 = mu - log(1 + mu) is inverted as a series, and
+    C0 = 1 / mu - 1 / eta, C_k = C_{k-1}' / eta + (-1)^k g_k / mu, with g_k the
+    coefficients of Stirling's series; the poles cancel."""
+    from fractions import Fraction as Q
+    n = 30
+    # mu = sum a_i eta^i with a_1 = 1 from mu' mu = eta (1 + mu)
+    a = [Q(0), Q(1)]
+    for m in range(2, n):
+        inner = sum((j * a[j] * a[m + 1 - j] for j in range(2, m)), Q(0))
+        a.append((a[m - 1] - inner) / (m + 1))
+    # 1 / mu = (1 / eta) * 1 / (1 + a_2 eta + ...)
+    inv = [Q(1)]
+    for m in range(1, n - 1):
+        inv.append(-sum((a[j + 1] * inv[m - j] for j in range(1, m + 1)), Q(0)))
+    stirling = [Q(1), Q(1, 12), Q(1, 288), Q(-139, 51840)]
+    terms = [inv[1:]]
+    for k in range(1, 4):
+        before = terms[-1]
+        slope = [(j + 1) * before[j + 1] for j in range(len(before) - 1)]          # slope[0] / eta cancels
+        step = [slope[j + 1] + (-1) ** k * stirling[k] * inv[j + 1] for j in range(min(len(slope), len(inv)) - 1)]
+        terms.append(step)
+    return [np.array([float(v) for v in t]) for t in terms]
+
+
+SUMMED = 300     # counts below this add up their own terms; others use Temme's expansion
 
 
 def _poisson_cdf(k: np.ndarray, lam: np.ndarray) -> np.ndarray:
-    """P(X <= k) for X ~ Poisson(lam); k (m,) integers, lam (r,) -> (m, r).
-    Exact summation of the pmf in log space up to POISSON_EXACT_MAX, normal
-    approximation with continuity correction beyond."""
-    from math import lgamma
-    k = np.floor(np.maximum(k, -1)).astype(np.int64)
-    out = np.empty((len(k), len(lam)))
-    kmax = int(k.max()) if len(k) else -1
-    if kmax <= POISSON_EXACT_MAX:
-        i = np.arange(max(kmax, 0) + 1)
+    """P(X <= k) for X ~ Poisson(lam) = Q(floor(k) + 1, lam), the regularised
+    incomplete gamma function; k (m,), lam (r,) -> (m, r). Each cell depends
+    on its own k and lam alone, whatever the others are."""
+    k = np.floor(k)
+    out = np.zeros((len(k), len(lam)))
+    low = np.flatnonzero((k >= 0) & (k < SUMMED))
+    if len(low):
+        i = np.arange(SUMMED)
         lg = np.array([lgamma(v + 1.0) for v in i])
-        logp = -lam[None, :] + i[:, None] * np.log(lam)[None, :] - lg[:, None]
-        cdf = np.cumsum(np.exp(logp), axis=0)                     # (kmax+1, r)
-        out[:] = np.where(k[:, None] < 0, 0.0, cdf[np.clip(k, 0, None)])
-    else:
-        out[:] = _norm_cdf((k[:, None] + 0.5 - lam[None, :]) / np.sqrt(lam[None, :]))
-    return np.minimum(out, 1.0)
+        pmf = np.exp(-lam[None, :] + i[:, None] * np.log(lam)[None, :] - lg[:, None])
+        out[low] = np.cumsum(pmf, axis=0)[k[low].astype(np.int64)]
+    high = np.flatnonzero(k >= SUMMED)
+    if len(high):
+        a = (k[high] + 1.0)[:, None]
+        mu = lam[None, :] / a - 1.0
+        half = np.maximum(mu - np.log1p(mu), 0.0)                   # eta^2 / 2
+        eta = np.copysign(np.sqrt(2.0 * half), mu)
+        tail = 0.5 * (1.0 - _erf(eta * np.sqrt(a / 2.0)))
+        # the expansion matters only near eta = 0: its factor is below 1e-17 where |eta| > 0.6
+        e = np.clip(eta, -0.6, 0.6)
+        rest = sum(np.polynomial.polynomial.polyval(e, c) / a**j for j, c in enumerate(_temme()))
+        out[high] = tail + np.exp(-a * half) / np.sqrt(2.0 * pi * a) * rest
+    return np.clip(out, 0.0, 1.0)
 
 
 def kernel_cdf(long_df: DataFrame, sample: str, gene: str, value: str, kernel: str = "gaussian",

@@ -30,10 +30,14 @@ def read_gmt(spark: SparkSession, path: str, omics: str = "metabolomics",
     'metabolomics': members stripped. 'transcriptomics': members are Entrez
     ids normalised as integers ("10.0" -> "10"), mapped to symbols through
     ``id_map(query, symbol)`` when given (unmapped dropped, pathways left
-    without a member disappear). Names: the last line of an id wins."""
+    without a member disappear). Names: the last line of an id wins, files in
+    name order."""
     lines = spark.read.text(path).where(F.length("value") > 0)
     arr = F.split(F.col("value"), "\t")
-    rows = lines.select(arr.alias("_a"), F.monotonically_increasing_id().alias("_ord"))
+    # line order: file, place of the split in it, line in the split
+    rows = lines.select(arr.alias("_a"), F.struct(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("i")).alias("_ord"))
     names = (rows.select(F.col("_a")[0].alias("pathway_id"),
                          F.try_element_at("_a", F.lit(2)).alias("name"), "_ord")
              .groupBy("pathway_id").agg(F.max_by("name", "_ord").alias("name")))
@@ -93,17 +97,19 @@ def write_gct(long_df: DataFrame, row: str, col: str, value: str, path: str) ->
 
 def read_gct(spark: SparkSession, path: str, row_name: str = "gene", col_name: str = "sample"
              ) -> DataFrame:
-    """SRC8: GCT text -> long (row, col, value). Preamble lines ('#...' and
-    the dimension line) are skipped; column names come from the header line,
+    """SRC8: GCT text -> long (row, col, value). The version and dimension
+    lines are skipped; column names come from the header line,
     joined by position (the transpose of the reference is free in long
     form). 'nan' / empty cells become NULL."""
     lines = spark.read.text(path)
     arr = F.split("value", "\t")
-    header = lines.where(F.col("value").startswith("Name\t")).select(
-        F.posexplode(F.slice(arr, 3, 1 << 20)).alias("_p", col_name))
-    body = (lines.where(~F.col("value").startswith("#") & ~F.col("value").startswith("Name\t"))
+    values = lambda a: F.slice(a, F.lit(3), F.greatest(F.size(a) - 2, F.lit(0)))
+    # the version line and the line of two (1.2) or four (1.3) dimensions
+    preamble = F.col("value").rlike(r"^#1\.\d+\s*$") | F.col("value").rlike(r"^\d+\t\d+(\t\d+\t\d+)?\s*$")
+    header = lines.where(F.col("value").startswith("Name\t")).select(F.posexplode(values(arr)).alias("_p", col_name))
+    body = (lines.where(~preamble & ~F.col("value").startswith("Name\t"))
             .select(arr.alias("_a")).where(F.size("_a") >= 3)
-            .select(F.col("_a")[0].alias(row_name), F.posexplode(F.slice("_a", 3, 1 << 20)).alias("_p", "_v")))
+            .select(F.col("_a")[0].alias(row_name), F.posexplode(values(F.col("_a"))).alias("_p", "_v")))
     val = F.when(F.lower(F.col("_v")).isin("nan", ""), F.lit(None)).otherwise(F.col("_v").cast("double"))
     return body.join(header, "_p").select(row_name, col_name, val.alias("value"))
 

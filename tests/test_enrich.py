@@ -58,3 +58,30 @@ def test_poisson_cdf_exact():
             want = sum(math.exp(-l_) * l_ ** i / math.factorial(i) for i in range(kk + 1))
             assert abs(got[a, b] - want) < 1e-12
     _ = pd
+
+
+def test_poisson_cells_do_not_depend_on_their_block():
+    from math import erf, fsum, lgamma, log
+    from sigflow.operators.enrich import _erf, _poisson_cdf
+    alone = _poisson_cdf(np.array([3.0]), np.array([3.5, 9.5]))
+    assert np.array_equal(_poisson_cdf(np.array([3.0, 2001.0]), np.array([3.5, 9.5]))[0], alone[0])
+    assert np.allclose(alone, [[0.5366326679, 0.0148595]], atol=1e-6)
+    for k in (10, 299, 300, 301, 2000, 20000):
+        i = np.arange(k + 1)
+        lg = np.array([lgamma(v + 1.0) for v in i])
+        for lam in (0.5 * k, 0.97 * k, k + 0.5, 1.05 * k, 2.0 * k):
+            want = fsum(np.exp(-lam + i * log(lam) - lg))
+            assert abs(_poisson_cdf(np.array([float(k)]), np.array([lam]))[0, 0] - want) < 1e-9
+    x = np.linspace(-7, 7, 5001)
+    assert np.abs(_erf(x) - [erf(v) for v in x]).max() < 1e-15
+
+
+def test_large_collections_are_dealt_into_parts(spark, monkeypatch):
+    from sigflow.operators import enrich as E
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=30).tolist()) for i in range(4)], "sig_id long, features array<double>")
+    mem = spark.createDataFrame([(s, int(g)) for s in range(12) for g in rng.choice(30, 6, replace=False)],
+                                "pathway_id long, gene long")
+    whole = sorted(map(repr, E.enrichment_vectors(df, mem, min_size=2).collect()))
+    monkeypatch.setattr(E, "MEMBERSHIP_ROWS", 20)
+    assert sorted(map(repr, E.enrichment_vectors(df, mem, min_size=2).collect())) == whole
