@@ -3,7 +3,8 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Each query runs to completion through the ``noop`` sink (the whole plan
-executes, nothing is collected) and is timed separately. Prints one JSON line.
+executes, nothing is collected) and is timed separately. After every query the
+time so far goes to stderr; the last line on stdout is one JSON line.
 """
 
 from __future__ import annotations
@@ -50,9 +51,11 @@ def main() -> None:
         t0 = time.time()
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        spark.catalog.clearCache()
+        print(json.dumps({"query": name, "sec": times[name]}), file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf}))
+                      "unit": "sec", "queries": times, "sf": sf}), flush=True)
     spark.stop()
 
 

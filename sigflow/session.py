@@ -28,12 +28,25 @@ BASE_CONF = {
 }
 
 
+def default_heap() -> str:
+    """Three tenths of the memory that this process may use, 1 to 8 GB: the
+    rest is for Python workers, Arrow buffers and the system."""
+    limit = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    for name in ("/sys/fs/cgroup/memory.max", "/sys/fs/cgroup/memory/memory.limit_in_bytes"):
+        try:
+            with open(name) as f:
+                limit = min(limit, int(f.read()))
+        except (OSError, ValueError):
+            pass
+    return f"{min(8 << 10, max(1 << 10, int(limit * 0.3) >> 20))}m"
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
                   app: str = "sigflow", extra: dict | None = None) -> SparkSession:
     """A local[cpus] session with the settings above (tests and bench)."""
     b = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     conf = dict(BASE_CONF)
-    conf["spark.driver.memory"] = os.environ.get("SIGFLOW_DRIVER_MEMORY", "16g")
+    conf["spark.driver.memory"] = os.environ.get("SIGFLOW_DRIVER_MEMORY", default_heap())
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -87,7 +100,7 @@ def ship_package(spark: SparkSession) -> None:
     Spark copies it to every executor."""
     import zipfile
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
