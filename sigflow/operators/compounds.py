@@ -2,8 +2,8 @@
 hierarchical clustering per group, connected components, silhouette and
 drug encodings (CHM1-CHM8, FLT11).
 
-* Featurisation (CHM1) is a column expression: hashed character n-grams of
-  the whole string (md5 of each n-gram modulo ``n_bits``), or a caller
+* Featurisation (CHM1) is an Arrow-batched function: hashed character n-grams
+  of the whole string (md5 of each n-gram modulo ``n_bits``), or a caller
   function run with ``mapInPandas`` (e.g. a chemistry toolkit). The default
   is **not** a Morgan fingerprint.
 * The similarity join (CHM3) is an inverted index on bits. With a threshold
@@ -12,11 +12,13 @@ drug encodings (CHM1-CHM8, FLT11).
   exact verification): exact for every pair with similarity >= t, without
   generating the pairs that cannot reach t. Pairs sharing no bit are
   implicit zeros.
-* Average / complete / ward linkage (CHM4) is sequential by nature and runs
-  per group (one MOA, as the reference runs one job per MOA) inside
-  ``applyInPandas``; the group size is checked. Single linkage across any
-  number of rows is connected components on the edge list, fully
-  distributed (iterative min-label propagation with reliable checkpoints).
+* Average / complete / ward linkage (CHM4) is sequential by nature, but a
+  merge at a height up to the cutoff needs a pair of rows at most that far
+  apart, so no cluster crosses a connected component of those pairs: the
+  components are found by distributed label propagation and only the linkage
+  inside one component runs in a task (quadratic in that component).
+* Silhouettes (CHM6) come from sums over the pairs that share a bit; a pair
+  that shares none has distance 1 and needs no row.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigflow.operators.components import connected_components  # noqa: F401  (single linkage)
+from sigflow.operators.components import connected_components
+from sigflow.session import cut_lineage
 
-MAX_GROUP_ROWS = 20_000   # rows of one group clustered inside one task
+LENIENT = 1.0 - 1e-9      # filters before the exact test allow for round-off
 
 
 # ------------------------------------------------------------------ CHM1 / CHM2
@@ -125,6 +128,23 @@ def descriptors(df: DataFrame, key: str, text: str,
 
 
 # ------------------------------------------------------------------ CHM3
+def _salted_self_join(tok: DataFrame, g: list[str], salt_rows: int, also: F.Column | None = None) -> DataFrame:
+    """Pairs (a, b, na, nb), a < b, of the rows (_k, _n) of a token. A token
+    held by very many sets is salted: its rows are split into S sub-buckets (S
+    grows with the token's frequency) and every (bucket, bucket) pair is its
+    own join key, so one hot token becomes S^2 balanced tasks."""
+    freq = tok.groupBy(*g, "_t").agg(
+        F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") / F.lit(float(salt_rows))))).cast("int").alias("_nsalt"))
+    ts = tok.join(freq, g + ["_t"]).withColumn("_salt", F.pmod(F.xxhash64("_k"), F.col("_nsalt")).cast("int"))
+    seq = F.sequence(F.lit(0), F.col("_nsalt") - 1)
+    a = ts.select(*g, F.col("_k").alias("a"), F.col("_n").alias("na"), "_t",
+                  F.col("_salt").alias("_sa"), F.explode(seq).alias("_sb"))
+    b = ts.select(*g, F.col("_k").alias("b"), F.col("_n").alias("nb"), "_t",
+                  F.explode(seq).alias("_sa"), F.col("_salt").alias("_sb"))
+    on = F.col("a") < F.col("b")
+    return a.join(b, g + ["_t", "_sa", "_sb"]).where(on if also is None else on & also)
+
+
 def tanimoto_pairs(sets: DataFrame, key: str, bits: str = "bits", threshold: float = 0.0,
                    group_cols: Sequence[str] = (), salt_rows: int = 4096) -> DataFrame:
     """CHM3: (group..., a, b, inter, sim) for a < b in the same group with
@@ -132,36 +152,18 @@ def tanimoto_pairs(sets: DataFrame, key: str, bits: str = "bits", threshold: flo
     g = list(group_cols)
     s = sets.select(*g, F.col(key).alias("_k"), F.col(bits).alias("_b")).withColumn("_n", F.size("_b"))
     tok = s.select(*g, "_k", "_n", F.explode("_b").alias("_t"))
+    freq = tok.groupBy(*g, "_t").agg(F.count("*").alias("_f"))
     if threshold <= 0:
-        # every pair sharing a bit is output. A bit held by very many sets is
-        # salted: its rows are split into S sub-buckets (S grows with the
-        # bit's frequency) and every (bucket, bucket) pair is its own join
-        # key, so one hot bit becomes S^2 balanced tasks.
-        freq = tok.groupBy(*g, "_t").agg(
-            F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") / F.lit(float(salt_rows))))).cast("int")
-            .alias("_nsalt"))
-        ts = tok.join(freq, g + ["_t"]).withColumn("_salt", F.pmod(F.xxhash64("_k"), F.col("_nsalt")).cast("int"))
-        seq = F.sequence(F.lit(0), F.col("_nsalt") - 1)
-        a = ts.select(*g, F.col("_k").alias("a"), F.col("_n").alias("na"), "_t",
-                      F.col("_salt").alias("_sa"), F.explode(seq).alias("_sb"))
-        b = ts.select(*g, F.col("_k").alias("b"), F.col("_n").alias("nb"), "_t",
-                      F.explode(seq).alias("_sa"), F.col("_salt").alias("_sb"))
-        pairs = (a.join(b, g + ["_t", "_sa", "_sb"]).where(F.col("a") < F.col("b"))
+        # every pair sharing a bit is output
+        pairs = (_salted_self_join(tok, g, salt_rows)
                  .groupBy(*g, "a", "b", "na", "nb").agg(F.count("*").alias("inter")))
     else:
-        t = float(threshold)
-        freq = tok.groupBy(*g, "_t").agg(F.count("*").alias("_f"))
-        w = Window.partitionBy(*g).orderBy("_f", "_t") if g else Window.orderBy("_f", "_t")
-        # token order table: one row per distinct token (bounded by n_bits per group)
-        order = freq.withColumn("_o", F.row_number().over(w)).drop("_f")
-        ranked = tok.join(order, g + ["_t"])
-        wp = Window.partitionBy(*g, "_k").orderBy("_o")
-        pref = (ranked.withColumn("_pos", F.row_number().over(wp))
+        t = float(threshold) * LENIENT
+        wp = Window.partitionBy(*g, "_k").orderBy("_f", "_t")          # rare tokens first
+        pref = (tok.join(freq, g + ["_t"]).withColumn("_pos", F.row_number().over(wp))
                 .where(F.col("_pos") <= F.col("_n") - F.ceil(F.col("_n") * t) + 1))
-        a = pref.select(*g, F.col("_k").alias("a"), F.col("_n").alias("na"), "_t")
-        b = pref.select(*g, F.col("_k").alias("b"), F.col("_n").alias("nb"), "_t")
-        cand = (a.join(b, g + ["_t"]).where(F.col("a") < F.col("b"))
-                .where((F.col("nb") >= F.col("na") * t) & (F.col("na") >= F.col("nb") * t))
+        cand = (_salted_self_join(pref.select(*g, "_k", "_n", "_t"), g, salt_rows,
+                                  (F.col("nb") >= F.col("na") * t) & (F.col("na") >= F.col("nb") * t))
                 .select(*g, "a", "b", "na", "nb").distinct())
         sa = s.select(*g, F.col("_k").alias("a"), F.col("_b").alias("_ba"))
         sb = s.select(*g, F.col("_k").alias("b"), F.col("_b").alias("_bb"))
@@ -281,63 +283,78 @@ def silhouette(D: np.ndarray, labels: np.ndarray) -> float | None:
 
 def cluster_groups(sets: DataFrame, key: str, group_col: str, bits: str = "bits",
                    n_bits: int = 2048, cutoff: float = 0.6, method: str = "average",
-                   sim_threshold: float | None = None, silhouette_mode: str = "precomputed"
-                   ) -> DataFrame:
+                   sim_threshold: float | None = None) -> DataFrame:
     """CHM4 (+CHM5/CHM6 parts): per group, distance 1 - Tanimoto (values
     below ``sim_threshold`` set to 0 first, FLT11), linkage cut at
-    ``cutoff``. Returns (group, key, cluster_id (1-based), n_clusters,
-    silhouette). ``silhouette_mode='row_euclid'`` reproduces the reference's
-    call that treats the distance matrix as a feature matrix."""
+    ``cutoff`` < 1. Returns (group, key, cluster_id (1-based, by smallest
+    key), n_clusters, silhouette)."""
+    if not 0 <= cutoff < 1:
+        raise ValueError("cutoff must be at least 0 and below 1")
     gtype = sets.schema[group_col].dataType
     ktype = sets.schema[key].dataType
-    schema = T.StructType([T.StructField(group_col, gtype), T.StructField(key, ktype),
-                           T.StructField("cluster_id", T.LongType()),
-                           T.StructField("n_clusters", T.LongType()),
-                           T.StructField("silhouette", T.DoubleType())])
+    rows = sets.select(group_col, key, bits)
+    near = max((1.0 - cutoff) * LENIENT, sim_threshold or 0.0)
+    edges = tanimoto_pairs(rows, key, bits, threshold=near, group_cols=[group_col])
+    comp = connected_components(rows, edges, key, group_cols=[group_col])
+    several = comp.groupBy(group_col, "component").agg(F.count("*").alias("_size"))
+    rows = rows.join(comp, [group_col, key]).join(several, [group_col, "component"])
+    schema = T.StructType([T.StructField(group_col, gtype), T.StructField(key, ktype), T.StructField("_first", ktype)])
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_GROUP_ROWS:
-            raise ValueError(f"group of {len(pdf)} rows exceeds {MAX_GROUP_ROWS}; "
-                             "use single linkage (connected_components) for groups this large")
         pdf = pdf.sort_values(key).reset_index(drop=True)
         sim = _tanimoto_dense(pdf[bits].tolist(), n_bits)
         if sim_threshold is not None:
             sim = np.where(sim < sim_threshold, 0.0, sim)
             np.fill_diagonal(sim, 1.0)
-        D = 1.0 - sim
-        lab = linkage_clusters(D, cutoff, method)
-        if silhouette_mode == "row_euclid":
-            sq = (D * D).sum(axis=1)
-            E = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * D @ D.T, 0.0))
-            sil = silhouette(E, lab)
-        else:
-            sil = silhouette(D, lab)
-        return pd.DataFrame({group_col: pdf[group_col], key: pdf[key], "cluster_id": lab + 1,
-                             "n_clusters": len(np.unique(lab)),
-                             "silhouette": np.nan if sil is None else sil})
-
-    out = sets.select(group_col, key, bits).groupBy(group_col).applyInPandas(fn, schema)
-    return out.withColumn("silhouette", F.when(~F.isnan("silhouette"), F.col("silhouette")))
-
-
-def silhouette_groups(sets: DataFrame, key: str, group_col: str, label_col: str,
-                      bits: str = "bits", n_bits: int = 2048) -> DataFrame:
-    """CHM6 for given labels: per group, silhouette of ``label_col`` on
-    1 - Tanimoto distances (NULL for 1 or n clusters)."""
-    gtype = sets.schema[group_col].dataType
-    schema = T.StructType([T.StructField(group_col, gtype), T.StructField("silhouette", T.DoubleType())])
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_GROUP_ROWS:
-            raise ValueError(f"group of {len(pdf)} rows exceeds {MAX_GROUP_ROWS}")
-        D = 1.0 - _tanimoto_dense(pdf[bits].tolist(), n_bits)
-        codes = pd.factorize(pdf[label_col])[0]
-        sil = silhouette(D, codes)
-        return pd.DataFrame({group_col: [pdf[group_col].iloc[0]],
-                             "silhouette": [np.nan if sil is None else sil]})
-
-    out = sets.select(group_col, key, label_col, bits).groupBy(group_col).applyInPandas(fn, schema)
-    return out.withColumn("silhouette", F.when(~F.isnan("silhouette"), F.col("silhouette")))
+        lab = linkage_clusters(1.0 - sim, cutoff, method)
+        lead = np.unique(lab, return_index=True)[1]
+        return pd.DataFrame({group_col: pdf[group_col], key: pdf[key],
+                             "_first": pdf[key].to_numpy()[lead[lab]]})
+
+    alone = rows.where(F.col("_size") == 1).select(group_col, key, F.col(key).alias("_first"))
+    joined = (rows.where(F.col("_size") > 1).groupBy(group_col, "component").applyInPandas(fn, schema)
+              .unionByName(alone))
+    joined = cut_lineage(joined)                     # used by every step below
+    first = joined.select(group_col, "_first").distinct()
+    number = F.row_number().over(Window.partitionBy(group_col).orderBy("_first")).cast("bigint")
+    sil = silhouette_groups(sets.join(joined, [group_col, key]), key, group_col, "_first", bits, sim_threshold)
+    counts = first.groupBy(group_col).agg(F.count("*").alias("n_clusters"))
+    return (joined.join(first.withColumn("cluster_id", number), [group_col, "_first"])
+            .join(counts, group_col).join(sil, group_col)
+            .select(group_col, key, "cluster_id", "n_clusters", "silhouette"))
+
+
+def silhouette_groups(sets: DataFrame, key: str, group_col: str, label_col: str, bits: str = "bits",
+                      sim_threshold: float | None = None) -> DataFrame:
+    """CHM6 for given labels: per group, mean silhouette of ``label_col`` on
+    1 - Tanimoto distances (NULL for 1 or n clusters).
+
+    A row's mean distance to a cluster is 1 - (its similarities to the
+    members, summed) / (members), so only pairs that share a bit are made."""
+    lab = sets.select(group_col, F.col(key).alias("_i"), F.col(label_col).alias("_l"))
+    size = lab.groupBy(group_col, "_l").agg(F.count("*").alias("_m"))
+    group = size.groupBy(group_col).agg(F.count("*").alias("_k"), F.sum("_m").alias("_n"))
+    pairs = tanimoto_pairs(sets, key, bits, threshold=sim_threshold or 0.0, group_cols=[group_col])
+    both = (pairs.select(group_col, F.col("a").alias("_i"), F.col("b").alias("_j"), "sim")
+            .unionByName(pairs.select(group_col, F.col("b").alias("_i"), F.col("a").alias("_j"), "sim")))
+    other = lab.select(group_col, F.col("_i").alias("_j"), F.col("_l").alias("_lj"))
+    sums = both.join(other, [group_col, "_j"]).groupBy(group_col, "_i", "_lj").agg(F.sum("sim").alias("_s"))
+    sums = sums.join(size.select(group_col, F.col("_l").alias("_lj"), F.col("_m").alias("_mj")), [group_col, "_lj"])
+    own = F.col("_l").eqNullSafe(F.col("_lj"))
+    per = (lab.join(size, [group_col, "_l"]).join(group, group_col)
+           .join(sums, [group_col, "_i"], "left")
+           .groupBy(group_col, "_i", "_m", "_k", "_n").agg(
+               F.coalesce(F.sum(F.when(own, F.col("_s"))), F.lit(0.0)).alias("_own"),
+               F.min(F.when(F.col("_lj").isNotNull() & ~own, 1.0 - F.col("_s") / F.col("_mj"))).alias("_near"),
+               F.count(F.when(F.col("_lj").isNotNull() & ~own, 1)).alias("_met")))
+    a = F.when(F.col("_m") > 1, 1.0 - F.try_divide(F.col("_own"), F.col("_m") - 1))
+    # a cluster that shares no bit with the row is at distance 1
+    b = F.when(F.col("_met") < F.col("_k") - 1, F.least(F.coalesce("_near", F.lit(1.0)), F.lit(1.0))).otherwise(F.col("_near"))
+    per = per.withColumn("_a", a).withColumn("_b", b)
+    high = F.greatest("_a", "_b")
+    s = F.when(F.col("_a").isNull() | (high == 0), 0.0).otherwise(F.try_divide(F.col("_b") - F.col("_a"), high))
+    return (per.groupBy(group_col, "_k", "_n").agg(F.avg(s).alias("_s"))
+            .select(group_col, F.when((F.col("_k") >= 2) & (F.col("_k") < F.col("_n")), F.col("_s")).alias("silhouette")))
 
 
 # ------------------------------------------------------------------ CHM7 / CHM8

@@ -70,3 +70,41 @@ def test_tanimoto_salted_hot_bit_equals_plain(spark):
     plain = CH.tanimoto_pairs(df, "id", salt_rows=10 ** 9)
     assert salted.count() == 120 * 119 // 2
     assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+
+
+def test_clusters_by_component_equal_the_whole_group(spark):
+    from sigflow.operators import compounds as CH
+    rng = np.random.default_rng(4)
+    groups = {g: [sorted(rng.choice(24, size=rng.integers(1, 12), replace=False).tolist()) for _ in range(n)]
+              for g, n in (("a", 40), ("b", 25), ("one", 1))}
+    rows = [(g, i, b) for g, sets in groups.items() for i, b in enumerate(sets)]
+    df = spark.createDataFrame(rows, "grp string, id long, bits array<int>")
+    for threshold in (None, 0.5):
+        got = CH.cluster_groups(df, "id", "grp", n_bits=24, cutoff=0.55, sim_threshold=threshold).collect()
+        assert len(got) == len(rows)
+        for g, sets in groups.items():
+            sim = _tanimoto_dense(sets, 24)
+            if threshold:
+                sim = np.where(sim < threshold, 0.0, sim)
+                np.fill_diagonal(sim, 1.0)
+            own = sorted((r.id, r.cluster_id, r.n_clusters, r.silhouette) for r in got if r.grp == g)
+            want = linkage_clusters(1 - sim, 0.55)
+            assert [r[1] - 1 for r in own] == want.tolist() and own[0][2] == len(set(want.tolist()))
+            s = silhouette(1 - sim, want)
+            assert own[0][3] is None if s is None else abs(own[0][3] - s) < 1e-9
+
+
+def test_threshold_at_an_exact_ratio(spark):
+    from sigflow.operators import compounds as CH
+    df = spark.createDataFrame([(1, list(range(100))), (2, list(range(55)))], "id long, bits array<int>")
+    assert CH.tanimoto_pairs(df, "id", threshold=0.55).collect()[0].sim == 0.55
+
+
+def test_components_of_a_long_path_and_a_hub(spark, monkeypatch):
+    from sigflow.operators import components as K
+    monkeypatch.setattr(K, "HEAVY_ROWS", 50)
+    edges = [(i, i + 1) for i in range(400)] + [(1000, 1001 + i) for i in range(200)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    nodes = df.select(df.a.alias("id")).union(df.select("b"))
+    got = {r.id: r.component for r in K.connected_components(nodes, df).collect()}
+    assert all(got[i] == 0 for i in range(401)) and all(got[1000 + i] == 1000 for i in range(201))
