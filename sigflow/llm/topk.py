@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes are cut into segments of about log2(n) bits; an index holds every
+Codes are cut into segments of at most log2(n) bits; an index holds every
 distinct code under each of its segment values. Queries probe all values
 within a segment radius that grows by one a round. After radius r in all m
 segments every code within m * (r + 1) - 1 bits has been met, since a code
@@ -33,8 +33,9 @@ def sign_code(vector: str) -> Column:
 
 
 def segments(n: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment, about log2(n) bits wide."""
-    m = max(3, min(16, round(BITS / max(4.0, math.log2(max(n, 2))))))
+    """(first bit, width) of each segment, at most log2(n) bits wide: a probe
+    then meets a code on average, and few probes find an empty value."""
+    m = max(3, min(16, math.ceil(BITS / max(4.0, math.log2(max(n, 2))))))
     edges = [BITS * j // m for j in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
