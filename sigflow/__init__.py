@@ -4,6 +4,5 @@ compound similarity and clustering, response prediction.
 
 Layout: ``sources`` (readers, proxy views, file formats), ``functions``
 (column expressions), ``operators`` (DataFrame -> DataFrame steps),
-``plans`` (registered queries and their SQL oracles), ``streaming`` (empty:
-the reference has no streaming).
+``plans`` (registered queries and their SQL oracles).
 """

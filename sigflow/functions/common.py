@@ -16,17 +16,3 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
-
-
-def nan_to_null(c) -> F.Column:
-    """Float NaN -> NULL (pandas 'missing')."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.when(~F.isnan(col), col)
-
-
-def md5_key(seed, *parts) -> F.Column:
-    """Deterministic pseudo-random order key: md5(seed ':' parts joined by ':').
-    Identical in Spark SQL and DuckDB, so samples can be checked."""
-    cols = [F.lit(str(seed))] + [F.col(p).cast("string") if isinstance(p, str) else p.cast("string")
-                                 for p in parts]
-    return F.md5(F.concat_ws(":", *cols))

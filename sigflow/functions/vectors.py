@@ -1,6 +1,6 @@
 """Column expressions and small DataFrame steps over vector columns
-(``array<float|double>``). Everything stays JVM-side (higher-order
-functions), so it runs inside whole-stage code generation."""
+(``array<float|double>``): JVM higher-order functions (interpreted, not
+code-generated), and two Arrow-batched functions for ranks and unit vectors."""
 
 from __future__ import annotations
 
@@ -36,11 +36,6 @@ def norm(v) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def sq_dist(a, b) -> Column:
-    """Squared Euclidean distance."""
-    return vsum(F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) ** 2))
-
-
 def _unit_rows(mat: np.ndarray) -> np.ndarray:
     """Centre each row and scale it to unit norm; constant rows -> NaN."""
     c = mat - mat.mean(axis=1, keepdims=True)
@@ -110,10 +105,6 @@ def average_ranks(v) -> Column:
     return average_ranks_udf(_c(v))
 
 
-def to_double(v) -> Column:
-    return F.transform(_c(v), lambda x: x.cast("double"))
-
-
 def feature_stats(df: DataFrame, vec_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Per group: ``_mean`` and ``_scale`` arrays (population std, zero -> 1).
 

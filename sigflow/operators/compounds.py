@@ -373,7 +373,7 @@ def label_encode(df: DataFrame, index: DataFrame, col: str, out: str = "label_co
 def one_hot(df: DataFrame, index: DataFrame, col: str, out: str = "onehot") -> DataFrame:
     """CHM7: dense 0/1 vector over the training categories; unseen
     categories give the zero vector (unknowns ignored)."""
-    n = index.count()   # number of categories: bounded (<= 500 by the caller's rule)
+    n = index.count()   # number of categories
     j = df.join(index, col, "left")
     vec = F.transform(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)),
                       lambda i: F.when(i == F.col("_index"), 1.0).otherwise(0.0))

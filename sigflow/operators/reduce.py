@@ -75,7 +75,6 @@ def neighbor_graph(df: DataFrame, id_col: str, vec_col: str, k: int = 15, scale:
     nn = nn.where(F.col("q_id") != F.col("c_id"))
     per = nn.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("dist", "c_id"))).alias("_l"))
     target = float(np.log2(k))
-    idt = df.schema[id_col].dataType
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def weights(s: pd.Series) -> pd.Series:
@@ -98,5 +97,4 @@ def neighbor_graph(df: DataFrame, id_col: str, vec_col: str, k: int = 15, scale:
                         F.when(F.col("i") > F.col("j"), F.col("w")).alias("w_ba"))
     both = a.groupBy("a", "b").agg(F.coalesce(F.max("w_ab"), F.lit(0.0)).alias("x"),
                                    F.coalesce(F.max("w_ba"), F.lit(0.0)).alias("y"))
-    del idt
     return both.select("a", "b", (F.col("x") + F.col("y") - F.col("x") * F.col("y")).alias("weight"))

@@ -68,13 +68,22 @@ def win4_pair_cap(spark, sf):
     return p.groupBy("cell", "label").agg(F.count("*").alias("n_pairs"))
 
 
-def _study(spark, sf):
-    """All four setups share ids, cells and labels, hence one set of draws;
-    the four prepared vector tables meet the endpoints in one join."""
-    raw = px.signatures(spark, sf)
-    ends = C.draw_pair_endpoints(raw, "sig_id", "cell", "moa", MAX_PAIRS, SEED)
+def with_cluster(spark, sf, sigs):
+    """Signatures with the structure cluster of their drug; those without go."""
+    drug = A.first_compound_row(px.compounds(spark, sf))
+    ids = px.sig_info(spark, sf).select("sig_id", "pert_id").join(drug.select("pert_id", "cluster_id"), "pert_id")
+    return sigs.join(ids.select("sig_id", "cluster_id"), "sig_id").where(F.col("cluster_id").isNotNull())
+
+
+def _study(spark, sf, label="moa"):
+    """All four setups of a label share ids, cells and labels, hence one set
+    of draws; the four prepared vector tables meet the endpoints in one join."""
+    raw, pathway = px.signatures(spark, sf), pathway_matrix(spark, sf)
+    if label == "cluster_id":
+        raw, pathway = with_cluster(spark, sf, raw), with_cluster(spark, sf, pathway)
+    ends = C.draw_pair_endpoints(raw, "sig_id", "cell", label, MAX_PAIRS, SEED)
     parts = []
-    for matrix, m in (("raw", raw), ("pathway", pathway_matrix(spark, sf))):
+    for matrix, m in (("raw", raw), ("pathway", pathway)):
         for cor in ("pearson", "spearman"):
             v = C.correlation_ready(m.select(F.col("sig_id").alias("_id"), "features"), "features", cor)
             parts.append(v.select("_id", F.lit(matrix).alias("matrix"), F.lit(cor).alias("cor_type"), "_u"))
@@ -86,6 +95,13 @@ def ana5_full_study(spark, sf):
     return rounded(C.label_medians(_study(spark, sf), ["matrix", "cor_type"]))
 
 
+def ana5_all_setups(spark, sf):
+    """2 labels x 2 matrices x 2 correlations."""
+    parts = [C.label_medians(_study(spark, sf, label), ["matrix", "cor_type"]).withColumn("outname", F.lit(label))
+             for label in ("moa", "cluster_id")]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
 def ana14_compare_setups(spark, sf):
     med = C.label_medians(_study(spark, sf), ["matrix", "cor_type"])
     res = med.select("matrix", "cor_type", "cell", F.col("label").alias("moa"),
@@ -133,7 +149,7 @@ QUERIES = {
     "ANA1_pearson": ana1_pearson, "ANA2_spearman": ana2_spearman,
     "ANA3_intra_pairs": ana3_intra_pairs, "ANA4_null_sample": ana4_null_sample,
     "ANA2_spearman_pairs": ana2_spearman_pairs, "WIN4_pair_cap": win4_pair_cap,
-    "ANA5_full_study": ana5_full_study, "ANA14_compare_setups": ana14_compare_setups,
+    "ANA5_full_study": ana5_full_study, "ANA5_all_setups": ana5_all_setups, "ANA14_compare_setups": ana14_compare_setups,
     "AGG10_label_medians": agg10_label_medians, "AGG11_share_above_null": agg11_share_above_null,
     "AGG12_delta_summary": agg12_delta_summary, "AGG13_setup_medians": agg13_setup_medians,
     "AGG14_pivot": agg14_pivot, "AGG15_metric_vs_obs": agg15_metric_vs_obs,
@@ -147,6 +163,16 @@ _PATHWAY = """SELECT l.sig_id, s.cell, CAST(s.moa AS VARCHAR) AS label, p.pathwa
               GROUP BY ALL"""
 
 
+_CLUSTER = """(SELECT si.sig_id, CAST(c.cluster_id AS VARCHAR) AS cluster FROM v_sig_info si JOIN (
+               SELECT pert_id, cluster_id FROM v_compounds
+               QUALIFY row_number() OVER (PARTITION BY pert_id ORDER BY _ord) = 1) c USING (pert_id)
+           WHERE c.cluster_id IS NOT NULL)"""
+
+
+def _by_cluster(src: str) -> str:
+    return f"SELECT x.sig_id, x.cell, k.cluster AS label, x.gene, x.v FROM ({src}) x JOIN {_CLUSTER} k USING (sig_id)"
+
+
 def _prep(src: str, cor: str, p: str) -> str:
     x = ("v" if cor == "pearson" else
          "rank() OVER (PARTITION BY sig_id ORDER BY v) + (count(*) OVER (PARTITION BY sig_id, v) - 1) / 2.0")
@@ -219,12 +245,12 @@ def _next_sql(cor: str) -> str:
         ON b.sig_id = a.sig_id + 1 AND a.gene = b.gene GROUP BY a.sig_id"""
 
 
-def _study_sql() -> str:
+def _study_sql(label: str = "moa") -> str:
     parts, unions = [], []
     for m, src in (("raw", _RAW), ("pathway", _PATHWAY)):
         for cor in ("pearson", "spearman"):
             p = f"{m}_{cor}_"
-            parts.append(_pairs_sql(src, cor, p))
+            parts.append(_pairs_sql(src if label == "moa" else _by_cluster(src), cor, p))
             unions.append(f"SELECT '{m}' AS matrix, '{cor}' AS cor_type, * FROM {p}res")
     return ("WITH " + ",\n".join(parts) + ",\nstudy AS (" + " UNION ALL ".join(unions) + "),\n"
             "med AS (SELECT matrix, cor_type, cell, label, CASE WHEN count(r) = count(*) THEN "
@@ -255,6 +281,9 @@ ORACLES = {
         SELECT cell, label, count(*) AS n_pairs FROM res WHERE kind = 'intra' GROUP BY ALL"""),
     "ANA5_full_study": with_views(_study_sql() + """
         SELECT matrix, cor_type, cell, label, round(median_abs_r, 6) AS median_abs_r, n_pairs FROM med"""),
+    "ANA5_all_setups": with_views(" UNION ALL ".join(
+        f"SELECT '{label}' AS outname, * FROM ({_study_sql(label)} SELECT matrix, cor_type, cell, label, "
+        "round(median_abs_r, 6) AS median_abs_r, n_pairs FROM med)" for label in ("moa", "cluster_id"))),
     "ANA14_compare_setups": with_views(_study_sql() + """,
         nul AS (SELECT matrix, cor_type, cell, median_abs_r AS inter_moa FROM med WHERE label = '__inter_moa__'),
         d AS (SELECT x.matrix, x.cor_type, x.cell, n.inter_moa, x.median_abs_r - n.inter_moa AS delta

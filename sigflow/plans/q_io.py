@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from sigflow.functions.common import rounded
 
 from sigflow.operators import neighbors as nb
-from sigflow.plans import q_compounds, q_neighbors
+from sigflow.plans import q_compounds, q_ml, q_neighbors
 from sigflow.plans.oracles_base import with_views
 from sigflow.plans.q_correlations import pathway_matrix
 from sigflow.sources import formats as FM
@@ -175,10 +175,10 @@ def snk7_clusters(spark, sf):
 
 
 def snk4_ml_summary(spark, sf):
-    from sigflow.plans.q_ml import ml4_ridge_1feature
+    """The model summary, best R2 first, written as CSV and read again."""
     path = FM.scratch_path(spark, "ml_summary")
-    FM.write_table(ml4_ridge_1feature(spark, sf), path, "csv")
-    return spark.read.option("header", True).schema("target int, coef double, intercept double").csv(path)
+    FM.write_table(q_ml.ml10_own_models(spark, sf), path, "csv")
+    return spark.read.option("header", True).schema("model string, r2 double, mse double, mae double").csv(path)
 
 
 QUERIES = {
@@ -198,6 +198,7 @@ recs AS (SELECT DISTINCT record_id, 'compound' AS kind, 'C' || CAST((gene * 7) %
          UNION SELECT DISTINCT record_id, 'gene', CAST(gene AS VARCHAR) FROM rec)"""
 
 ORACLES = {
+    "SNK4_ml_summary": q_ml.ORACLES["ML10_own_models"],
     "SRC5_pathway_parquet": with_views("""
         SELECT l.sig_id, CAST(p.pathway_id AS INTEGER) AS pathway_id, round(avg(l.v), 6) AS score
         FROM v_signatures_long l JOIN v_pathways p USING (gene) GROUP BY ALL"""),

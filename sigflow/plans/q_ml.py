@@ -67,10 +67,10 @@ def drug_vectors(spark, sf, encoding="fingerprint", drugs=None):
     return A.hybrid_encoding(dense, desc, "drug_id", "vec", "vec")
 
 
-def ml_table(spark, sf, encoding="fingerprint"):
+def ml_table(spark, sf, encoding="fingerprint", inputs=None):
     """The feature table, written once to the shared checkpoint folder: every
     fit, split and fold below reads it instead of re-running the joins."""
-    obs, y, trans, metab = ml_inputs(spark, sf)
+    obs, y, trans, metab = inputs or ml_inputs(spark, sf)
     if encoding in ("onehot", "label"):
         idx = CH.category_index(obs, "drug_id")
         t, pws, names = M.prepare_features(obs, y, trans, metab, drug_index=idx, encoding=encoding)
@@ -172,13 +172,41 @@ def ml9_train_evaluate(spark, sf):
 def ml10_summary(spark, sf):
     d, _, _ = _ml_split(spark, sf)
     summary, _, _ = M.train_and_evaluate(d, models=("Ridge", "ElasticNet", "KernelRidge"))
-    return M.summarize(spark, summary)
+    return rounded(M.summarize(spark, summary).drop("train_time_s"))
 
 
 def ml11_per_target(spark, sf):
-    d, _, _ = _ml_split(spark, sf)
+    d, pws, _ = _ml_split(spark, sf)
     _, per, _ = M.train_and_evaluate(d, models=("Ridge", "ElasticNet", "KernelRidge"))
-    return rounded(M.per_target_table(spark, per))
+    return rounded(M.per_target_table(spark, per, pws))
+
+
+def _ridge_of(alpha):
+    """A caller's own model: ridge with another penalty."""
+    return lambda train, test: (M.predict(test, M.ridge_fit(train, alpha)), None)
+
+
+OWN_MODELS = {"Ridge1": _ridge_of(1.0), "Ridge1e6": _ridge_of(1e6)}
+
+
+def own_models(spark, sf):
+    """(summary, per-target) rows of two caller-supplied models."""
+    return M.train_and_evaluate(_one_feature(spark, sf), models=OWN_MODELS)[:2]
+
+
+def ml10_own_models(spark, sf):
+    return rounded(M.summarize(spark, own_models(spark, sf)[0]).drop("train_time_s")).withColumn("mse", F.round("mse", 3))
+
+
+def ml11_own_models(spark, sf):
+    return rounded(M.per_target_table(spark, own_models(spark, sf)[1], ["price", "discounted"]))
+
+
+def ml4_ridge_3feature(spark, sf):
+    d = cut_lineage(M.split(regression(spark, sf), "random", TEST_SIZE, SEED).where(~F.col("is_test")))
+    m = M.ridge_fit(d, alpha=1.0)
+    rows = [(j, *map(float, m.coef[:, j])) for j in range(m.coef.shape[1])]
+    return rounded(spark.createDataFrame(rows, "target int, w0 double, w1 double, w2 double"))
 
 
 def ml12_importances(spark, sf):
@@ -208,9 +236,9 @@ def ml14_full_pipeline(spark, sf):
 
 
 def ml15_grid(spark, sf):
-    rows = []
+    rows, inputs = [], ml_inputs(spark, sf)          # shared by all encodings
     for enc in ENCODINGS:
-        t, _, _ = ml_table(spark, sf, enc)
+        t, _, _ = ml_table(spark, sf, enc, inputs)
         for strat in SPLITS:
             d = cut_lineage(M.scale_train(M.split(t, strat, TEST_SIZE, SEED)))
             summary, _, _ = M.train_and_evaluate(d)
@@ -231,6 +259,8 @@ QUERIES = {
     "ML9_train_evaluate": ml9_train_evaluate, "ML10_summary": ml10_summary,
     "ML11_per_target": ml11_per_target, "ML12_importances": ml12_importances,
     "ML13_cv_scores": ml13_cv_scores, "ML13_group_folds": ml13_group_folds,
+    "ML4_ridge_3feature": ml4_ridge_3feature, "ML10_own_models": ml10_own_models,
+    "ML11_own_models": ml11_own_models,
     "ML14_full_pipeline": ml14_full_pipeline, "ML15_grid": ml15_grid,
 }
 
@@ -271,7 +301,59 @@ _RIDGE1 = _TRAIN + """,
                        AS r2
             FROM long GROUP BY target)"""
 
+def _ridge1_per(alpha: float) -> str:
+    return _RIDGE1.replace("+ 1.0)", f"+ {alpha!r})")
+
+
+def _own_sql(tail: str) -> str:
+    """Both models' per-target metrics, then ``tail``."""
+    parts = [f"SELECT '{name}' AS model, target, mse, mae, r2 FROM ({_ridge1_per(alpha)} SELECT * FROM per)"
+             for name, alpha in (("Ridge1", 1.0), ("Ridge1e6", 1e6))]
+    return with_views("WITH own AS (" + " UNION ALL ".join(parts) + ")" + tail)
+
+
+# closed form for three centred features: Cramer's rule on (G + I) w = r
+def _ridge3_sql() -> str:
+    g = {(i, j): f"sum((x{i} - m{i}) * (x{j} - m{j}))" + (" + 1.0" if i == j else "") for i in range(3) for j in range(i, 3)}
+    cols = [f"{v} AS g{i}{j}" for (i, j), v in g.items()]
+    cols += [f"sum((x{i} - m{i}) * (y{k} - n{k})) AS r{k}{i}" for k in range(2) for i in range(3)]
+    at = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+
+    def det(m):
+        return (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - "
+                f"{m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+
+    base = [[at(i, j) for j in range(3)] for i in range(3)]
+    out = []
+    for k in range(2):
+        w = []
+        for c in range(3):
+            m = [[f"r{k}{i}" if j == c else base[i][j] for j in range(3)] for i in range(3)]
+            w.append(f"round({det(m)} / {det(base)}, 6) AS w{c}")
+        out.append(f"SELECT {k} AS target, {', '.join(w)} FROM s")
+    return with_views(_TRAIN + f""",
+    tr AS (SELECT * FROM d WHERE NOT is_test),
+    mom AS (SELECT avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, avg(y0) AS n0, avg(y1) AS n1 FROM tr),
+    s AS (SELECT {', '.join(cols)} FROM tr, mom)
+    {' UNION ALL '.join(out)}""")
+
+
 ORACLES = {
+    "ML4_ridge_3feature": _ridge3_sql(),
+    "ML10_own_models": _own_sql("""
+        SELECT model, round(avg(r2), 6) AS r2, round(avg(mse), 3) AS mse, round(avg(mae), 6) AS mae FROM own GROUP BY model"""),
+    "ML11_own_models": _own_sql("""
+        SELECT target, CASE target WHEN 0 THEN 'price' ELSE 'discounted' END AS pathway,
+               round(max(CASE WHEN model = 'Ridge1' THEN r2 END), 6) AS "Ridge1",
+               round(max(CASE WHEN model = 'Ridge1e6' THEN r2 END), 6) AS "Ridge1e6" FROM own GROUP BY target"""),
+    "ML13_group_folds": with_views("WITH RECURSIVE " + _REG + f""",
+        g AS (SELECT cell_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, cell_id DESC) AS i FROM reg GROUP BY cell_id),
+        run AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS fold, list_transform(range({N_FOLDS}), lambda x: CAST(0 AS BIGINT)) AS load
+                UNION ALL
+                SELECT r.i + 1, list_position(r.load, list_min(r.load)) - 1,
+                       list_transform(r.load, lambda v, k: CASE WHEN k = list_position(r.load, list_min(r.load)) THEN v + g.n ELSE v END)
+                FROM run r JOIN g ON g.i = r.i + 1)
+        SELECT row_id, reg.cell_id, CAST(fold AS INTEGER) AS fold FROM reg JOIN g USING (cell_id) JOIN run ON run.i = g.i"""),
     "ML1_prepare_features": with_views("WITH " + _CMAP + f""",
         y AS (SELECT l.sig_id AS row_id, p.pathway_id, avg(l.v) AS v FROM v_signatures_long l
               JOIN v_pathways p USING (gene) GROUP BY ALL),

@@ -13,6 +13,7 @@ from sigflow.operators import aggregates as G
 from sigflow.operators import enrich as E
 from sigflow.operators import ml as M
 from sigflow.operators import reduce as R
+from sigflow.plans.oracles_base import with_views
 from sigflow.plans.q_ml import N_PW, _harm
 from sigflow.session import cut_lineage
 from sigflow.sources import proxies as px
@@ -60,6 +61,15 @@ def ana11_pca_ratios(spark, sf):
     return rounded(ratios)
 
 
+def ana11_pca_norms(spark, sf):
+    """With as many components as features the scores are a rotation: each
+    signature keeps its squared length, and so the variances their sum."""
+    d = px.signatures(spark, sf).select(F.size("features")).first()[0]
+    scores, _ = R.pca(px.signatures(spark, sf), "sig_id", "features", k=d)
+    square = reduce(lambda a, b: a + b, [F.col(f"pc{i + 1}") ** 2 for i in range(d)])
+    return rounded(scores.select("sig_id", square.alias("square")))
+
+
 def agg18_pca_centroids(spark, sf):
     scores, _ = R.pca(px.signatures(spark, sf), "sig_id", "features", k=2, carry=["moa"])
     return rounded(G.group_centroids(scores, "moa", "pc1", "pc2"))
@@ -104,8 +114,14 @@ QUERIES = {
     "ANA10_gsva_metabolomics": ana10_gsva_metabolomics,
     "ANA10_gsva_transcriptomics": ana10_gsva_transcriptomics,
     "ANA11_pca_scores": ana11_pca_scores, "ANA11_pca_ratios": ana11_pca_ratios,
+    "ANA11_pca_norms": ana11_pca_norms,
     "AGG18_pca_centroids": agg18_pca_centroids,
     "ANA12_neighbor_graph": ana12_neighbor_graph,
     "ANA13_threshold_study": ana13_threshold_study,
 }
-ORACLES: dict = {}
+ORACLES = {
+    "ANA11_pca_norms": with_views("""
+        WITH st AS (SELECT gene, avg(v) AS m, stddev_pop(v) AS s FROM v_signatures_long GROUP BY gene)
+        SELECT sig_id, round(sum(power((v - m) / CASE WHEN s < 2.220446049250313e-15 THEN 1.0 ELSE s END, 2)), 6) AS square
+        FROM v_signatures_long JOIN st USING (gene) GROUP BY sig_id"""),
+}
