@@ -3,7 +3,6 @@
 import math
 
 import numpy as np
-import pandas as pd
 
 from sigflow.operators import enrich as E
 
@@ -57,7 +56,6 @@ def test_poisson_cdf_exact():
         for b, l_ in enumerate(lam):
             want = sum(math.exp(-l_) * l_ ** i / math.factorial(i) for i in range(kk + 1))
             assert abs(got[a, b] - want) < 1e-12
-    _ = pd
 
 
 def test_poisson_cells_do_not_depend_on_their_block():

@@ -5,7 +5,6 @@ import math
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from sigflow.plans import registry
@@ -71,4 +70,3 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "lift" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
-    _ = F
