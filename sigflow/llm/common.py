@@ -44,6 +44,15 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def fix_splits(spark: SparkSession) -> None:
+    """Let scans cut files alike for the rest of the session. Spark's default
+    depends on the number of cores just now, so that losing executors between
+    two scans would number rows differently."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
 def text_of(col: str) -> Column:
     """The text, with NULL counted as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

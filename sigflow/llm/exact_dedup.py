@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigflow.llm.common import materialise, strip_spaces, text_of
+from sigflow.llm.common import fix_splits, materialise, strip_spaces, text_of
 
 DIRECTORY_BITS = 16          # a directory has at most 2**16 slots, whatever the data
 BUCKET_CAPACITY = 50_000     # index entries in a bucket before it splits
@@ -61,6 +61,7 @@ def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``df`` that stay, with all their columns. ``df`` is read
     more than once and must give the same rows in the same partitions, as a
     table scan does."""
+    fix_splits(df.sparkSession)
     stays = indexed(df, id_col, text_col).where("kept").select(F.col("row").alias("_sigflow_row"))
     return df.withColumn("_sigflow_row", F.monotonically_increasing_id()).join(stays, "_sigflow_row", "left_semi").drop("_sigflow_row")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigflow.llm.common import materialise, text_of
+from sigflow.llm.common import fix_splits, materialise, text_of
 from sigflow.llm.textbatch import SPACE, lower_bytes, padded, ragged, slices, word_view, words_of
 from sigflow.operators.components import connected_components, heavy_keys, lookup
 
@@ -305,5 +305,6 @@ def distinct_near(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str
     """One row of every component, with all its columns. ``df`` is read more
     than once and must give the same rows in the same partitions, as a table
     scan does."""
+    fix_splits(df.sparkSession)
     stays = grouped(df, shingle, radius, id_col, text_col).where("stays").select(F.col("row").alias("_sigflow_row"))
     return df.withColumn("_sigflow_row", F.monotonically_increasing_id()).join(stays, "_sigflow_row", "left_semi").drop("_sigflow_row")

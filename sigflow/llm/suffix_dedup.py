@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigflow.llm.anchors import block, rolling, sampled, span_hash
-from sigflow.llm.common import discard, materialise, text_of
+from sigflow.llm.common import discard, fix_splits, materialise, text_of
 from sigflow.llm.textbatch import MASKS, mix, padded, ragged, slices, texts, word_view
 from sigflow.operators.components import HEAVY_ROWS, HEAVY_SHARE, lookup
 
@@ -221,6 +221,7 @@ def cut_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_c
     scan does."""
     if block(gram) != gram or not 2 * gram <= length:
         raise ValueError("gram must be a power of two up to half the length")
+    fix_splits(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), *keep) \
         .withColumn("row", F.monotonically_increasing_id())
     spans = repeated_spans(rows.select("row", "text"), length, gram)
