@@ -162,4 +162,22 @@ ORACLES = {
         SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, neighbour_id, distance FROM d
         WINDOW o AS (PARTITION BY query_id ORDER BY distance, neighbour_id)
         QUALIFY row_number() OVER o <= 10""",
+    "op7_suffix_dedup": """
+        WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        n AS (SELECT doc_id, b, octet_length(b) AS n FROM t),
+        w AS (SELECT doc_id, i, md5_number(array_slice(b, i, i + 199)) AS h
+              FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS i FROM n WHERE n >= 200)),
+        r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+        f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new
+              FROM w WHERE h IN (SELECT h FROM r)),
+        g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+        s AS (SELECT doc_id, run, min(i) AS a, max(i) + 199 AS z FROM g GROUP BY doc_id, run),
+        k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS lo, a - 1 AS hi FROM s
+              UNION ALL SELECT n.doc_id, coalesce(max(z), 0) + 1, any_value(n) FROM n LEFT JOIN s USING (doc_id) GROUP BY n.doc_id),
+        kept AS (SELECT doc_id, string_agg(CASE WHEN hi >= lo THEN hex(array_slice(b, lo, hi)) ELSE '' END, '' ORDER BY lo) AS x
+                 FROM k JOIN n USING (doc_id) GROUP BY doc_id),
+        c AS (SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans FROM s GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+               sha256(unhex(x)) AS kept_sha256
+        FROM n JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id)""",
 }
