@@ -235,16 +235,25 @@ def ml14_full_pipeline(spark, sf):
     return rounded(M.summarize(spark, summary).drop("train_time_s"))
 
 
+PARALLEL_SETUPS = 4          # grid setups fitted at once: each is many small Spark jobs
+
+
 def ml15_grid(spark, sf):
-    rows, inputs = [], ml_inputs(spark, sf)          # shared by all encodings
-    for enc in ENCODINGS:
-        t, _, _ = ml_table(spark, sf, enc, inputs)
-        for strat in SPLITS:
-            d = cut_lineage(M.scale_train(M.split(t, strat, TEST_SIZE, SEED)))
-            summary, _, _ = M.train_and_evaluate(d)
-            rows += [(enc, strat) + tuple(r[:4]) for r in summary]
+    from concurrent.futures import ThreadPoolExecutor
+    inputs = ml_inputs(spark, sf)                    # shared by all encodings
+    tables = {enc: ml_table(spark, sf, enc, inputs)[0] for enc in ENCODINGS}
+
+    def setup(key):
+        enc, strat = key
+        d = cut_lineage(M.scale_train(M.split(tables[enc], strat, TEST_SIZE, SEED)))
+        summary, _, _ = M.train_and_evaluate(d)
+        return [(enc, strat) + tuple(r[:4]) for r in summary]
+
+    with ThreadPoolExecutor(PARALLEL_SETUPS) as pool:
+        found = list(pool.map(setup, [(enc, strat) for enc in ENCODINGS for strat in SPLITS]))
     return rounded(spark.createDataFrame(
-        rows, "encoding string, split string, model string, r2 double, mse double, mae double"))
+        [r for rows in found for r in rows],
+        "encoding string, split string, model string, r2 double, mse double, mae double"))
 
 
 QUERIES = {
