@@ -69,6 +69,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     # the first (radius, segment) at which a pair meets: it counts there only
     meets = reduce(F.least, [F.bit_count(segment(differ, a, w)) * m + j for j, (a, w) in enumerate(cuts)])
     order = Window.partitionBy("query").orderBy("distance", "least", "code")
+    # ids of codes at the same distance interleave: only those strictly nearer come before all of a code's
+    nearer = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
     open_ = cut_lineage(asked.select("query").distinct().withColumn("bound", F.lit(BITS + 1)))
     best, done = None, []
     for radius in range(max(w for _, w in cuts) + 1):
@@ -87,7 +89,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if best is not None:
             met = met.unionByName(best.join(open_.select("query"), "query", "left_semi"))
         near = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
-        near = near.withColumn("before", F.sum("n").over(order) - F.col("n")).where(F.col("before") < k).drop("before")
+        near = near.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where(F.col("before") < k).drop("before")
         best = cut_lineage(near)
         bounds = best.groupBy("query").agg(F.when(F.sum("n") >= k, F.max("distance")).otherwise(BITS + 1).alias("bound"))
         covered = m * (radius + 1) - 1

@@ -24,6 +24,16 @@ def test_against_brute_force(spark):
         assert sorted(repr(tuple(r)) for r in got) == brute(rows, asked, k)
 
 
+def test_tied_codes_with_interleaved_ids(spark):
+    # both codes are one bit from the query; the first has the smallest id, the second the next ones
+    rows = [(1, 1)] + [(i, 1) for i in range(100, 200, 2)] + [(2, 2)] + [(i, 2) for i in range(101, 200, 2)] + \
+        [(3, 7)] + [(4, 2**40 | 2**20)]
+    df = spark.createDataFrame(rows, "id long, code long")
+    for k in (1, 2, 10):
+        got = T.top_k(df, spark.createDataFrame([(0, 0)], "id long, code long"), k).collect()
+        assert sorted(repr(tuple(r)) for r in got) == brute(rows, [(0, 0)], k)
+
+
 def test_few_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, 5), (2, -1)], "id long, code long")
     got = T.top_k(df, df, 10).collect()
