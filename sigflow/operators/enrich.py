@@ -111,25 +111,38 @@ def enrichment_vectors(df: DataFrame, membership: DataFrame, key: str = "sig_id"
                        weight_p: float = 1.0, min_size: int = MIN_SIZE,
                        max_size: int = MAX_SIZE) -> DataFrame:
     """ANA9 at scale: one signature per row, gene = vector position. A
-    collection of more than ``MEMBERSHIP_ROWS`` members is dealt by set into
-    parts of about half that size, each its own pass over the signatures."""
-    # sets beyond max_size give no score; without them a part cannot be much larger than its share
-    sizes = membership.groupBy(set_col).agg(F.count("*").alias("_n")).where(F.col("_n") <= max_size + min_size)
-    n_mem = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    collection of more than ``MEMBERSHIP_ROWS`` distinct members is dealt by set
+    into parts of about half that size, each its own pass over the signatures."""
+    held = membership.select(set_col, gene).distinct()
+    n_mem = held.count()
     if n_mem > MEMBERSHIP_ROWS:
-        parts = -(-2 * n_mem // MEMBERSHIP_ROWS)
-        part = F.pmod(F.xxhash64(F.col(set_col)), F.lit(parts))
-        fit = membership.join(sizes.select(set_col), set_col, "left_semi")
-        return reduce(DataFrame.unionByName, [
-            enrichment_vectors(df, fit.where(part == i), key, vec_col, set_col, gene, weight_p, min_size, max_size)
-            for i in range(parts)])
-    rows = membership.select(set_col, gene).join(sizes.select(set_col), set_col, "left_semi").collect()
+        # the size rule is on members in the matrix: others can go, and so can a set that is
+        # beyond max_size in every vector; a part then cannot be much larger than its share
+        n = F.array_size(vec_col)
+        short, wide = df.agg(F.min(n), F.max(n)).first()
+        held = held.where(F.col(gene) < F.lit(wide))
+        sizes = (held.groupBy(set_col).agg(F.count("*").alias("_n"), F.count_if(F.col(gene) < F.lit(short)).alias("_in"))
+                 .where(F.col("_in") <= max_size))
+        n_mem = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        held = held.join(sizes.select(set_col), set_col, "left_semi")
+    if n_mem <= MEMBERSHIP_ROWS:
+        return _score_part(df, held, key, vec_col, set_col, gene, weight_p, min_size, max_size)
+    parts = -(-2 * n_mem // MEMBERSHIP_ROWS)
+    part = F.pmod(F.xxhash64(F.col(set_col)), F.lit(parts))
+    return reduce(DataFrame.unionByName, [
+        _score_part(df, held.where(part == i), key, vec_col, set_col, gene, weight_p, min_size, max_size)
+        for i in range(parts)])
+
+
+def _score_part(df: DataFrame, held: DataFrame, key: str, vec_col: str, set_col: str, gene: str, weight_p: float,
+                min_size: int, max_size: int) -> DataFrame:
+    rows = held.select(set_col, gene).collect()
     members: dict = {}
     for r in rows:
         members.setdefault(r[0], []).append(int(r[1]))
     members = {k: np.array(sorted(set(v)), dtype=np.int64) for k, v in members.items()}
     key_type = df.schema[key].dataType.simpleString()
-    set_type = membership.schema[set_col].dataType.simpleString()
+    set_type = held.schema[set_col].dataType.simpleString()
 
     def fn(it):
         for pdf in it:

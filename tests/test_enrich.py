@@ -83,3 +83,20 @@ def test_large_collections_are_dealt_into_parts(spark, monkeypatch):
     whole = sorted(map(repr, E.enrichment_vectors(df, mem, min_size=2).collect()))
     monkeypatch.setattr(E, "MEMBERSHIP_ROWS", 20)
     assert sorted(map(repr, E.enrichment_vectors(df, mem, min_size=2).collect())) == whole
+
+
+def test_set_size_counts_distinct_members_of_the_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(3, 40))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "sig_id long, features array<double>")
+    rows = [(1, g) for g in range(5, 100)] + [(2, 7), (2, 9), (2, 11)] * 30 + [(3, g) for g in range(38)] + [(4, 3), (4, 8)]
+    mem = spark.createDataFrame(rows, "pathway_id long, gene long")
+    long = spark.createDataFrame([(i, g, float(x)) for i, v in enumerate(vectors) for g, x in enumerate(v)],
+                                 "sig_id long, gene long, v double")
+    want = {(r[0], r[1]): (r.es, r.n_hits) for r in E.prerank_long(long, mem.distinct(), min_size=2, max_size=36).collect()}
+    assert {k[1] for k in want} == {1, 2, 4}                 # set 1 has 95 members, 35 in the matrix; set 3 has 38
+    for limit in (E.MEMBERSHIP_ROWS, 20):
+        monkeypatch.setattr(E, "MEMBERSHIP_ROWS", limit)
+        got = {(r[0], r[1]): (r.es, r.n_hits) for r in E.enrichment_vectors(df, mem, min_size=2, max_size=36).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
