@@ -6,12 +6,15 @@ position). A template copied without change has all its hits on one diagonal;
 an inserted or dropped word moves the rest of the hits to a neighbouring one.
 Votes are added up by diagonal, diagonals no further apart than ``SLACK`` are
 merged into a span, and a span is verified by the share of the template's
-grams it holds. Base phrases are short templates whose grams must all lie on
+places it holds, however often a place was hit. Base phrases are short templates whose grams must all lie on
 one diagonal, in which case the phrase stands there word by word.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +22,8 @@ from sigflow.llm.common import lower_ascii, text_of
 
 K = 2                        # words in a gram
 SLACK = 4                    # distance of neighbouring diagonals, in words
-LEAST_SHARE = 0.6            # of a template's grams that a verified span must hold
+LEAST_SHARE = 0.6            # of a template's places that a verified span must hold
+MASK = 62                    # template places in one mask
 
 # fixed values: phrases and labels that must match
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -93,8 +97,14 @@ def scan_licenses(df: DataFrame, phrases: dict[str, str] | None = None, template
             .withColumn("own", F.col("at") == 0)
             .join(table.withColumnsRenamed({"gram": "held"}), F.col("gram").eqNullSafe(F.col("held")))
             .withColumn("diagonal", F.when(F.col("own"), F.lit(0)).otherwise(F.col("at") - 1 - F.col("place"))))
+    # the distinct places as bit masks, whose number is that of the longest template's words by MASK
+    longest = max(len(t.split(" ")) for t in [*phrases, *templates.values()])
+    masks = [f"mask{j}" for j in range(-(-longest // MASK))]
+    bit = F.expr(f"shiftleft(1L, pmod(place, {MASK}))")
     votes = hits.groupBy("row", "label", "diagonal", "size").agg(
-        F.count("*").alias("votes"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
+        *[F.bit_or(F.when(F.floor(F.col("place") / MASK) == j, bit).otherwise(F.lit(0).cast("long"))).alias(m)
+          for j, m in enumerate(masks)],
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
     # neighbouring diagonals of a template form one span
     order = Window.partitionBy("row", "label").orderBy("diagonal")
     is_text = F.col("label").startswith("text:")
@@ -102,11 +112,11 @@ def scan_licenses(df: DataFrame, phrases: dict[str, str] | None = None, template
     spans = (votes.withColumn("new", F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0))
              .withColumn("span", F.sum("new").over(order))
              .groupBy("row", "label", "span", "size")
-             .agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("from"), F.max("diagonal").alias("to"),
+             .agg(reduce(add, [F.bit_count(F.bit_or(m)) for m in masks]).alias("held"), F.min("diagonal").alias("from"), F.max("diagonal").alias("to"),
                   F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
-             .withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.greatest("size", F.lit(1)))))
+             .withColumn("share", F.col("held") / F.greatest("size", F.lit(1))))
     is_base = F.col("label").startswith("base:")
-    good = F.when(is_base, F.col("votes") == F.col("size")).otherwise(is_text & (F.col("share") >= LEAST_SHARE))
+    good = F.when(is_base, F.col("held") == F.col("size")).otherwise(is_text & (F.col("share") >= LEAST_SHARE))
     name = F.when(is_base, F.split_part("label", F.lit(":"), F.lit(2))).otherwise(F.substring("label", 6, 1 << 30))
     at = F.when(good & is_base, F.col("from")).cast("long")
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, name))), ",")

@@ -27,3 +27,13 @@ def test_base_against_brute_force(spark):
     inserted = next(r for r in got if r.doc_id == 7)     # one more word: two neighbouring diagonals of one span
     assert inserted.labels == "mit-text" and inserted.n_spans == 1 and inserted.score < 1
     assert L.scan_licenses(df.limit(0)).collect() == []
+
+
+def test_a_repeated_gram_is_no_template(spark):
+    texts = ["4.0, 4.0, 4.0, 4.0", "2.0 2.0 2.0 2.0 2.0", "all rights, all rights", "licensed under cc by nc 4.0 4.0 4.0"]
+    got = {r.doc_id: r for r in L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[i].labels, got[i].score, got[i].n_spans) for i in range(3)] == [("", 0.0, 0)] * 3
+    assert (got[3].labels, got[3].score, got[3].n_spans) == ("cc-by-nc-line", 1.0, 1)
+    long = " ".join(f"w{i}" for i in range(150))                 # more places than a mask has
+    df = spark.createDataFrame([(0, long), (1, " ".join(long.split()[:80])), (2, "w0 w1 " * 200)], "doc_id long, text string")
+    assert {(r.doc_id, r.labels) for r in L.scan_licenses(df, templates={"long": long}).collect()} == {(0, "long"), (1, ""), (2, "")}
