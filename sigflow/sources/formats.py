@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,36 +78,40 @@ def write_gct(long_df: DataFrame, row: str, col: str, value: str, path: str) ->
     n_rows = long_df.select(row).distinct().count()
     spark = long_df.sparkSession
     head = spark.createDataFrame(
-        [(0, "#1.2"), (1, f"{n_rows}\t{len(cols)}"), (2, "\t".join(["Name", "Description"] + cols))],
-        "_o int, value string")
+        [("\n".join(["#1.2", f"{n_rows}\t{len(cols)}", "\t".join(["Name", "Description"] + cols)]),)], "value string")
     order = spark.createDataFrame([(c, i) for i, c in enumerate(cols)], "_c string, _p int")
     body = (long_df.select(F.col(row).cast("string").alias("_r"), F.col(col).cast("string").alias("_c"),
                            F.col(value).cast("string").alias("_v"))
             .join(order, "_c").groupBy("_r")
             .agg(F.map_from_entries(F.collect_list(F.struct("_p", "_v"))).alias("_m"))
-            .select(F.lit(3).alias("_o"),
-                    F.concat_ws("\t", F.col("_r"), F.lit("na"),
+            .select(F.concat_ws("\t", F.col("_r"), F.lit("na"),
                                 F.concat_ws("\t", F.transform(F.sequence(F.lit(0), F.lit(len(cols) - 1)),
                                                               lambda i: F.coalesce(F.element_at("_m", i),
                                                                                    F.lit("nan"))))).alias("value")))
-    # header and body lines may land in different part files: the reader
-    # finds the header by its content, so no single-task write is needed
-    head.unionByName(body).select("value").write.mode("overwrite").text(path)
+    # the first three lines are one row, so they begin one part file; the others
+    # hold body lines only, and no single-task write is needed
+    head.unionByName(body).write.mode("overwrite").text(path)
 
 
 def read_gct(spark: SparkSession, path: str, row_name: str = "gene", col_name: str = "sample"
              ) -> DataFrame:
-    """SRC8: GCT text -> long (row, col, value). The version and dimension
-    lines are skipped; column names come from the header line,
-    joined by position (the transpose of the reference is free in long
-    form). 'nan' / empty cells become NULL."""
-    lines = spark.read.text(path)
+    """SRC8: GCT text -> long (row, col, value). Lines are told by position: a
+    file that begins with a version line has the dimensions in its second and
+    the column names in its third line; all others are rows, as are all lines
+    of part files without a version line. Column names are joined by position
+    (the transpose of the reference is free in long form). 'nan' / empty cells
+    become NULL."""
+    # lines are numbered in the block of a file that one task reads
+    block = Window.partitionBy("_file", "_start").orderBy("_id")
+    lines = (spark.read.text(path)
+             .select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                     F.monotonically_increasing_id().alias("_id"))
+             .withColumn("_line", F.row_number().over(block))
+             .withColumn("_gct", (F.col("_start") == 0) & F.first("value").over(block).rlike(r"^#1\.\d+\s*$")))
     arr = F.split("value", "\t")
     values = lambda a: F.slice(a, F.lit(3), F.greatest(F.size(a) - 2, F.lit(0)))
-    # the version line and the line of two (1.2) or four (1.3) dimensions
-    preamble = F.col("value").rlike(r"^#1\.\d+\s*$") | F.col("value").rlike(r"^\d+\t\d+(\t\d+\t\d+)?\s*$")
-    header = lines.where(F.col("value").startswith("Name\t")).select(F.posexplode(values(arr)).alias("_p", col_name))
-    body = (lines.where(~preamble & ~F.col("value").startswith("Name\t"))
+    header = lines.where(F.col("_gct") & (F.col("_line") == 3)).select(F.posexplode(values(arr)).alias("_p", col_name))
+    body = (lines.where(~F.col("_gct") | (F.col("_line") > 3))
             .select(arr.alias("_a")).where(F.size("_a") >= 3)
             .select(F.col("_a")[0].alias(row_name), F.posexplode(values(F.col("_a"))).alias("_p", "_v")))
     val = F.when(F.lower(F.col("_v")).isin("nan", ""), F.lit(None)).otherwise(F.col("_v").cast("double"))

@@ -41,6 +41,18 @@ def test_gct_round_shape(spark, tmp_path):
     assert rows[("g2", "S2")] is None and rows[("g3", "S4")] == 12.0
 
 
+def test_gct_rows_that_look_like_the_preamble(spark, tmp_path):
+    text = ("#1.2\n3\t2\nName\tDescription\tS1\tS2\n"
+            "1000\t5\t3\t7\nName\tna\t1\t2\n7\t8\t9\t10\n")
+    path = _write(tmp_path, "m.gct", text)
+    want = {("1000", "S1", 3.0), ("1000", "S2", 7.0), ("Name", "S1", 1.0), ("Name", "S2", 2.0), ("7", "S1", 9.0), ("7", "S2", 10.0)}
+    assert {tuple(r) for r in FM.read_gct(spark, path).collect()} == want
+    # a folder of part files
+    long = spark.createDataFrame(sorted(want), "gene string, sample string, value double").repartition(5)
+    FM.write_gct(long, "gene", "sample", "value", str(tmp_path / "parts"))
+    assert {tuple(r) for r in FM.read_gct(spark, str(tmp_path / "parts")).collect()} == want
+
+
 def test_flat_records_sections(spark):
     recs = [
         ("A", "ENTRY A\nGENE        1  a\n            2  b\nCOMPOUND    C1  x\n            C2  y\n"
