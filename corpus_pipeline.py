@@ -23,14 +23,15 @@ from sigflow.sources.tables import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those that have none (``und``: NULL or
-    without any letter) go."""
+    """Documents that can have a language; those that are NULL or without any
+    letter go. Where no document has a label nothing is learned, and documents
+    with letters stay."""
     ship_package(spark)
     langs, prototypes = langid.train(docs)
     # own names, so that no column of the documents clashes with a result
     names = {f"c{i}": c for i, c in enumerate(docs.columns)}
-    found = langid.predict(docs, langs, prototypes, {n: F.col(c) for n, c in names.items()})
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*[F.col(n).alias(c) for n, c in names.items()])
+    found = langid.predict(docs, langs, prototypes, {n: F.col(c) for n, c in names.items()}, letters="letters")
+    return found.where("letters").select(*[F.col(n).alias(c) for n, c in names.items()])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

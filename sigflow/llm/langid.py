@@ -117,8 +117,9 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensi
 
 
 def predict(df: DataFrame, langs: list[str], prototypes: np.ndarray, keep: dict[str, Column], text_col: str = "text",
-            dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """The columns ``keep`` and lang_pred, score (the cosine, 0 if negative).
+            dimensions: int = DIMENSIONS, seed: int = SEED, letters: str | None = None) -> DataFrame:
+    """The columns ``keep`` and lang_pred, score (the cosine, 0 if negative),
+    and under the name ``letters``, if given, whether the text has a letter.
     A text that is NULL or has no letter is ``und`` with score 0; equal cosines
     give the language first in order."""
     rows = df.select(text_of(text_col).alias("_text"), *[c.alias(n) for n, c in keep.items()])
@@ -127,22 +128,26 @@ def predict(df: DataFrame, langs: list[str], prototypes: np.ndarray, keep: dict[
     def run(batches):
         vectors = gram_vectors(dimensions, seed)
         for batch, data, offsets in slices(batches, "_text"):
-            bundles, known = [], []
+            bundles, lettered = [], []
             for code, count, has in gram_counts(data, offsets):
                 bundles.append(count.astype(np.float32) @ vectors[code])
-                known.append(has and len(langs) > 0)
+                lettered.append(has)
             x = np.array(bundles, np.float64).reshape(len(bundles), dimensions)
             pred, score = np.full(len(x), UNKNOWN, object), np.zeros(len(x))
             if len(langs):
                 cosine = (x @ unit) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 best = np.round(cosine, 9).argmax(1)
-                known = np.array(known, bool)
+                known = np.array(lettered, bool)
                 pred[known] = np.array(langs, object)[best[known]]
                 score[known] = np.clip(cosine[np.arange(len(x)), best], 0, 1)[known]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score)],
-                                             [*batch.schema.names[1:], "lang_pred", "score"])
+            made = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)}
+            if letters:
+                made[letters] = pa.array(lettered, pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made.values()], [*batch.schema.names[1:], *made])
 
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    if letters:
+        schema = schema.add(letters, "boolean")
     return rows.mapInArrow(run, schema)
 
 

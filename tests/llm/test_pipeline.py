@@ -73,3 +73,10 @@ def test_stages(spark, tmp_path, rows):
 def test_run_returns_the_last_stage(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
+
+
+@pytest.mark.parametrize("label", [None, "und"])
+def test_language_stage_keeps_texts_with_letters(spark, label):
+    rows = [(i, t, label, "s", 0, "x") for i, t in enumerate(["some words", "12 $$", None, "", "\u0434\u0430"])]
+    out = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[4]]
