@@ -1,11 +1,12 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1; a letter ``k`` places before
-the end of an n-gram is permuted (rotated) ``k`` times, an n-gram's vector is
-the product (binding) of its letters' vectors, a text's vector the sum
-(bundle) of its n-grams' vectors. A language's prototype is the bundle of all
-its training texts. A text gets the language of the prototype with the
-largest cosine. Letters beyond the alphabet's size share vectors by hashing.
+Every letter has a random vector of +1 and -1, drawn from a hash of its code
+point; a letter ``k`` places before the end of an n-gram is permuted (rotated)
+``k`` times, an n-gram's vector is the product (binding) of its letters'
+vectors, a text's vector the sum (bundle) of its n-grams' vectors. A language's
+prototype is the bundle of all its training texts. A text gets the language of
+the prototype with the largest cosine. Letters of all scripts are lower-cased;
+combining marks count as letters inside a text that has letters.
 """
 
 from __future__ import annotations
@@ -19,100 +20,160 @@ from pyspark.sql import functions as F
 
 from sigflow.llm.common import text_of
 from sigflow.llm.pieces import LETTER, classes, decode
-from sigflow.llm.textbatch import slices
+from sigflow.llm.textbatch import mix, slices
 
 DIMENSIONS = 512
-LETTERS = 31                 # symbols; 0 stands between words
 GRAM = 3
 SEED = 7
 UNKNOWN = "und"
+LATIN = 27                   # symbols 0 (between words) to 26 (z): bound vectors kept as a table
+SHIFT = 21                   # bits of a symbol in an n-gram's code
+BLOCK = 4096                 # n-grams bound at once
+HELD = 1 << 20               # n-grams of one language held before they are bundled
 
 
 @functools.lru_cache(1)
 def symbols() -> np.ndarray:
-    """The symbol of every code point: letters 1 to ``LETTERS`` (a-z have
-    their own, the others share the rest by code), anything else 0."""
-    lower = np.arange(0x110000, dtype=np.uint32)
-    for c in range(0x250):               # letters with simple lower-case forms
-        low = chr(c).lower()
-        if len(low) == 1:
-            lower[c] = ord(low)
-    beyond = 27 + lower % np.uint32(LETTERS - 26)
-    out = np.where((lower >= 97) & (lower < 123), lower - 96, beyond).astype(np.int32)
-    return np.where(classes() == LETTER, out, 0)
+    """The symbol of every code point: 1 to 26 for a-z, ``LATIN`` + its
+    lower-case code point for any other letter or mark, else 0."""
+    import regex
+    lower = np.arange(0x110000, dtype=np.int32)
+    for c in range(0x1F000):             # no cased letter lies beyond
+        if not 0xD800 <= c < 0xE000:
+            low = chr(c).lower()
+            if len(low) == 1:
+                lower[c] = ord(low)
+    own = classes() == LETTER
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    own[[ord(c) for c in regex.findall(r"\p{M}", every)]] = True
+    out = np.where((lower >= 97) & (lower < 123), lower - 96, lower + LATIN)
+    return np.where(own, out, 0).astype(np.int32)
+
+
+def letter_vectors(symbol: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """The vectors of symbols: one +1 or -1 for each bit of their hashes."""
+    words = np.arange(-(-dimensions // 64), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        key = mix(symbol.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        bits = mix(mix(key[:, None] + (words + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)))
+    flags = np.unpackbits(bits.astype("<u8").view(np.uint8).reshape(len(symbol), -1), axis=1, bitorder="little")
+    return (2 * flags[:, :dimensions].astype(np.int8) - 1)
+
+
+def bind(code: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """The bound vectors of n-gram codes."""
+    out = np.ones((len(code), dimensions), np.int8)
+    for k in range(GRAM):
+        found, of = np.unique((code >> (SHIFT * k)) & ((1 << SHIFT) - 1), return_inverse=True)
+        out *= np.roll(letter_vectors(found, dimensions, seed), k, axis=1)[of]
+    return out
 
 
 @functools.lru_cache(2)
-def gram_vectors(dimensions: int, seed: int) -> np.ndarray:
-    """The bound vector of every n-gram code (base ``LETTERS`` + 1)."""
-    rng = np.random.default_rng(seed)
-    letter = rng.choice(np.array([-1, 1], np.int8), (LETTERS + 1, dimensions))
-    bound = np.ones((1, dimensions), np.int8)
-    for k in range(GRAM - 1, -1, -1):
-        placed = np.roll(letter, k, axis=1)
-        bound = (bound[:, None, :] * placed[None, :, :]).reshape(-1, dimensions)
-    return bound.astype(np.float32)
+def latin_vectors(dimensions: int, seed: int) -> np.ndarray:
+    """The bound vectors of the n-grams over a-z and the separator."""
+    at = np.arange(LATIN**GRAM)
+    code = sum(((at // LATIN**k) % LATIN) << (SHIFT * k) for k in range(GRAM))
+    return bind(code, dimensions, seed).astype(np.float32)
+
+
+def bundle(latin: tuple, other: tuple, dimensions: int, seed: int) -> np.ndarray:
+    """The sum of n-gram vectors: ``latin`` (places in the table, counts) and
+    ``other`` (codes, counts)."""
+    code, count = latin
+    kind = np.float32 if count.sum() + other[1].sum() < 1 << 24 else np.float64      # whole numbers either way
+    out = np.zeros(dimensions, kind)
+    for a in range(0, len(code), BLOCK):
+        out += count[a:a + BLOCK].astype(kind) @ latin_vectors(dimensions, seed)[code[a:a + BLOCK]].astype(kind, copy=False)
+    code, count = other
+    for a in range(0, len(code), BLOCK):
+        out += count[a:a + BLOCK].astype(kind) @ bind(code[a:a + BLOCK], dimensions, seed).astype(kind)
+    return out.astype(np.float64)
+
+
+def _counted(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(code) > size // 8:
+        full = np.bincount(code, minlength=size)
+        found = np.flatnonzero(full)
+        return found, full[found]
+    return np.unique(code, return_counts=True)
 
 
 def gram_counts(data: np.ndarray, offsets: np.ndarray):
-    """Per text: (distinct n-gram codes, their counts, whether it has a
-    letter). N-grams run over words with one separator around each."""
+    """Per text: (places in the table and counts of its n-grams over a-z,
+    codes and counts of the others, whether it has a letter). N-grams run over
+    words with one separator around each."""
+    none = np.zeros(0, np.int64)
     if not len(data):
         for _ in range(len(offsets) - 1):
-            yield np.zeros(0, np.int64), np.zeros(0, np.int64), False
+            yield (none, none), (none, none), False
         return
     points, _, heads = decode(data, offsets)
-    sym = symbols()[points]
-    base = LETTERS + 1
+    sym, letter = symbols()[points], classes()[points] == LETTER
     for a, b in zip(heads[:-1], heads[1:]):
-        s = sym[a:b]
-        s = s[(s > 0) | np.concatenate([[False], s[:-1] > 0])] if len(s) else s   # one separator at most
-        if not len(s):
-            yield np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        if not letter[a:b].any():
+            yield (none, none), (none, none), False
             continue
-        s = np.concatenate([[0], s, [0]]) if s[-1] else np.concatenate([[0], s])
-        code = s[GRAM - 1:].astype(np.int64)
-        for k in range(1, GRAM):
-            code = code + s[GRAM - 1 - k:len(s) - k] * base**k
-        if len(code) > base**GRAM // 8:
-            full = np.bincount(code, minlength=base**GRAM)
-            found = np.flatnonzero(full)
-            yield found, full[found], True
-        else:
-            yield *np.unique(code, return_counts=True), True
+        s = sym[a:b]
+        s = s[(s > 0) | np.concatenate([[False], s[:-1] > 0])]       # one separator at most
+        s = np.concatenate([[0], s, [0]] if s[-1] else [[0], s]).astype(np.int64)
+        runs = [s[GRAM - 1 - k:len(s) - k] for k in range(GRAM)]
+        plain = np.logical_and.reduce([r < LATIN for r in runs])
+        place = sum(r[plain] * LATIN**k for k, r in enumerate(runs))
+        code = sum(r[~plain] << (SHIFT * k) for k, r in enumerate(runs))
+        yield _counted(place, LATIN**GRAM), np.unique(code, return_counts=True), True
 
 
 def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensions: int = DIMENSIONS,
           seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """(languages in order, their prototypes) from every row with a language.
 
-    Prototypes are sums over n-gram vectors, so each task only counts n-grams
-    per language; what reaches the driver is one row per (language, n-gram),
-    bounded by the labels and the alphabet."""
+    Each task adds up n-grams by language and bundles them; ``dimensions``
+    whole numbers a task and language are shuffled, as many a language reach
+    the driver. A language without any letter in its texts is not learned."""
     rows = df.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
-    size = (LETTERS + 1) ** GRAM
+    size, none = LATIN**GRAM, np.zeros(0, np.int64)
 
     def run(batches):
+        latin: dict[str, np.ndarray] = {}
+        others: dict[str, list] = {}
         sums: dict[str, np.ndarray] = {}
+
+        def flush(lang):
+            if others[lang]:
+                code, of = np.unique(np.concatenate([c for c, _ in others[lang]]), return_inverse=True)
+                count = np.bincount(of, np.concatenate([n for _, n in others[lang]])).astype(np.int64)
+                sums[lang] += bundle((none, none), (code, count), dimensions, seed)
+                others[lang] = []
+
         for batch, data, offsets in slices(batches):
-            for lang, (code, count, _) in zip(batch.column(0).to_pylist(), gram_counts(data, offsets)):
-                if lang not in sums:
-                    sums[lang] = np.zeros(size, np.int64)
-                sums[lang][code] += count
-        for lang, total in sums.items():
-            code = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code), pa.array(total[code])],
-                                             ["lang", "gram", "n"])
-
-    found = (rows.mapInArrow(run, "lang string, gram long, n long")
-             .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
-    langs = sorted(found["lang"].unique())
-    vectors = gram_vectors(dimensions, seed).astype(np.float64)
+            for lang, ((place, n), other, has) in zip(batch.column(0).to_pylist(), gram_counts(data, offsets)):
+                if not has:
+                    continue
+                if lang not in latin:
+                    latin[lang], others[lang], sums[lang] = np.zeros(size, np.int64), [], np.zeros(dimensions)
+                latin[lang][place] += n
+                if len(other[0]):
+                    others[lang].append(other)
+                    if sum(len(c) for c, _ in others[lang][-64:]) > HELD // 64 and \
+                            sum(len(c) for c, _ in others[lang]) > HELD:
+                        flush(lang)
+        for lang, total in latin.items():
+            flush(lang)
+            place = np.flatnonzero(total)
+            whole = sums[lang] + bundle((place, total[place]), (none, none), dimensions, seed)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * dimensions, pa.string()), pa.array(np.arange(dimensions), pa.int32()),
+                 pa.array(whole.astype(np.int64), pa.int64())], ["lang", "place", "n"])
+
+    found = (rows.mapInArrow(run, "lang string, place int, n long")
+             .groupBy("lang", "place").agg(F.sum("n").alias("n")).collect())
+    langs = sorted({r["lang"] for r in found})
     prototypes = np.zeros((len(langs), dimensions))
-    for i, lang in enumerate(langs):
-        own = found[found["lang"] == lang].sort_values("gram")
-        prototypes[i] = own["n"].to_numpy(np.float64) @ vectors[own["gram"].to_numpy()]
+    at = {lang: i for i, lang in enumerate(langs)}
+    for r in found:
+        prototypes[at[r["lang"]], r["place"]] = r["n"]
     return langs, prototypes
 
 
@@ -126,11 +187,10 @@ def predict(df: DataFrame, langs: list[str], prototypes: np.ndarray, keep: dict[
     unit = (prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-300)).T
 
     def run(batches):
-        vectors = gram_vectors(dimensions, seed)
         for batch, data, offsets in slices(batches, "_text"):
             bundles, lettered = [], []
-            for code, count, has in gram_counts(data, offsets):
-                bundles.append(count.astype(np.float32) @ vectors[code])
+            for latin, other, has in gram_counts(data, offsets):
+                bundles.append(bundle(latin, other, dimensions, seed))
                 lettered.append(has)
             x = np.array(bundles, np.float64).reshape(len(bundles), dimensions)
             pred, score = np.full(len(x), UNKNOWN, object), np.zeros(len(x))
