@@ -9,6 +9,7 @@ from sigflow.llm.bpe import bpe_digests
 from sigflow.llm.common import crc32_mod
 from sigflow.llm.exact_dedup import exact_dedup
 from sigflow.llm.langid import identify
+from sigflow.llm.lexical import build_index, search
 from sigflow.llm.lm import lm_scores
 from sigflow.llm.packing import pack_documents
 from sigflow.llm.simhash import simhash_groups
@@ -100,6 +101,10 @@ def op10_lm_scores(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 10) == 0)
 
 
+def op11_lexical_search(spark, sf_dir):
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 50)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -111,6 +116,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_tool_calls": op9_tool_calls,
     "op10_lm_scores": op10_lm_scores,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 ORACLES = {
@@ -127,6 +133,24 @@ ORACLES = {
                s AS text_sha256
         FROM t
         WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id)""",
+    "op11_lexical_search": """
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        sizes AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0),
+        total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY ALL),
+        weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+                    FROM tf, total GROUP BY term, docs),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+        scored AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+            FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), total GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+        WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+        QUALIFY row_number() OVER o <= 50""",
     "op9_tool_calls": """
         WITH RECURSIVE calls AS (
             SELECT conv_id, 'call-' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'),

@@ -121,13 +121,14 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(9, 14)]] = True
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, lengths, first word of every text and the end) of the words
-    ``[^\\x20\\x09-\\x0D]+`` of concatenated texts; words end with their text."""
+def words_of(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, lengths, first word of every text and the end) of the runs of
+    bytes that are not in ``gap`` (words ``[^\\x20\\x09-\\x0D]+`` by default) of
+    concatenated texts; words end with their text."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+    inside = ~gap[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]])
