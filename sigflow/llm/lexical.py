@@ -30,6 +30,7 @@ from sigflow.llm.common import materialise, text_of
 from sigflow.llm.textbatch import distinct_spans, lower_bytes, padded, ragged, slices, span_hashes, words_of
 
 BLOCK = 128                  # postings in a block
+SEGMENT_BYTES = 4 << 20      # text in a segment; a longer text is a segment of its own
 QUERY_TERMS = 1 << 18        # (query, term) rows dealt to the tasks at once, about
 
 # the bytes between terms: all ASCII but 0-9, A-Z and a-z
@@ -128,7 +129,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch, data, offsets in slices(batches):
+        for batch, data, offsets in slices(batches, limit=SEGMENT_BYTES):
             made = segment(data, offsets)
             ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
             yield pa.RecordBatch.from_arrays(

@@ -49,8 +49,7 @@ def test_equals_brute_force(spark, monkeypatch, parts, k, slice_bytes):
     docs += [(900 + i, docs[7][1]) for i in range(60)]                 # ties by id
     docs += [(2000, None), (2001, ""), (2002, "--- !!"), (None, docs[7][1]), (3, docs[3][1]), (2003, "w0 " * 40_000)]
     items += [(100, None), (101, ""), (102, "nowhere"), (103, docs[7][1]), (103, docs[7][1]), (None, "w5 W5 日本")]
-    cut = X.slices
-    monkeypatch.setattr(X, "slices", lambda batches, limit=slice_bytes: cut(batches, "text", limit))
+    monkeypatch.setattr(X, "SEGMENT_BYTES", slice_bytes)
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
     q = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, score int")
     index = X.build_index(d)
