@@ -8,9 +8,11 @@ from sigflow.llm import licenses
 from sigflow.llm.bpe import bpe_digests
 from sigflow.llm.common import crc32_mod
 from sigflow.llm.exact_dedup import exact_dedup
+from sigflow.llm.hyperplanes import near_vectors
 from sigflow.llm.langid import identify
 from sigflow.llm.lexical import build_index, search
 from sigflow.llm.lm import lm_scores
+from sigflow.llm.negatives import hard_negatives
 from sigflow.llm.packing import pack_documents
 from sigflow.llm.simhash import simhash_groups
 from sigflow.llm.suffix_dedup import cut_repeats
@@ -105,6 +107,16 @@ def op11_lexical_search(spark, sf_dir):
     return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 50)
 
 
+def op12_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0, id_col="vec_id", vec_col="embedding")
+
+
+def op13_embedding_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -117,6 +129,8 @@ QUERIES = {
     "op9_tool_calls": op9_tool_calls,
     "op10_lm_scores": op10_lm_scores,
     "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 ORACLES = {
@@ -133,6 +147,25 @@ ORACLES = {
                s AS text_sha256
         FROM t
         WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id)""",
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [floor(256 * CAST(e AS DOUBLE)) FOR e IN embedding] AS x FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, v.vec_id AS other, a.label = v.label AS same,
+                   CAST(list_inner_product(a.x, v.x) AS BIGINT) AS score
+            FROM v AS a, v WHERE a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+        p AS (
+            SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, other AS negative_id,
+               positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+             AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW o AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)
+        QUALIFY row_number() OVER o <= 5""",
     "op11_lexical_search": """
         WITH words AS (
             SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
