@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,25 +97,37 @@ def read_gct(spark: SparkSession, path: str, row_name: str = "gene", col_name: s
              ) -> DataFrame:
     """SRC8: GCT text -> long (row, col, value). Lines are told by position: a
     file that begins with a version line has the dimensions in its second and
-    the column names in its third line; all others are rows, as are all lines
-    of part files without a version line. Column names are joined by position
-    (the transpose of the reference is free in long form). 'nan' / empty cells
-    become NULL."""
-    # lines are numbered in the block of a file that one task reads
-    block = Window.partitionBy("_file", "_start").orderBy("_id")
-    lines = (spark.read.text(path)
-             .select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-                     F.monotonically_increasing_id().alias("_id"))
-             .withColumn("_line", F.row_number().over(block))
-             .withColumn("_gct", (F.col("_start") == 0) & F.first("value").over(block).rlike(r"^#1\.\d+\s*$")))
+    the column names in its third line, and these names hold for that file. A
+    file without a version line holds rows only and takes the names of its
+    folder's one file that has them; where there is none or more than one, the
+    job fails. Column names are joined by position (the transpose of the
+    reference is free in long form). 'nan' / empty cells become NULL."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"))
+    # a row a file: its first line, whose number the preamble is counted from
+    first = lines.where(F.col("_start") == 0).groupBy("_file").agg(F.min(F.struct("_id", "value")).alias("_first"))
+    first = first.select("_file", F.col("_first._id").alias("_least"), F.col("_first.value").alias("_top"),
+                         F.col("_first.value").rlike(r"^#1\.\d+\s*$").alias("_gct"),
+                         F.regexp_replace("_file", "[^/]*$", "").alias("_folder"))
+    told = lines.join(first.select("_file", "_folder", "_gct", "_least", "_top"), "_file")
+    line = F.col("_id") - F.col("_least")
+    moved = (F.col("_start") == 0) & (line == 0) & (F.col("value") != F.col("_top"))
+    told = told.withColumn("_line", F.when(moved, F.raise_error(F.lit("the files changed while they were read")).cast("long"))
+                           .when(F.col("_gct") & (F.col("_start") == 0), line))
     arr = F.split("value", "\t")
     values = lambda a: F.slice(a, F.lit(3), F.greatest(F.size(a) - 2, F.lit(0)))
-    header = lines.where(F.col("_gct") & (F.col("_line") == 3)).select(F.posexplode(values(arr)).alias("_p", col_name))
-    body = (lines.where(~F.col("_gct") | (F.col("_line") > 3))
-            .select(arr.alias("_a")).where(F.size("_a") >= 3)
-            .select(F.col("_a")[0].alias(row_name), F.posexplode(values(F.col("_a"))).alias("_p", "_v")))
+    names = told.where(F.col("_line") == 2).select("_file", "_folder", F.posexplode(values(arr)).alias("_p", col_name))
+    folders = first.groupBy("_folder").agg(F.count_if("_gct").alias("_heads"))
+    header = names.select(F.col("_file").alias("_names"), "_p", col_name).unionByName(
+        names.select(F.col("_folder").alias("_names"), "_p", col_name))
+    of = F.when(F.col("_gct"), F.col("_file")).when(F.col("_heads") == 1, F.col("_folder")) \
+        .otherwise(F.raise_error(F.concat(F.lit("no column names for "), "_file")))
+    body = (told.where(F.col("_line").isNull() | (F.col("_line") > 2)).join(folders, "_folder")
+            .select(of.alias("_names"), arr.alias("_a")).where(F.size("_a") >= 3)
+            .select("_names", F.col("_a")[0].alias(row_name), F.posexplode(values(F.col("_a"))).alias("_p", "_v")))
     val = F.when(F.lower(F.col("_v")).isin("nan", ""), F.lit(None)).otherwise(F.col("_v").cast("double"))
-    return body.join(header, "_p").select(row_name, col_name, val.alias("value"))
+    return body.join(header, ["_names", "_p"]).select(row_name, col_name, val.alias("value"))
 
 
 # ------------------------------------------------------------------ flat records

@@ -1,5 +1,7 @@
 """Inline cases for the text formats (FIXTURES part C)."""
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sigflow.sources import formats as FM
@@ -53,6 +55,19 @@ def test_gct_rows_that_look_like_the_preamble(spark, tmp_path):
     assert {tuple(r) for r in FM.read_gct(spark, str(tmp_path / "parts")).collect()} == want
 
 
+def test_gct_files_of_one_folder_keep_their_own_columns(spark, tmp_path):
+    folder = tmp_path / "two"
+    folder.mkdir()
+    _write(folder, "a.gct", "#1.2\n2\t2\nName\tDescription\tS1\tS2\ng1\tna\t1\t2\ng2\tna\t3\tnan\n")
+    _write(folder, "b.gct", "#1.3\n1\t2\nName\tDescription\tT1\tT2\ng1\tna\t5\t6\n")
+    want = {("g1", "S1", 1.0), ("g1", "S2", 2.0), ("g2", "S1", 3.0), ("g2", "S2", None), ("g1", "T1", 5.0), ("g1", "T2", 6.0)}
+    got = [tuple(r) for r in FM.read_gct(spark, str(folder)).collect()]
+    assert len(got) == 6 and set(got) == want
+    _write(folder, "c.gct", "g3\tna\t7\t8\n")                # whose columns?
+    with pytest.raises(Exception, match="no column names"):
+        FM.read_gct(spark, str(folder)).collect()
+
+
 def test_flat_records_sections(spark):
     recs = [
         ("A", "ENTRY A\nGENE        1  a\n            2  b\nCOMPOUND    C1  x\n            C2  y\n"
