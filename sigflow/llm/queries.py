@@ -46,26 +46,31 @@ def _license_sql() -> str:
     k, rows = licenses.K, []
     for label, text in named.items():
         w = text.split(" ")
-        rows += [f"('{label}', {i}, '{' '.join(w[i:i + k])}', {len(w) - k + 1})" for i in range(len(w) - k + 1)]
+        size = len(w) - k + 1
+        slack = min(licenses.SLACK, size // 4) if label.startswith("text:") else 0
+        rows += [f"('{label}', {i}, '{' '.join(w[i:i + k])}', {size}, {slack})" for i in range(size)]
     return f"""
-        WITH places(label, place, gram, size) AS (VALUES {', '.join(rows)}),
+        WITH places(label, place, gram, size, slack) AS (VALUES {', '.join(rows)}),
         t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                      'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
         g AS (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS pos FROM t WHERE len(w) >= {k}),
-        h AS (SELECT g.doc_id, label, size, pos - 1 - place AS diagonal, count(*) AS votes
-              FROM g JOIN places ON array_to_string(w[pos:pos + {k - 1}], ' ') = gram GROUP BY ALL),
-        n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= CASE WHEN label LIKE 'text:%' THEN {licenses.SLACK} ELSE 0 END
-                        THEN 0 ELSE 1 END AS new FROM h WINDOW o AS (PARTITION BY doc_id, label ORDER BY diagonal)),
-        i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, label ORDER BY diagonal) AS span FROM n),
-        s AS (SELECT doc_id, label, span, size, sum(votes) AS votes, min(diagonal) AS first,
-                     least(1.0, sum(votes) / size) AS share FROM i GROUP BY doc_id, label, span, size),
-        f AS (SELECT *, label LIKE 'base:%' AS base, split_part(label, ':', 2) AS name,
-                     CASE WHEN label LIKE 'base:%' THEN votes = size ELSE share >= {licenses.LEAST_SHARE} END AS good FROM s),
-        a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word,
-                     max(first) FILTER (base) AS last_word,
+        h AS (SELECT DISTINCT g.doc_id, label, size, slack, place, pos - 1 - place AS diagonal
+              FROM g JOIN places ON array_to_string(w[pos:pos + {k - 1}], ' ') = gram),
+        b AS (SELECT s.doc_id, s.label, s.diagonal AS start, h.size, h.slack, h.place, min(h.diagonal) + h.place AS spot
+              FROM (SELECT DISTINCT doc_id, label, diagonal FROM h) AS s JOIN h ON h.doc_id = s.doc_id AND h.label = s.label
+                   AND h.diagonal BETWEEN s.diagonal AND s.diagonal + h.slack GROUP BY ALL),
+        o AS (SELECT *, coalesce(spot > max(spot) OVER (PARTITION BY doc_id, label, start ORDER BY place
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS counts FROM b),
+        s AS (SELECT doc_id, label, start, size, slack, CAST(count(*) FILTER (counts) AS DOUBLE) / size AS share
+              FROM o GROUP BY ALL),
+        f AS (SELECT *, label LIKE 'base:%' AS base, split_part(label, ':', 2) AS name FROM s
+              WHERE CASE WHEN label LIKE 'base:%' THEN share = 1 ELSE share >= {licenses.LEAST_SHARE} END),
+        e AS (SELECT *, coalesce(start - lag(start) OVER (PARTITION BY doc_id, label ORDER BY start) > slack, true) AS new FROM f),
+        a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word,
+                     max(start) FILTER (base) AS last_word,
                      string_agg(DISTINCT name, ',' ORDER BY name) FILTER (base) AS base_labels,
                      string_agg(DISTINCT name, ',' ORDER BY name) AS labels, max(share) AS score,
-                     count(*) FILTER (NOT base) AS n_spans FROM f WHERE good GROUP BY doc_id)
+                     count(*) FILTER (NOT base AND new) AS n_spans FROM e GROUP BY doc_id)
         SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
                CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
                coalesce(base_labels, '') AS base_labels,

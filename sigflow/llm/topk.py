@@ -26,10 +26,12 @@ BITS = 64
 
 def sign_code(vector: str) -> Column:
     """Bit i is set where element i is positive; NULL elements, missing ones
-    and a NULL vector give 0. Vectors have at most 64 elements."""
-    return F.coalesce(F.expr(
+    and a NULL vector give 0. A vector of more than 64 elements has no such
+    code: the job fails."""
+    code = F.coalesce(F.expr(
         f"aggregate(sequence(0, {BITS - 1}), 0L, (acc, i) -> acc | if(coalesce(get({vector}, i), 0) > 0, "
         "shiftleft(1L, i), 0L))"), F.lit(0).cast("long"))
+    return F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"vectors have at most {BITS} elements")).cast("long")).otherwise(code)
 
 
 def segments(n: int) -> list[tuple[int, int]]:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from sigflow.llm import topk as T
 
@@ -45,3 +46,9 @@ def test_sign_code(spark):
     df = spark.createDataFrame([([1.0, -1.0, None, 2.0],), (None,), ([],)], "v array<double>")
     assert [r[0] for r in df.select(T.sign_code("v")).collect()] == [9, 0, 0]
     assert sum(w for _, w in T.segments(10**6)) == 64
+
+
+def test_longer_vectors_fail(spark):
+    df = spark.createDataFrame([([0.0] * 64 + [1.0] * 6,)], "v array<double>")
+    with pytest.raises(Exception, match="at most 64"):
+        df.select(T.sign_code("v")).collect()
