@@ -56,7 +56,7 @@ def _license_sql() -> str:
         g AS (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS pos FROM t WHERE len(w) >= {k}),
         h AS (SELECT DISTINCT g.doc_id, label, size, slack, place, pos - 1 - place AS diagonal
               FROM g JOIN places ON array_to_string(w[pos:pos + {k - 1}], ' ') = gram),
-        b AS (SELECT s.doc_id, s.label, s.diagonal AS start, h.size, h.slack, h.place, min(h.diagonal) + h.place AS spot
+        b AS (SELECT s.doc_id, s.label, s.diagonal AS start, h.size, h.slack, h.place, min(h.diagonal + h.place) AS spot
               FROM (SELECT DISTINCT doc_id, label, diagonal FROM h) AS s JOIN h ON h.doc_id = s.doc_id AND h.label = s.label
                    AND h.diagonal BETWEEN s.diagonal AND s.diagonal + h.slack GROUP BY ALL),
         o AS (SELECT *, coalesce(spot > max(spot) OVER (PARTITION BY doc_id, label, start ORDER BY place
