@@ -62,7 +62,7 @@ def _license_sql() -> str:
         o AS (SELECT *, coalesce(spot > max(spot) OVER (PARTITION BY doc_id, label, start ORDER BY place
                                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS counts FROM b),
         s AS (SELECT doc_id, label, start, size, slack, CAST(count(*) FILTER (counts) AS DOUBLE) / size AS share
-              FROM o GROUP BY ALL),
+              FROM o GROUP BY doc_id, label, start, size, slack),
         f AS (SELECT *, label LIKE 'base:%' AS base, split_part(label, ':', 2) AS name FROM s
               WHERE CASE WHEN label LIKE 'base:%' THEN share = 1 ELSE share >= {licenses.LEAST_SHARE} END),
         e AS (SELECT *, coalesce(start - lag(start) OVER (PARTITION BY doc_id, label ORDER BY start) > slack, true) AS new FROM f),
