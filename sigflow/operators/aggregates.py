@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigflow.operators.quantiles import quantiles
+
 
 def compound_stats(compounds: DataFrame, label: str = "moa", name: str = "cmap_name") -> DataFrame:
     """AGG2: distinct drugs, distinct labelled drugs, distinct labels, share
@@ -68,12 +70,14 @@ def pair_counts(annotated: DataFrame, cell: str = "cell_iname", label: str = "mo
 
 def describe(df: DataFrame, col: str) -> DataFrame:
     """AGG7: count/mean/std/min/quartiles/max (linear interpolation) and the
-    smallest most frequent value (mode)."""
+    smallest most frequent value (mode). Quartiles come from range counts, so
+    no task holds the column."""
     c = F.col(col).cast("double")
     stats = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                   F.min(c).alias("min"), F.percentile(c, 0.25).alias("q25"),
-                   F.median(c).alias("q50"), F.percentile(c, 0.75).alias("q75"),
-                   F.max(c).alias("max"))
+                   F.min(c).alias("min"), F.max(c).alias("max"))
+    parts = quantiles(df, [], col, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])       # one row
+    quarters = parts.select(F.struct("q25", "q50", "q75")).scalar()
+    stats = stats.withColumn("_q", quarters).select("count", "mean", "std", "min", "_q.q25", "_q.q50", "_q.q75", "max")
     freq = df.where(F.col(col).isNotNull()).groupBy(c.alias("_v")).agg(F.count("*").alias("_n"))
     mode = freq.orderBy(F.col("_n").desc(), F.col("_v").asc()).limit(1).select("_v")
     return stats.select("*", mode.scalar().alias("mode"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigflow.operators.quantiles import quantiles
 from sigflow.sources.tables import table
 
 # Fixed values of the proxy mapping (shared with the oracle SQL).
@@ -150,8 +151,8 @@ def results_long(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events").select(
         F.when(F.col("event_id") % 2 == 0, F.lit("pearson")).otherwise(F.lit("spearman")).alias("cor_type"),
         F.col("user_id").alias("cell"), F.col("event_type").alias("moa"), "value")
-    per_label = ev.groupBy("cor_type", "cell", "moa").agg(F.median("value").alias("r"))
-    null = (ev.groupBy("cor_type", "cell").agg(F.median("value").alias("r"))
+    per_label = quantiles(ev, ["cor_type", "cell", "moa"], "value", [0.5], ["r"])
+    null = (quantiles(ev, ["cor_type", "cell"], "value", [0.5], ["r"])
             .select("cor_type", "cell", F.lit("__inter_moa__").alias("moa"), "r"))
     return per_label.unionByName(null)
 
