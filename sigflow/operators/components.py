@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sigflow.session import cut_lineage
 
 HEAVY_ROWS = 20_000          # a key is heavy with more rows than this and
+LOCAL_EDGES = 200_000        # edges of a group whose components one task finds
 HEAVY_SHARE = 1000           # more than 1/HEAVY_SHARE of all: at most HEAVY_SHARE keys are
 
 
@@ -38,6 +39,33 @@ def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "in
     return cold.unionByName(hot)
 
 
+def _local(edges: DataFrame, g: list[str]) -> DataFrame:
+    """(groups..., _v, _c) of the nodes of groups with few edges (_x, _y): one task a group."""
+    import numpy as np
+    import pandas as pd
+
+    def fn(pdf):
+        names, at = np.unique(np.concatenate([pdf["_x"], pdf["_y"]]), return_inverse=True)
+        a, b = at[:len(pdf)], at[len(pdf):]
+        label = np.arange(len(names))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            np.minimum.at(new, label[a], low)
+            np.minimum.at(new, label[b], low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(names) for k in g}, "_v": names, "_c": names[label]})
+
+    kind = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    schema = ", ".join([*[f"`{k}` {kind[k]}" for k in g], f"_v {kind['_x']}", f"_c {kind['_x']}"])
+    return edges.groupBy(*g).applyInPandas(fn, schema)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "a",
                          dst: str = "b", group_cols: Sequence[str] = ()) -> DataFrame:
     """Single-linkage flat clusters = connected components: every node gets
@@ -47,8 +75,27 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", s
     pointers (label <- label of label), so labels travel exponentially far;
     each round's labels are written as a reliable checkpoint (short lineage,
     survives executor loss). The loop ends when no label changes. Hub nodes and
-    the label of a giant component are looked up apart from the other keys."""
+    the label of a giant component are looked up apart from the other keys.
+    With groups, those of at most ``LOCAL_EDGES`` edges are settled by one task
+    each and only the others take part in the rounds."""
     g = list(group_cols)
+    if g:
+        pairs = cut_lineage(edges.select(*g, F.col(src).alias("_x"), F.col(dst).alias("_y")))
+        many = cut_lineage(pairs.groupBy(*g).count().where(F.col("count") > LOCAL_EDGES).select(*g))
+        if many.isEmpty():
+            found, large = _local(pairs, g), None
+        else:
+            found, large = _local(pairs.join(many, g, "left_anti"), g), pairs.join(many, g, "left_semi")
+        if large is not None:
+            own = large.select(*g, F.col("_x").alias("_v")).union(large.select(*g, "_y")).distinct()
+            found = found.unionByName(_rounds(own, large, "_v", "_x", "_y", g).withColumnRenamed("component", "_c"))
+        plain = nodes.select(*g, F.col(node).alias("_v")).distinct()
+        return (plain.join(found, g + ["_v"], "left")
+                .select(*g, F.col("_v").alias(node), F.coalesce("_c", "_v").alias("component")))
+    return _rounds(nodes, edges, node, src, dst, g)
+
+
+def _rounds(nodes: DataFrame, edges: DataFrame, node: str, src: str, dst: str, g: list[str]) -> DataFrame:
     lab = cut_lineage(nodes.select(*g, F.col(node).alias("_v")).distinct().withColumn("_c", F.col("_v")))
     # the edge list is read every round: materialise it once
     und = cut_lineage(edges.select(*g, F.col(src).alias("_x"), F.col(dst).alias("_y"))

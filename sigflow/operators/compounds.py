@@ -127,6 +127,9 @@ def descriptors(df: DataFrame, key: str, text: str,
     return out.where(F.col("desc").isNotNull()).withColumn("desc", clean)
 
 
+SILHOUETTE_ROWS = 4096       # rows of a block in a silhouette
+
+
 # ------------------------------------------------------------------ CHM3
 def _salted_self_join(tok: DataFrame, g: list[str], salt_rows: int, also: F.Column | None = None) -> DataFrame:
     """Pairs (a, b, na, nb), a < b, of the rows (_k, _n) of a token. A token
@@ -327,29 +330,77 @@ def cluster_groups(sets: DataFrame, key: str, group_col: str, bits: str = "bits"
 def silhouette_groups(sets: DataFrame, key: str, group_col: str, label_col: str, bits: str = "bits",
                       sim_threshold: float | None = None) -> DataFrame:
     """CHM6 for given labels: per group, mean silhouette of ``label_col`` on
-    1 - Tanimoto distances (NULL for 1 or n clusters).
-
-    A row's mean distance to a cluster is 1 - (its similarities to the
-    members, summed) / (members), so only pairs that share a bit are made."""
-    lab = sets.select(group_col, F.col(key).alias("_i"), F.col(label_col).alias("_l"))
+    1 - Tanimoto distances (NULL for 1 or n clusters). Rows with a NULL label
+    are a cluster of their own.
+
+    Rows meet in blocks of ``SILHOUETTE_ROWS``; a task adds up similarities by
+    cluster with a matrix product and no pair leaves it. A cluster of at most
+    that many rows lies in one block, whose task takes the nearest of them; for
+    larger ones, at most one a block, the sums of each row are added up."""
+    lab = sets.select(group_col, F.col(key).alias("_i"), F.col(label_col).alias("_l"), F.col(bits).alias("_b"))
+    lab = cut_lineage(lab)
     size = lab.groupBy(group_col, "_l").agg(F.count("*").alias("_m"))
     group = size.groupBy(group_col).agg(F.count("*").alias("_k"), F.sum("_m").alias("_n"))
-    pairs = tanimoto_pairs(sets, key, bits, threshold=sim_threshold or 0.0, group_cols=[group_col])
-    both = (pairs.select(group_col, F.col("a").alias("_i"), F.col("b").alias("_j"), "sim")
-            .unionByName(pairs.select(group_col, F.col("b").alias("_i"), F.col("a").alias("_j"), "sim")))
-    other = lab.select(group_col, F.col("_i").alias("_j"), F.col("_l").alias("_lj"))
-    sums = both.join(other, [group_col, "_j"]).groupBy(group_col, "_i", "_lj").agg(F.sum("sim").alias("_s"))
-    sums = sums.join(size.select(group_col, F.col("_l").alias("_lj"), F.col("_m").alias("_mj")), [group_col, "_lj"])
-    own = F.col("_l").eqNullSafe(F.col("_lj"))
-    per = (lab.join(size, [group_col, "_l"]).join(group, group_col)
-           .join(sums, [group_col, "_i"], "left")
-           .groupBy(group_col, "_i", "_m", "_k", "_n").agg(
-               F.coalesce(F.sum(F.when(own, F.col("_s"))), F.lit(0.0)).alias("_own"),
-               F.min(F.when(F.col("_lj").isNotNull() & ~own, 1.0 - F.col("_s") / F.col("_mj"))).alias("_near"),
-               F.count(F.when(F.col("_lj").isNotNull() & ~own, 1)).alias("_met")))
+    held = size.select(F.col(group_col).alias("_g2"), F.col("_l").alias("_l2"), "_m")
+    rows = (lab.join(held, (F.col(group_col) == F.col("_g2")) & F.col("_l").eqNullSafe(F.col("_l2")))
+            .drop("_g2", "_l2").join(group, group_col))
+    parts = F.ceil(F.col("_n") / F.lit(SILHOUETTE_ROWS)).cast("int")
+    big = F.col("_m") > SILHOUETTE_ROWS
+    rows = rows.withColumn("_nb", parts).withColumn("_blk", F.pmod(F.when(big, F.xxhash64("_i")).otherwise(
+        F.xxhash64("_l")), F.col("_nb")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
+    side = rows.select(group_col, "_i", "_l", "_b", "_m", F.col("_blk").alias("_cb"), every.alias("_qb"), F.lit(1).alias("_role")) \
+        .unionByName(rows.select(group_col, "_i", "_l", "_b", "_m", every.alias("_cb"),
+                                 F.pmod(F.xxhash64("_i"), F.col("_nb")).cast("int").alias("_qb"), F.lit(0).alias("_role")))
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, c = pdf[pdf["_role"] == 0], pdf[pdf["_role"] == 1].sort_values("_i")
+        if not len(q) or not len(c):
+            return pd.DataFrame({x: [] for x in (group_col, "_i", "_own", "_near", "_lj", "_s")})
+        names, of = np.unique(np.concatenate([*q["_b"], *c["_b"], np.zeros(1, np.int64)]), return_inverse=True)
+        n = np.concatenate([q["_b"].map(len), c["_b"].map(len)]).astype(np.int64)
+        on = np.zeros((len(n), len(names)), np.float32)
+        on[np.repeat(np.arange(len(n)), n), of[:-1]] = 1
+        code, kinds = pd.factorize(pd.Series([*q["_l"], *c["_l"]], dtype=object), use_na_sentinel=False)
+        mine, theirs = code[:len(q)], code[len(q):]
+        members = pd.Series(c["_m"].to_numpy()).groupby(theirs).first().reindex(range(len(kinds)), fill_value=0).to_numpy()
+        own, near, far = np.zeros(len(q)), np.full(len(q), np.inf), []
+        order = np.argsort(theirs, kind="stable")
+        here, lead = np.unique(theirs[order], return_index=True)
+        small = (members[here] <= SILHOUETTE_ROWS)
+        step = max(1, (1 << 22) // len(c))
+        for a in range(0, len(q), step):
+            inter = (on[a:a + step][:len(q) - a] @ on[len(q):].T).astype(np.float64)
+            some = inter.shape[0]
+            both = n[a:a + some, None] + n[None, len(q):] - inter
+            sim = np.divide(inter, both, out=np.zeros_like(inter), where=both > 0)
+            if sim_threshold is not None:
+                sim[sim < sim_threshold] = 0.0
+            sim[q["_i"].to_numpy()[a:a + some, None] == c["_i"].to_numpy()[None, :]] = 0.0
+            sums = np.add.reduceat(sim[:, order], lead, axis=1)
+            is_own = here[None, :] == mine[a:a + some, None]
+            own[a:a + some] = np.where(is_own, sums, 0.0).sum(1)
+            reach = np.where(small & ~is_own, 1.0 - sums / members[here], np.inf)
+            near[a:a + some] = reach.min(1)
+            i, j = np.nonzero(~is_own & ~small)
+            far.append((i + a, here[j], sums[i, j]))
+        i, j, v = (np.concatenate(x) for x in zip(*far))
+        ids, group_value = q["_i"].to_numpy(), pdf[group_col].iloc[0]
+        return pd.DataFrame({group_col: [group_value] * (len(q) + len(i)), "_i": np.concatenate([ids, ids[i]]),
+                             "_own": np.concatenate([own, np.zeros(len(i))]), "_near": np.concatenate([near, np.full(len(i), np.inf)]),
+                             "_lj": [None] * len(q) + [kinds[x] for x in j], "_s": np.concatenate([np.full(len(q), np.nan), v])})      # NaN arrives as NULL
+
+    kind = {f.name: f.dataType.simpleString() for f in lab.schema.fields}
+    found = side.groupBy(group_col, "_qb", "_cb").applyInPandas(
+        fn, f"`{group_col}` {kind[group_col]}, _i {kind['_i']}, _own double, _near double, _lj {kind['_l']}, _s double")
+    large = size.where(big).select(group_col, F.col("_l").alias("_lj"), F.col("_m").alias("_mj"))
+    found = cut_lineage(found)
+    sums = (found.where(F.col("_s").isNotNull()).groupBy(group_col, "_i", "_lj").agg(F.sum("_s").alias("_s"))
+            .join(large, [group_col, "_lj"]).groupBy(group_col, "_i").agg(F.min(1.0 - F.col("_s") / F.col("_mj")).alias("_far")))
+    near = found.where(F.col("_s").isNull()).groupBy(group_col, "_i").agg(F.sum("_own").alias("_own"), F.min("_near").alias("_near"))
+    per = (rows.select(group_col, "_i", "_m", "_k", "_n").join(near, [group_col, "_i"]).join(sums, [group_col, "_i"], "left"))
     a = F.when(F.col("_m") > 1, 1.0 - F.try_divide(F.col("_own"), F.col("_m") - 1))
-    # a cluster that shares no bit with the row is at distance 1
-    b = F.when(F.col("_met") < F.col("_k") - 1, F.least(F.coalesce("_near", F.lit(1.0)), F.lit(1.0))).otherwise(F.col("_near"))
+    b = F.least(F.col("_near"), F.coalesce("_far", F.lit(float("inf"))))
     per = per.withColumn("_a", a).withColumn("_b", b)
     high = F.greatest("_a", "_b")
     s = F.when(F.col("_a").isNull() | (high == 0), 0.0).otherwise(F.try_divide(F.col("_b") - F.col("_a"), high))
@@ -361,8 +412,16 @@ def silhouette_groups(sets: DataFrame, key: str, group_col: str, label_col: str,
 def category_index(train: DataFrame, col: str) -> DataFrame:
     """Sorted distinct categories of the training rows with their 0-based
     index (the table has one row per category)."""
-    d = train.select(col).where(F.col(col).isNotNull()).distinct()
-    return d.withColumn("_index", F.row_number().over(Window.orderBy(col)) - 1)
+    d = cut_lineage(train.select(col).where(F.col(col).isNotNull()).distinct())
+    # sorted ranges, counted, then numbered within: no task holds all categories
+    ranged = cut_lineage(d.repartitionByRange(col).sortWithinPartitions(col)
+                         .withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)                     # ranges in rising order, rows numbered within
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))   # a row a range
+    return (ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")
+            .select(col, (F.col("_at") + F.col("_id") - F.shiftleft(F.col("_part"), 33)).cast("int").alias("_index")))
 
 
 def label_encode(df: DataFrame, index: DataFrame, col: str, out: str = "label_code") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sigflow.functions.common import rounded
 from sigflow.operators import neighbors as nb
 from sigflow.plans.oracles_base import with_views
+from sigflow.session import cut_lineage
 from sigflow.sources import proxies as px
 
 K = 5  # neighbours incl. self (fixed value of the reference study)
@@ -47,7 +48,39 @@ def agg17_median_over_cells(spark, sf):
     return rounded(nb.median_across_groups(stats, "moa"))
 
 
+def _pathway_matrix(spark, sf):
+    """The signature x pathway matrix as vectors, with both labels."""
+    mem = px.pathways(spark, sf)
+    scores = (px.signatures_long(spark, sf).join(mem, "gene").groupBy("sig_id", "pathway_id").agg(F.avg("v").alias("v")))
+    vec = scores.groupBy("sig_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pathway_id", "v"))), lambda x: x["v"])
+                                       .alias("features"))
+    return vec.join(px.signatures(spark, sf).select("sig_id", "cell", "moa"), "sig_id")
+
+
+def _labelled(df):
+    """The study's labels: the mechanism, and a structural cluster (NULL for some)."""
+    return df.withColumn("cluster", F.when(F.col("sig_id") % 11 != 0, F.col("sig_id") % 6).cast("int"))
+
+
+def ana7_all_studies(spark, sf):
+    """Neighbour purity for both labels on both matrices: the neighbours of a
+    matrix are found once and compared under every label."""
+    out = None
+    for name, m in (("raw", px.signatures(spark, sf)), ("pathways", _pathway_matrix(spark, sf))):
+        nn = nb.knn(_labelled(m), "sig_id", "features", K, carry=["moa", "cluster"]).where(F.col("q_id") != F.col("c_id"))
+        nn = cut_lineage(nn)
+        for label in ("moa", "cluster"):
+            same = (nb.label_key(f"q_{label}") == nb.label_key(f"c_{label}")).cast("double")
+            samples = nn.groupBy("q_id", F.col(f"q_{label}").alias(label)).agg(F.avg(same).alias("nn_purity"))
+            stats = nb.class_purity_stats(samples, label).select(
+                F.lit(name).alias("matrix"), F.lit(label).alias("label"), F.col(label).alias("class"), "mean", "std", "count",
+                "random_baseline", "lift")
+            out = stats if out is None else out.unionByName(stats)
+    return rounded(out)
+
+
 QUERIES = {
+    "ANA7_all_studies": ana7_all_studies,
     "ANA6_knn": ana6_knn,
     "WIN5_knn_rank": ana6_knn,
     "ANA7_class_purity": ana7_class_purity,
@@ -95,7 +128,24 @@ def _knn_ctes(per_cell: bool) -> str:
                         tot_join="JOIN tot USING (cell)" if per_cell else ", tot"))
 
 
+def _study_sql() -> str:
+    """Both matrices, both labels."""
+    label = {"moa": "s.moa", "cluster": "CASE WHEN l.sig_id % 11 <> 0 THEN CAST(l.sig_id % 6 AS INTEGER) END"}
+    matrix = {"raw": "SELECT sig_id, gene, v FROM v_signatures_long",
+              "pathways": "SELECT l.sig_id, p.pathway_id AS gene, avg(l.v) AS v FROM v_signatures_long l "
+                          "JOIN v_pathways p USING (gene) GROUP BY l.sig_id, p.pathway_id"}
+    parts = []
+    for m, rows in matrix.items():
+        for name, c in label.items():
+            parts.append("SELECT * FROM (WITH sl AS (SELECT l.sig_id, s.cell, " + c + " AS moa, l.gene, l.v FROM (" + rows
+                         + ") l JOIN v_signatures s USING (sig_id))," + _Z.format(g="", gj="", gon="", tot_join=", tot")
+                         + f"""SELECT '{m}' AS matrix, '{name}' AS label, moa AS class, round(mean, 6) AS mean, round(std, 6) AS std,
+                         count, round(random_baseline, 6) AS random_baseline, round(lift, 6) AS lift FROM cstats)""")
+    return with_views(" UNION ALL ".join(parts))
+
+
 ORACLES = {
+    "ANA7_all_studies": _study_sql(),
     "ANA6_knn": with_views(_knn_ctes(False) + """
         SELECT q_id, c_id, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM nn"""),
     "WIN5_knn_rank": with_views(_knn_ctes(False) + """

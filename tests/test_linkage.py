@@ -1,6 +1,7 @@
 """Clustering and silhouette against naive re-computations."""
 
 import numpy as np
+import pytest
 
 from sigflow.operators.compounds import _tanimoto_dense, linkage_clusters, silhouette
 
@@ -108,3 +109,20 @@ def test_components_of_a_long_path_and_a_hub(spark, monkeypatch):
     nodes = df.select(df.a.alias("id")).union(df.select("b"))
     got = {r.id: r.component for r in K.connected_components(nodes, df).collect()}
     assert all(got[i] == 0 for i in range(401)) and all(got[1000 + i] == 1000 for i in range(201))
+
+
+@pytest.mark.parametrize("rows", [4096, 7])
+def test_silhouette_in_blocks(spark, monkeypatch, rows):
+    """Blocks smaller than the largest clusters, against the distance matrix."""
+    from sigflow.operators import compounds as C
+    monkeypatch.setattr(C, "SILHOUETTE_ROWS", rows)
+    rng = np.random.default_rng(7)
+    data = [(g, i, sorted(int(x) for x in rng.choice(40, size=rng.integers(0, 20), replace=False)), int(rng.integers(0, 4)) if i > 12 else 0)
+            for g in ("a", "b") for i in range(40)] + [("c", 1, [1], 0), ("c", 2, [2], 0)]
+    df = spark.createDataFrame(data, "g string, k int, bits array<int>, lab int")
+    got = {r.g: r.silhouette for r in C.silhouette_groups(df, "k", "g", "lab").collect()}
+    assert got["c"] is None
+    for g in ("a", "b"):
+        mine = [d for d in data if d[0] == g]
+        want = silhouette(1.0 - _tanimoto_dense([d[2] for d in mine], 40), np.array([d[3] for d in mine]))
+        assert abs(got[g] - want) < 1e-6
