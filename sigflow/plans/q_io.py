@@ -181,7 +181,16 @@ def snk4_ml_summary(spark, sf):
     return spark.read.option("header", True).schema("model string, r2 double, mse double, mae double").csv(path)
 
 
+def snk4_encoding_comparison(spark, sf):
+    """R2 and MSE of the linear models for every encoding and split, written
+    as CSV and read again."""
+    path = FM.scratch_path(spark, "encoding_comparison")
+    FM.write_table(q_ml.grid(spark, sf, ("Ridge", "ElasticNet")).drop("mae"), path, "csv")
+    return spark.read.option("header", True).schema("encoding string, split string, model string, r2 double, mse double").csv(path)
+
+
 QUERIES = {
+    "SNK4_encoding_comparison": snk4_encoding_comparison,
     "SRC5_pathway_parquet": src5_pathway_parquet, "SRC6_tsv_gzip": src6_tsv_gzip,
     "SRC7_csv_wide": src7_csv_wide, "SRC8_gct": src8_gct, "SRC9_gmt": src9_gmt,
     "SRC10_keyed_files": src10_keyed_files, "SRC11_setups": src11_setups,

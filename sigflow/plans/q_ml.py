@@ -238,7 +238,8 @@ def ml14_full_pipeline(spark, sf):
 PARALLEL_SETUPS = 4          # grid setups fitted at once: each is many small Spark jobs
 
 
-def ml15_grid(spark, sf):
+def grid(spark, sf, models=M.MODELS):
+    """(encoding, split, model, r2, mse, mae) of every encoding and split."""
     from concurrent.futures import ThreadPoolExecutor
     inputs = ml_inputs(spark, sf)                    # shared by all encodings
     tables = {enc: ml_table(spark, sf, enc, inputs)[0] for enc in ENCODINGS}
@@ -246,7 +247,7 @@ def ml15_grid(spark, sf):
     def setup(key):
         enc, strat = key
         d = cut_lineage(M.scale_train(M.split(tables[enc], strat, TEST_SIZE, SEED)))
-        summary, _, _ = M.train_and_evaluate(d)
+        summary, _, _ = M.train_and_evaluate(d, models)
         return [(enc, strat) + tuple(r[:4]) for r in summary]
 
     with ThreadPoolExecutor(PARALLEL_SETUPS) as pool:
@@ -256,6 +257,57 @@ def ml15_grid(spark, sf):
         "encoding string, split string, model string, r2 double, mse double, mae double"))
 
 
+def ml15_grid(spark, sf):
+    return grid(spark, sf)
+
+
+ELASTIC = (0.1, 0.5)         # fixed values of the reference: penalty and share of its absolute part
+
+
+def ml5_optimality(spark, sf):
+    """How far the elastic net of every target is from its optimality
+    conditions, over the largest slope: 0 for an exact solution."""
+    d = cut_lineage(M.split(regression(spark, sf), "random", TEST_SIZE, SEED).where(~F.col("is_test")))
+    alpha, share = ELASTIC
+    m = M.elastic_net_fit(d, alpha, share)
+    p = M.predict(d, m)
+    mean = d.agg(*[F.avg(F.col("features")[i]).alias(f"m{i}") for i in range(3)]).first()
+    centred = [F.col("features")[i] - F.lit(mean[i]) for i in range(3)]
+    sums = p.agg(*[F.avg(centred[i] * (F.col("y")[j] - F.col("pred")[j])).alias(f"s{i}{j}") for i in range(3) for j in range(2)],
+                 *[F.abs(F.avg(centred[i] * F.col("y")[j])).alias(f"b{i}{j}") for i in range(3) for j in range(2)]).first()
+    rows = []
+    for j in range(2):
+        off = []
+        for i in range(3):
+            w = m.coef[i, j]
+            slope = sums[f"s{i}{j}"] - alpha * (1 - share) * w
+            off.append(abs(slope - alpha * share * math.copysign(1, w)) if w else max(abs(slope) - alpha * share, 0.0))
+        rows.append((j, int((m.coef[:, j] != 0).sum()) > 0, float(max(off) / max(sums[f"b{i}{j}"] for i in range(3)))))
+    return rounded(spark.createDataFrame(rows, "target int, fitted boolean, worst double"))
+
+
+def ml6_fixed_point(spark, sf):
+    """Kernel ridge predictions p on the training rows satisfy
+    K (y - p) / alpha = p: the largest difference, with alpha = 1."""
+    d, _, _ = _ml_split(spark, sf)
+    train = cut_lineage(d.where(~F.col("is_test")))
+    m = M.fit_kernel_ridge(train)
+    p = cut_lineage(M.predict_kernel(train, m))
+    dual = p.select(F.lit(0).alias("block"), F.col("features").alias("x"), F.zip_with("y", "pred", lambda a, b: a - b).alias("c"))
+    again = M.kernel_product(p, "features", cut_lineage(dual), 1, "c", m.gamma, m.targets, "again")
+    off = F.array_max(F.transform(F.arrays_zip("pred", "again"), lambda v: F.abs(v["pred"] - v["again"])))
+    moved = F.array_max(F.transform("pred", lambda v: F.abs(v)))
+    return rounded(again.agg(F.max(off).alias("worst"), (F.max(moved) > 0).alias("fitted")))
+
+
+def ml14_own_models(spark, sf):
+    """The pipeline with whole cells held out and two models of the caller."""
+    d = M.split(regression(spark, sf), "cell_line", TEST_SIZE, SEED)
+    d = cut_lineage(d.withColumn("features", F.array(F.col("features")[0])))
+    return rounded(M.summarize(spark, M.train_and_evaluate(d, models=OWN_MODELS)[0]).drop("train_time_s")) \
+        .withColumn("mse", F.round("mse", 3))
+
+
 QUERIES = {
     "ML1_prepare_features": ml1_prepare_features, "JN8_basal_features": jn8_basal_features,
     "ML2_split_random": _split_q("random"), "ML2_split_cell_line": _split_q("cell_line"),
@@ -271,6 +323,7 @@ QUERIES = {
     "ML4_ridge_3feature": ml4_ridge_3feature, "ML10_own_models": ml10_own_models,
     "ML11_own_models": ml11_own_models,
     "ML14_full_pipeline": ml14_full_pipeline, "ML15_grid": ml15_grid,
+    "ML5_optimality": ml5_optimality, "ML6_fixed_point": ml6_fixed_point, "ML14_own_models": ml14_own_models,
 }
 
 # ---------------------------------------------------------------- oracles
@@ -355,6 +408,11 @@ ORACLES = {
         SELECT target, CASE target WHEN 0 THEN 'price' ELSE 'discounted' END AS pathway,
                round(max(CASE WHEN model = 'Ridge1' THEN r2 END), 6) AS "Ridge1",
                round(max(CASE WHEN model = 'Ridge1e6' THEN r2 END), 6) AS "Ridge1e6" FROM own GROUP BY target"""),
+    "ML5_optimality": "SELECT target, true AS fitted, CAST(0 AS DOUBLE) AS worst FROM (VALUES (0), (1)) AS t(target)",
+    "ML6_fixed_point": "SELECT CAST(0 AS DOUBLE) AS worst, true AS fitted",
+    "ML14_own_models": _own_sql("""
+        SELECT model, round(avg(r2), 6) AS r2, round(avg(mse), 3) AS mse, round(avg(mae), 6) AS mae FROM own GROUP BY model""")
+        .replace(_flags("row_id"), _flags("cell_id")).replace("flags.k = reg.row_id", "flags.k = reg.cell_id"),
     "ML13_group_folds": with_views("WITH RECURSIVE " + _REG + f""",
         g AS (SELECT cell_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, cell_id DESC) AS i FROM reg GROUP BY cell_id),
         run AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS fold, list_transform(range({N_FOLDS}), lambda x: CAST(0 AS BIGINT)) AS load
