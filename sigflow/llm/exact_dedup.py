@@ -1,11 +1,14 @@
 """Exact deduplication over an extendible-hash index, DataFrame functions only.
 
 Rows are hashed to a 64-bit key and written to shared files (``entries``).
-The directory is the set of key prefixes after all doublings: starting with
+Copies are added up by address (key, digest, chain) within ``SALTS`` shares of
+the rows, so that an address has at most that many index entries however often
+its text occurs. The directory is doubled until its buckets fit: starting with
 one bucket, a bucket holding more than ``capacity`` index entries is split on
-its next key bit, until it fits or ``max_depth`` bits are used. A bucket is
-therefore a contiguous range of keys with its own local depth, and its rows
-meet in the owner task of that bucket.
+its next key bit. A bucket is therefore a contiguous range of keys with its own
+local depth; all its entries are sent to the bucket's owner task, which puts
+the chains together and writes the index file. Every row's group, and the row
+that stays, is read from the index by bucket and address.
 
 Entries with equal key form a chain. Rows belong to the same chain link only
 if their normalised bytes are equal: one aggregation groups the texts
@@ -23,30 +26,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigflow.llm.common import fix_splits, materialise, strip_spaces, text_of
+from sigflow.operators.components import heavy_keys, lookup
 
-DIRECTORY_BITS = 16          # a directory has at most 2**16 slots, whatever the data
+DIRECTORY_BITS = 16          # key bits of a directory: at most 2**16 slots
+MOST_BITS = 22               # to which it is doubled while a bucket is overfull
 BUCKET_CAPACITY = 50_000     # index entries in a bucket before it splits
-
-
-def directory(classes: DataFrame, key: str = "key", capacity: int = BUCKET_CAPACITY,
-              max_depth: int = DIRECTORY_BITS) -> DataFrame:
-    """The directory after all doublings: one row per used ``prefix`` of
-    ``max_depth`` bits with the ``depth`` and ``bucket`` it points to.
-
-    The entries of every prefix are counted once; a prefix's local depth is the
-    smallest d whose d-bit range holds at most ``capacity`` entries. At most
-    2**max_depth rows, so it may be broadcast."""
-    cells = (classes.groupBy(F.shiftrightunsigned(F.col(key), 64 - max_depth).alias("prefix"))
-             .agg(F.count("*").alias("n")))
-    total = F.sum("n").over(Window.partitionBy("level", "range"))
+SALTS = 16                   # index entries of one address at most
+
+
+def directory(held: DataFrame, key: str = "key", capacity: int = BUCKET_CAPACITY,
+              max_depth: int = DIRECTORY_BITS) -> tuple[DataFrame, int]:
+    """(slots, their number of key bits) after all doublings: one row per used
+    ``prefix`` of that many bits with the ``depth`` and ``bucket`` it points to.
+
+    The entries of every prefix are counted and added up level by level; a
+    prefix's local depth is the smallest d whose d-bit range holds at most
+    ``capacity`` entries. Where ranges of ``max_depth`` bits hold more, the
+    directory is doubled on, up to ``MOST_BITS`` bits. At most 2**bits rows, so
+    it may be broadcast."""
+    while True:
+        cells = materialise(held.groupBy(F.shiftrightunsigned(F.col(key), 64 - max_depth).alias("prefix"))
+                            .agg(F.count("*").alias("n")), "cells")
+        if max_depth >= MOST_BITS or not (cells.agg(F.max("n")).first()[0] or 0) > capacity:
+            break
+        max_depth += 1
     levels = (cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max_depth))))
-              .withColumn("range", F.expr(f"shiftright(prefix, {max_depth} - level)"))
-              .withColumn("held", total)
-              .where((F.col("held") <= capacity) | (F.col("level") == max_depth)))
-    found = levels.groupBy("prefix").agg(F.min("level").alias("depth"))
+              .withColumn("range", F.expr(f"shiftright(prefix, {max_depth} - level)")))
+    fits = (levels.groupBy("level", "range").agg(F.sum("n").alias("held"))
+            .where((F.col("held") <= capacity) | (F.col("level") == max_depth)).select("level", "range"))
+    # at most twice the slots
+    found = levels.join(F.broadcast(fits), ["level", "range"], "left_semi").groupBy("prefix").agg(F.min("level").alias("depth"))
     # a bucket is named by its depth and its range, the range being `depth` bits long
     return found.withColumn(
-        "bucket", F.expr(f"shiftleft(depth, {max_depth + 1}) + shiftright(prefix, {max_depth} - depth)"))
+        "bucket", F.expr(f"shiftleft(depth, {max_depth + 1}) + shiftright(prefix, {max_depth} - depth)")), max_depth
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -103,18 +115,20 @@ def indexed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     address = ["key", "digest", "chain"]
     best = F.min(F.struct((-F.col("n_chars")).alias("short"), F.col("doc_id").isNull().alias("none"),
                           F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row")))
-    classes = materialise(
-        entries.groupBy(*address).agg(best.alias("best"), F.count("*").alias("group_size"))
-        .select(*address, "group_size", "best.keep_id", "best.keep_row"), "classes")
-
-    prefix = F.shiftrightunsigned(F.col("key"), 64 - max_depth).alias("prefix")
-    slots = F.broadcast(directory(classes, "key", capacity, max_depth))   # <= 2**max_depth rows
-    # the index files: owner tasks hold whole bucket ranges, chains in key order
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt")
+    held = materialise(entries.groupBy(salt, *address).agg(best.alias("best"), F.count("*").alias("copies")).drop("salt"), "held")
+
+    slots, bits = directory(held, "key", capacity, max_depth)
+    slots = F.broadcast(materialise(slots, "directory"))                # <= 2**bits rows
+    prefix = F.shiftrightunsigned(F.col("key"), 64 - bits).alias("prefix")
+    # a bucket's entries meet in its owner task, where chains are put together without another shuffle
+    owned = held.withColumn("prefix", prefix).join(slots, "prefix").repartition("bucket")
     index = materialise(
-        classes.withColumn("prefix", prefix).join(slots, "prefix")
-        .withColumn("first", F.expr(f"shiftleft(shiftright(prefix, {max_depth} - depth), {max_depth} - depth)"))
-        .repartitionByRange("first").sortWithinPartitions("first", *address)
-        .drop("prefix", "first"), "index")
-    return (entries.join(index, address)
+        owned.groupBy("bucket", "depth", *address).agg(F.min("best").alias("best"), F.sum("copies").alias("group_size"))
+        .select("bucket", "depth", *address, "group_size", "best.keep_id", "best.keep_row"), "index")
+    place = ["bucket", *address]
+    filed = entries.withColumn("prefix", prefix).join(slots.select("prefix", "bucket"), "prefix").drop("prefix")
+    heavy = heavy_keys(filed, place, filed.count())
+    return (lookup(filed, index, place, heavy=heavy)
             .select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
                     F.col("sha").alias("text_sha256"), "bucket", F.col("depth").alias("bucket_depth"), "chain", "row"))

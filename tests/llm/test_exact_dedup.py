@@ -49,6 +49,20 @@ def test_overfull_buckets_split(spark):
     assert sum(2.0 ** -r.bucket_depth for r in got) == 1        # the buckets tile the key space
 
 
+def test_directory_doubles_on_and_hot_texts(spark, monkeypatch):
+    """Ranges of few bits overflow, so the directory grows; a text of a third
+    of the rows has few index entries and is looked up apart."""
+    from sigflow.operators import components
+    monkeypatch.setattr(components, "HEAVY_ROWS", 100)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(
+        F.col("id").cast("string")).alias("text"))
+    got = X.exact_dedup(df, capacity=20, max_depth=3)
+    rows = {r.doc_id: r for r in got.collect()}
+    assert len(rows) == 3000 and rows[3].group_size == 1000 and rows[3].keep_id == 0 and rows[4].group_size == 1
+    texts = got.select("bucket", "bucket_depth", "text_sha256").distinct().groupBy("bucket", "bucket_depth").count().collect()
+    assert all(r["count"] <= 20 for r in texts) and max(r.bucket_depth for r in texts) > 3
+
+
 def test_empty_and_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert X.exact_dedup(df).collect() == []
