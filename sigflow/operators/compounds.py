@@ -128,6 +128,8 @@ def descriptors(df: DataFrame, key: str, text: str,
 
 
 SILHOUETTE_ROWS = 4096       # rows of a block in a silhouette
+SMALL_COMPONENT = 256        # rows of a component that shares a task with others
+COMPONENT_SHARES = 64        # tasks that a group's small components are dealt to
 
 
 # ------------------------------------------------------------------ CHM3
@@ -303,9 +305,11 @@ def cluster_groups(sets: DataFrame, key: str, group_col: str, bits: str = "bits"
     rows = rows.join(comp, [group_col, key]).join(several, [group_col, "component"])
     schema = T.StructType([T.StructField(group_col, gtype), T.StructField(key, ktype), T.StructField("_first", ktype)])
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
-        sim = _tanimoto_dense(pdf[bits].tolist(), n_bits)
+        used, at = np.unique(np.concatenate([*pdf[bits], np.zeros(1, np.int64)]), return_inverse=True)
+        ends = np.cumsum(pdf[bits].map(len))                  # only the bits in use: the same similarities
+        sim = _tanimoto_dense(np.split(at[:-1], ends[:-1]), len(used))
         if sim_threshold is not None:
             sim = np.where(sim < sim_threshold, 0.0, sim)
             np.fill_diagonal(sim, 1.0)
@@ -314,8 +318,15 @@ def cluster_groups(sets: DataFrame, key: str, group_col: str, bits: str = "bits"
         return pd.DataFrame({group_col: pdf[group_col], key: pdf[key],
                              "_first": pdf[key].to_numpy()[lead[lab]]})
 
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(part) for _, part in pdf.groupby("component", sort=False)], ignore_index=True)
+
+    # small components are dealt to a task several at a time, a larger one has its own
+    small = F.col("_size") <= SMALL_COMPONENT
+    several_at_once = [F.when(small, F.pmod(F.xxhash64("component"), F.lit(COMPONENT_SHARES))).alias("_share"),
+                       F.when(~small, F.col("component")).alias("_alone")]
     alone = rows.where(F.col("_size") == 1).select(group_col, key, F.col(key).alias("_first"))
-    joined = (rows.where(F.col("_size") > 1).groupBy(group_col, "component").applyInPandas(fn, schema)
+    joined = (rows.where(F.col("_size") > 1).groupBy(group_col, *several_at_once).applyInPandas(fn, schema)
               .unionByName(alone))
     joined = cut_lineage(joined)                     # used by every step below
     first = joined.select(group_col, "_first").distinct()
