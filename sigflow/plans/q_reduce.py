@@ -1,6 +1,7 @@
 """Registered queries: GSVA scores, PCA, neighbour-graph weights and the
-pathway study over thresholds (ANA10-ANA13). Property-checked (no SQL
-oracle: the kernel CDF needs erf, PCA an eigen-solver)."""
+pathway study over thresholds (ANA10-ANA13). The SQL of ANA10 adds up the
+kernels pair by pair, from series of their own; PCA has no SQL (it needs an
+eigen-solver) and is tested against one."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from sigflow.operators import ml as M
 from sigflow.operators import reduce as R
 from sigflow.plans.oracles_base import with_views
 from sigflow.plans.q_ml import N_PW, _harm
+from sigflow.plans.q_tables import _CMAP
 from sigflow.session import cut_lineage
 from sigflow.sources import proxies as px
 
@@ -119,7 +121,49 @@ QUERIES = {
     "ANA12_neighbor_graph": ana12_neighbor_graph,
     "ANA13_threshold_study": ana13_threshold_study,
 }
+# the normal CDF: 1/2 plus density times the sum of z^(2n+1) / (2n+1)!!
+_NORMAL = """CASE WHEN z > 8 THEN 1.0 WHEN z < -8 THEN 0.0 WHEN z = 0 THEN 0.5 ELSE
+    0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160), lambda n:
+        exp((2 * n + 1) * ln(abs(z)) - (n + 1) * ln(2.0) - lgamma(n + 1.5) + ln(pi()) / 2))) END"""
+# the Poisson CDF: its terms from far below the mean on, large ones by Stirling's series
+_POISSON = """CASE WHEN k < 0 THEN 0.0 WHEN abs(sqrt(lam) - sqrt(k + 1)) > 7 THEN (CASE WHEN lam < k + 1 THEN 1.0 ELSE 0.0 END) ELSE
+    coalesce(list_sum(list_transform(range(greatest(0, CAST(floor(lam - 15 * sqrt(lam) - 30) AS BIGINT)), CAST(k AS BIGINT) + 1), lambda i:
+        CASE WHEN i < 300 THEN exp(-lam + i * ln(lam) - lgamma(i + 1.0))
+        ELSE exp(-i * (lam / i - 1 - ln(lam / i)) - 1.0 / (12.0 * i) + 1.0 / (360.0 * i * i * i)) / sqrt(2 * pi() * i) END)), 0.0) END"""
+
+
+def _gsva_sql(source: str, pathway: str, kernel: str, min_size: int) -> str:
+    pair = {"gaussian": ("(a.v - b.v) / (a.sd / 4) AS z", _NORMAL),
+            "poisson": ("floor(a.v) AS k, b.v + 0.5 AS lam", _POISSON)}[kernel]
+    return with_views("WITH " + _CMAP + f""",
+        raw AS ({source}),
+        x AS (SELECT sample, gene, v, n, sd FROM (SELECT *, count(*) OVER g AS n, stddev_samp(v) OVER g AS sd FROM raw
+              WHERE v IS NOT NULL WINDOW g AS (PARTITION BY gene)) WHERE sd > 0),
+        pairs AS (SELECT a.sample, a.gene, a.n, {pair[0]} FROM x a JOIN x b ON a.gene = b.gene),
+        cdf AS (SELECT sample, gene, round(least(greatest(sum({pair[1]}) / n, 0), 1), 9) AS cdf
+                FROM pairs GROUP BY sample, gene, n),
+        mem AS (SELECT DISTINCT gene, {pathway} AS pathway_id FROM raw),
+        sizes AS (SELECT pathway_id, count(*) AS set_size FROM mem GROUP BY pathway_id
+                  HAVING count(*) BETWEEN {min_size} AND {SET_MAX}),
+        ranked AS (SELECT sample, gene, row_number() OVER (PARTITION BY sample ORDER BY cdf DESC, gene) AS r,
+                          count(*) OVER (PARTITION BY sample) AS total FROM cdf),
+        hits AS (SELECT sample, pathway_id, r, total, set_size, abs(total / 2.0 - r) AS w FROM ranked
+                 JOIN mem USING (gene) JOIN sizes USING (pathway_id)),
+        steps AS (SELECT *, row_number() OVER s AS i, sum(w) OVER s AS c, count(*) OVER p AS h, sum(w) OVER p AS wsum
+                  FROM hits WINDOW s AS (PARTITION BY sample, pathway_id ORDER BY r), p AS (PARTITION BY sample, pathway_id)),
+        walk AS (SELECT *, c / nullif(wsum, 0) - CAST(r - i AS DOUBLE) / nullif(total - h, 0) AS after,
+                        (c - w) / nullif(wsum, 0) - CAST(r - i AS DOUBLE) / nullif(total - h, 0) AS before FROM steps)
+        SELECT sample, pathway_id, round(CASE WHEN h < total AND wsum > 0 THEN greatest(max(after), 0) + least(min(before), 0) END, 6) AS es,
+               h AS n_hits, set_size FROM walk GROUP BY sample, pathway_id, h, total, wsum, set_size""")
+
+
 ORACLES = {
+    "ANA10_gsva_metabolomics": _gsva_sql(
+        "SELECT cell_id AS sample, metabolite AS gene, CAST(value AS DOUBLE) AS v FROM metab_h",
+        f"CAST(substring(gene, 2) AS INTEGER) % {N_PW}", "gaussian", MET_MIN),
+    "ANA10_gsva_transcriptomics": _gsva_sql(
+        "SELECT cell_id AS sample, gene, CAST(value AS DOUBLE) AS v FROM trans_h",
+        f"CAST(regexp_extract(gene, '^ENSG([0-9]+)', 1) AS INTEGER) % {N_PW}", "poisson", RNA_MIN),
     "ANA11_pca_norms": with_views("""
         WITH st AS (SELECT gene, avg(v) AS m, stddev_pop(v) AS s FROM v_signatures_long GROUP BY gene)
         SELECT sig_id, round(sum(power((v - m) / CASE WHEN s < 2.220446049250313e-15 THEN 1.0 ELSE s END, 2)), 6) AS square

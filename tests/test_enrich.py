@@ -40,7 +40,7 @@ def test_gaussian_kernel_cdf(spark):
     x = rng.normal(size=(7, 3))          # 7 samples x 3 genes
     rows = [(f"s{i}", f"g{j}", float(x[i, j])) for i in range(7) for j in range(3)]
     df = spark.createDataFrame(rows, "sample string, gene string, value double")
-    got = {(r.sample, r.gene): r.cdf for r in E.kernel_cdf(df, "sample", "gene", "value", block_rows=3).collect()}
+    got = {(r.sample, r.gene): r.cdf for r in E.kernel_cdf(df, "sample", "gene", "value", part_rows=3).collect()}
     for j in range(3):
         h = np.std(x[:, j], ddof=1) / 4
         for i in range(7):
@@ -100,3 +100,40 @@ def test_set_size_counts_distinct_members_of_the_matrix(spark, monkeypatch):
         got = {(r[0], r[1]): (r.es, r.n_hits) for r in E.enrichment_vectors(df, mem, min_size=2, max_size=36).collect()}
         assert got.keys() == want.keys()
         assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
+
+
+def test_cell_sums_equal_plain_sums():
+    rng = np.random.default_rng(9)
+
+    def moments(cell, off):
+        index, back = np.unique(cell, return_inverse=True)
+        m = np.zeros((len(index), E.TERMS + 1))
+        for j in range(E.TERMS + 1):
+            np.add.at(m[:, j], back, off ** j)
+        return index, m
+
+    for x in (rng.normal(size=3000) * 4, np.concatenate([rng.normal(size=500), [400.0, -900.0]]), rng.integers(0, 9, 400) * 1.0):
+        cell = np.floor(x * E.GAUSS_CELLS)
+        index, m = moments(cell, x - (cell + 0.5) / E.GAUSS_CELLS)
+        want = E._norm_cdf(x[:, None] - x[None]).mean(axis=1)
+        assert np.abs(E._gauss_sums(x, index, m) / len(x) - want).max() < 1e-12
+    for x in (rng.poisson(3, 500) * 1.0, rng.gamma(1.0, 400.0, 2000), rng.gamma(0.3, 1e5, 1500), np.array([0.0, 0.0, 299.0, 300.0, 301.5])):
+        lam = x + 0.5
+        cell = np.floor(np.sqrt(lam) * E.ROOT_CELLS)
+        root = (cell + 0.5) / E.ROOT_CELLS
+        index, m = moments(cell, (lam - root * root) / (root / E.ROOT_CELLS))
+        k = np.unique(np.floor(x))
+        want = E._poisson_cdf(k, lam).mean(axis=1)
+        assert np.abs(E._poisson_sums(k, index, m) / len(x) - want).max() < 1e-10, np.abs(E._poisson_sums(k, index, m) / len(x) - want).max()
+
+
+def test_kernel_cdf_poisson_parts_and_odd_values(spark):
+    rng = np.random.default_rng(10)
+    x = rng.gamma(0.5, 900.0, 60)
+    rows = [(i, "a", float(v)) for i, v in enumerate(x)] + [(i, "const", 2.0) for i in range(5)]
+    rows += [(i, "nan", v) for i, v in enumerate([1.0, float("nan"), 3.0])] + [(i, "null", v) for i, v in enumerate([1.0, None, 3.0])]
+    df = spark.createDataFrame(rows, "sample long, gene string, value double")
+    got = {(r.sample, r.gene): r.cdf for r in E.kernel_cdf(df, "sample", "gene", "value", "poisson", part_rows=11).collect()}
+    assert {g for _, g in got} == {"a", "null"} and len(got) == 62
+    want = E._poisson_cdf(x, x + 0.5).mean(axis=1)
+    assert max(abs(got[(i, "a")] - want[i]) for i in range(60)) < 1e-10
