@@ -53,3 +53,35 @@ def test_kfold_sizes(spark):
     X = np.zeros((23, 1))
     folds = M.kfold(_table(spark, X, X), 5, 42).groupBy("fold").count().collect()
     assert sorted(r["count"] for r in folds) == [4, 4, 5, 5, 5]
+
+
+def test_group_folds_equal_the_greedy_pass(spark):
+    rng = np.random.default_rng(12)
+    counts = {f"g{i:03d}": int(n) for i, n in enumerate([*rng.integers(1, 9, 60), 300, 41, 40, 40, 1, 1, 1])}
+    rows = [(g, i) for g, n in counts.items() for i in range(n)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "g string, i int").repartition(5)
+    for folds in (1, 3, 5):
+        load, want = [0] * folds, {}
+        for g in sorted(sorted(counts, reverse=True), key=lambda g: -counts[g]):
+            want[g] = int(np.argmin(load))
+            load[want[g]] += counts[g]
+        got = M.group_kfold(df, "g", folds).select("g", "fold").distinct().collect()
+        assert {r.g: r.fold for r in got} == want
+    assert M.group_kfold(df.limit(0), "g", 3).count() == 0
+
+
+def test_dealing_in_phases_equals_one_by_one():
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        load = [int(v) for v in rng.integers(0, 60, rng.integers(1, 6))]
+        size, count = int(rng.integers(1, 9)), int(rng.integers(1, 50))
+        one, want = list(load), []
+        for _ in range(count):
+            want.append(int(np.argmin(one)))
+            one[want[-1]] += size
+        phases = M._deal(load, size, count)
+        got = []
+        for p in range(count):
+            at, turn = [x for x in phases if x[0] <= p][-1]
+            got.append(turn[(p - at) % len(turn)])
+        assert got == want and load == one
