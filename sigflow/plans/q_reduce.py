@@ -16,6 +16,7 @@ from sigflow.operators import ml as M
 from sigflow.operators import reduce as R
 from sigflow.plans.oracles_base import with_views
 from sigflow.plans.q_ml import N_PW, _harm
+from sigflow.plans.q_neighbors import _knn_ctes
 from sigflow.plans.q_tables import _CMAP
 from sigflow.session import cut_lineage
 from sigflow.sources import proxies as px
@@ -78,7 +79,7 @@ def agg18_pca_centroids(spark, sf):
 
 
 def ana12_neighbor_graph(spark, sf):
-    return rounded(R.neighbor_graph(px.signatures(spark, sf), "sig_id", "features", k=15))
+    return rounded(R.neighbor_graph(px.signatures(spark, sf), "sig_id", "features", k=GRAPH_K))
 
 
 def ana13_threshold_study(spark, sf):
@@ -157,7 +158,26 @@ def _gsva_sql(source: str, pathway: str, kernel: str, min_size: int) -> str:
                h AS n_hits, set_size FROM walk GROUP BY sample, pathway_id, h, total, wsum, set_size""")
 
 
+GRAPH_K, BISECTIONS = 15, 64           # fixed values of the graph's data stage
+
+# sigma by bisection: doubled until the sum is over its target, then halved
+_GRAPH = with_views("WITH RECURSIVE " + _knn_ctes(False)[5:].replace("rank <= 5", f"rank <= {GRAPH_K}") + f""",
+    near AS (SELECT q_id, c_id, dist FROM nn WHERE q_id <> c_id),
+    lists AS (SELECT q_id, list(dist) AS ds, coalesce(min(dist) FILTER (WHERE dist > 0), 0.0) AS rho FROM near GROUP BY q_id),
+    bis AS (SELECT q_id, ds, rho, CAST(0 AS DOUBLE) AS lo, CAST('inf' AS DOUBLE) AS hi, CAST(1 AS DOUBLE) AS sig, 0 AS step FROM lists
+            UNION ALL
+            SELECT q_id, ds, rho, lo2, hi2, CASE WHEN isfinite(hi2) THEN (lo2 + hi2) / 2 ELSE sig * 2 END, step + 1 FROM (
+                SELECT *, CASE WHEN over THEN lo ELSE sig END AS lo2, CASE WHEN over THEN sig ELSE hi END AS hi2 FROM (
+                    SELECT *, list_sum(list_transform(ds, lambda x: exp(-greatest(x - rho, 0.0) / sig))) > log2({GRAPH_K}) AS over
+                    FROM bis WHERE step < {BISECTIONS}))),
+    one AS (SELECT n.q_id AS i, n.c_id AS j, exp(-greatest(n.dist - b.rho, 0.0) / b.sig) AS w
+            FROM near n JOIN bis b USING (q_id) WHERE b.step = {BISECTIONS}),
+    edges AS (SELECT least(i, j) AS a, greatest(i, j) AS b, coalesce(max(w) FILTER (WHERE i < j), 0.0) AS x,
+                    coalesce(max(w) FILTER (WHERE i > j), 0.0) AS y FROM one GROUP BY ALL)
+    SELECT a, b, round(x + y - x * y, 6) AS weight FROM edges""")
+
 ORACLES = {
+    "ANA12_neighbor_graph": _GRAPH,
     "ANA10_gsva_metabolomics": _gsva_sql(
         "SELECT cell_id AS sample, metabolite AS gene, CAST(value AS DOUBLE) AS v FROM metab_h",
         f"CAST(substring(gene, 2) AS INTEGER) % {N_PW}", "gaussian", MET_MIN),
