@@ -39,25 +39,17 @@ LENIENT = 1.0 - 1e-9      # filters before the exact test allow for round-off
 
 
 # ------------------------------------------------------------------ CHM1 / CHM2
-def _ngram_bits_py(text: str, n: int, n_bits: int) -> list[int]:
-    """Sorted distinct bits: md5 of each character n-gram (UTF-8), first 8
-    hex digits as an integer, modulo n_bits. Same rule as the SQL oracle."""
-    if text is None or len(text) < n:
-        return []
-    seen = {int(hashlib.md5(text[i:i + n].encode("utf-8")).hexdigest()[:8], 16) % n_bits
-            for i in range(len(text) - n + 1)}
-    return sorted(seen)
-
-
 def ngram_bits(text_col: str, n: int = 5, n_bits: int = 2048) -> F.Column:
     """Sorted distinct on-bits of the hashed character n-grams of the whole
-    string (empty for strings shorter than n). Arrow-batched: a Python loop
-    over the n-grams of each string beats the higher-order-function form,
-    which the JVM interprets element by element."""
+    string (empty for NULL and strings shorter than n): md5 of the n-gram
+    (UTF-8), first 8 hex digits as an integer, modulo n_bits. Arrow-batched; an
+    n-gram is hashed once a batch, however many strings hold it."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def bits_udf(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: _ngram_bits_py(t, n, n_bits))
+        grams = [set() if t is None else {t[i:i + n] for i in range(len(t) - n + 1)} for t in s]
+        bit = {g: int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % n_bits for g in set().union(*grams)}
+        return pd.Series([sorted({bit[g] for g in gs}) for gs in grams], index=s.index, dtype=object)
 
     return bits_udf(F.col(text_col))
 

@@ -8,7 +8,7 @@ same rows and an SQL oracle can repeat every draw.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +54,39 @@ def dense_index(df: DataFrame, keys: Sequence[str], order_col: str, tie_col: str
             .drop("_bkt", "_off"))
 
 
+def hash_cuts(df: DataFrame, order_col: str, ranks: Callable[[int], Sequence[int]],
+              distinct: bool = False) -> list[str]:
+    """For each rank a string with exactly that many md5 values of ``order_col``
+    below it; equal values lie on one side, so a rank inside a run of them is
+    moved to its start. ``ranks`` is given the number of (``distinct``) values.
+
+    Values are counted by their first four digits, then only those that share
+    their digits with a cut by the next four, and so on: two or three passes, each
+    of at most 65,536 rows a rank on the driver, and no row is numbered."""
+    h = F.col(order_col)
+
+    def count(rows: DataFrame, digits: int) -> list[tuple[str, int]]:
+        rows = rows.select(order_col).distinct() if distinct else rows
+        return sorted(tuple(r) for r in rows.groupBy(F.substring(h, 1, digits).alias("p")).agg(F.count("*")).collect())
+
+    def place(cells: list[tuple[str, int]], rank: int) -> tuple[str, int]:
+        for prefix, n in cells:
+            if rank < n:
+                return prefix, rank
+            rank -= n
+        return "g", 0                                # above every hex digit
+
+    cells = count(df, 4)
+    found = [place(cells, k) for k in ranks(sum(n for _, n in cells))]
+    for digits in range(8, 33, 4):
+        todo = sorted({p for p, left in found if left})
+        if not todo:
+            break
+        cells = count(df.where(F.substring(h, 1, digits - 4).isin(todo)), digits)
+        found = [place([c for c in cells if c[0].startswith(p)], left) if left else (p, left) for p, left in found]
+    return [p for p, _ in found]
+
+
 def decode_pair(q: Column) -> tuple[Column, Column]:
     """Pair number q -> (i, j), i < j, in the order (0,1),(0,2),(1,2),(0,3)...
     j is the triangular root, corrected by one step against round-off."""

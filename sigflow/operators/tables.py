@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +64,22 @@ def activity_report(sig_info: DataFrame, available: DataFrame, threshold: float,
 
 def null_feature_mask(df: DataFrame, vec_col: str) -> DataFrame:
     """One row: ``_keep`` boolean array, True where no row has a NULL at that
-    position (pandas ``dropna(axis=1)``)."""
-    per = (df.select(F.posexplode(vec_col).alias("_pos", "_x"))
-           .groupBy("_pos").agg(F.count_if(F.col("_x").isNull() | F.isnan("_x")).alias("_nulls")))
+    position (pandas ``dropna(axis=1)``). Tasks count whole Arrow batches, so the
+    matrix is never exploded; NULL rows count nowhere."""
+    def count(batches):
+        total = np.zeros(0, np.int64)                # per position; its length is that of the longest row
+        for batch in batches:
+            rows = batch.column(0).drop_null()
+            flat, lens = rows.flatten(), pc.list_value_length(rows).to_numpy()
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+            absent = pc.is_null(flat, nan_is_null=True).to_numpy(zero_copy_only=False)
+            total = np.pad(total, (0, max(0, int(lens.max(initial=0)) - len(total))))
+            total += np.bincount(pos[absent], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], ["_counts"])
+
+    per = (df.select(vec_col).mapInArrow(count, "_counts array<long>")          # a row a task
+           .select(F.posexplode("_counts").alias("_pos", "_x"))
+           .groupBy("_pos").agg(F.sum("_x").alias("_nulls")))
     return per.agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_nulls"))),
                                lambda t: t["_nulls"] == 0).alias("_keep"))
 

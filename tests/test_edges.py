@@ -21,3 +21,27 @@ def test_constant_vector_and_single_member_label(spark):
     assert set(intra) == {frozenset(p) for p in ((0, 1), (0, 4), (1, 4))}      # b has one member, NULL none
     assert intra[frozenset((0, 1))] is None and abs(intra[frozenset((1, 4))] - 1) < 1e-9
     assert sum(r.kind == "inter" for r in got) == 3
+
+
+def test_null_feature_mask_of_ragged_rows(spark):
+    from sigflow.operators.tables import drop_null_features, null_feature_mask
+    nan = float("nan")
+    rows = [([1.0, None, 3.0, 4.0],), ([1.0, 2.0, nan, 4.0],), (None,), ([],), ([1.0, 2.0],), ([0.0, 0.0, 0.0, 0.0, 5.0],)]
+    df = spark.createDataFrame(rows, "v array<double>")
+    for parts in (1, 4):
+        assert null_feature_mask(df.repartition(parts), "v").first()[0] == [True, False, False, True, True]
+    assert null_feature_mask(df.limit(0), "v").first()[0] == []
+    full = spark.createDataFrame([r for r in rows[:2]], "v array<float>")
+    assert sorted(r.v for r in drop_null_features(full, "v").collect()) == [[1.0, 4.0], [1.0, 4.0]]
+
+
+def test_ngram_bits_against_one_hash_a_gram(spark):
+    import hashlib
+
+    from sigflow.operators.compounds import ngram_bits
+    texts = ["CCO", "CCOCCOCCO", "", None, "ab", "éééé", "CCOCCOCCO"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.b for r in df.select("i", ngram_bits("t", 3, 64).alias("b")).collect()}
+    for i, t in enumerate(texts):
+        grams = [t[k:k + 3] for k in range(len(t) - 2)] if t else []
+        assert got[i] == sorted({int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 64 for g in grams})

@@ -1,5 +1,7 @@
 """Ridge, metrics rules and splits."""
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -55,6 +57,24 @@ def test_kfold_sizes(spark):
     assert sorted(r["count"] for r in folds) == [4, 4, 5, 5, 5]
 
 
+def test_splits_and_folds_follow_md5_order(spark):
+    import hashlib
+    ids = [*range(57), 5, 5, None]                    # an id of three rows, a row without one
+    df = spark.createDataFrame([(i, f"x{k}") for k, i in enumerate(ids)], "row_id int, _h string")
+    order = sorted((i for i in ids if i is not None), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    got = M.split(df, "random", 0.25).collect()
+    first = set(list(dict.fromkeys(order))[:math.ceil(0.25 * 57)])
+    assert len(got) == 59 and all(r.is_test == (r.row_id in first) for r in got)
+    got = M.kfold(df, 4).collect()
+    starts, at = [0, 15, 30, 45], {}
+    for i in dict.fromkeys(order):                    # rows of one id go where their first one lies, or one up
+        spots = [k for k, v in enumerate(order) if v == i]
+        at[i] = {sum(s <= spots[0] for s in starts[1:]), sum(s <= spots[-1] for s in starts[1:])}
+    assert len(got) == 59 and all(r.fold in at[r.row_id] for r in got)
+    assert M.split(df.limit(0), "random").count() == 0 and M.kfold(df.limit(0), 3).count() == 0
+    assert {r.fold for r in M.kfold(df, 1).collect()} == {0}
+
+
 def test_group_folds_equal_the_greedy_pass(spark):
     rng = np.random.default_rng(12)
     counts = {f"g{i:03d}": int(n) for i, n in enumerate([*rng.integers(1, 9, 60), 300, 41, 40, 40, 1, 1, 1])}

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sigflow.operators.sampling import dense_index, md5_hex, sample_pairs
+from sigflow.operators.sampling import dense_index, hash_cuts, md5_hex, sample_pairs
 
 
 def test_pairs_distinct_capped_complete(spark):
@@ -52,3 +52,17 @@ def test_every_pair_is_equally_likely(spark):
         c = n * (n - 1) // 2
         want = 1500 * cap / c
         assert len(count) == c and all(abs(v - want) < 6 * want ** 0.5 for v in count.values())
+
+
+def test_hash_cuts_count_the_values_below(spark):
+    df = spark.range(3000).select(md5_hex(7, "id").alias("_h"))
+    values = sorted(r[0] for r in df.collect())
+    ranks = [0, 1, 17, 1500, 2999, 3000]
+    for rows, distinct in ((df, False), (df.unionAll(df), True)):
+        cuts = hash_cuts(rows, "_h", lambda n: ranks if n == 3000 else None, distinct)
+        assert [sum(v < c for v in values) for c in cuts] == ranks
+    hot = df.limit(10).unionAll(spark.range(90).select(F.lit("7" * 32).alias("_h")))     # a run of equal values
+    values = sorted(r[0] for r in hot.collect())
+    below = [sum(v < c for v in values) for c in hash_cuts(hot, "_h", lambda n: [0, 50, n])]
+    assert below == [0, values.index("7" * 32), 100]
+    assert hash_cuts(df.limit(0), "_h", lambda n: [0]) == ["g"]
