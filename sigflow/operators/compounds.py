@@ -36,24 +36,39 @@ from sigflow.operators.components import connected_components
 from sigflow.session import cut_lineage
 
 LENIENT = 1.0 - 1e-9      # filters before the exact test allow for round-off
+HASHED_GRAMS = 1 << 18    # n-grams whose bit a batch remembers
 
 
 # ------------------------------------------------------------------ CHM1 / CHM2
 def ngram_bits(text_col: str, n: int = 5, n_bits: int = 2048) -> F.Column:
     """Sorted distinct on-bits of the hashed character n-grams of the whole
     string (empty for NULL and strings shorter than n): md5 of the n-gram
-    (UTF-8), first 8 hex digits as an integer, modulo n_bits. Arrow-batched; an
-    n-gram is hashed once a batch, however many strings hold it."""
+    (UTF-8), first 8 hex digits as an integer, modulo n_bits. Arrow-batched; only
+    the n-grams of one string and a bounded table of hashed ones are held."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def bits_udf(s: pd.Series) -> pd.Series:
-        grams = [set() if t is None else {t[i:i + n] for i in range(len(t) - n + 1)} for t in s]
-        bit = {g: int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % n_bits for g in set().union(*grams)}
-        return pd.Series([sorted({bit[g] for g in gs}) for gs in grams], index=s.index, dtype=object)
+        return pd.Series(_hashed_bits(s, n, n_bits), index=s.index, dtype=object)
 
     return bits_udf(F.col(text_col))
 
 
+def _hashed_bits(texts: pd.Series, n: int, n_bits: int) -> list[np.ndarray]:
+    bit: dict[str, int] = {}
+    out = []
+    for t in texts:
+        grams = set() if t is None else {t[i:i + n] for i in range(len(t) - n + 1)}
+        on = {bit[g] for g in grams if g in bit}
+        hashed = {g: int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % n_bits for g in grams if g not in bit}
+        on.update(hashed.values())
+        if len(bit) + len(hashed) > HASHED_GRAMS:
+            bit.clear()
+        if len(hashed) <= HASHED_GRAMS:
+            bit.update(hashed)
+        out.append(np.array(sorted(on), dtype=np.int32))
+    return out
+
+
 def dense_bits(bits_col: str, n_bits: int) -> F.Column:
     """On-bit list -> dense 0/1 vector (Arrow-batched, O(bits) per row)."""
 

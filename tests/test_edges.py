@@ -45,3 +45,25 @@ def test_ngram_bits_against_one_hash_a_gram(spark):
     for i, t in enumerate(texts):
         grams = [t[k:k + 3] for k in range(len(t) - 2)] if t else []
         assert got[i] == sorted({int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 64 for g in grams})
+
+
+def test_ngram_bits_hold_one_string_and_a_bounded_table(monkeypatch):
+    import hashlib
+    import random
+    import tracemalloc
+
+    import pandas as pd
+
+    from sigflow.operators import compounds as CH
+    rng = random.Random(1)
+    texts = pd.Series(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2000)) for _ in range(300)] + [None, "ab"])
+    monkeypatch.setattr(CH, "HASHED_GRAMS", 5000)
+    tracemalloc.start()
+    got = CH._hashed_bits(texts, 5, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6                       # the n-grams of all strings take over 40 MB
+    for i in (0, 150, 299):
+        grams = {texts[i][k:k + 5] for k in range(1996)}
+        assert list(got[i]) == sorted({int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 64 for g in grams})
+    assert [list(b) for b in got[-2:]] == [[], []]
