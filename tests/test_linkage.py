@@ -126,3 +126,40 @@ def test_silhouette_in_blocks(spark, monkeypatch, rows):
         mine = [d for d in data if d[0] == g]
         want = silhouette(1.0 - _tanimoto_dense([d[2] for d in mine], 40), np.array([d[3] for d in mine]))
         assert abs(got[g] - want) < 1e-6
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.4])
+def test_tanimoto_blocks_equal_the_index(spark, threshold):
+    """Blocks of 7 rows against the index, with copies, NULLs and empty sets."""
+    from sigflow.operators import compounds as CH
+    rng = np.random.default_rng(11)
+    rows = [(g, int(i), sorted(rng.choice(20, size=rng.integers(0, 15), replace=False).tolist()))
+            for g in ("a", "b") for i in rng.permutation(40)] + [(None, 1, [1]), ("a", None, [1, 2]), ("b", 99, None)]
+    df = spark.createDataFrame(rows, "grp string, id long, bits array<int>")
+    index = CH.tanimoto_pairs(df, "id", threshold=threshold, group_cols=["grp"], block_rows=0)
+    blocks = CH.tanimoto_pairs(df, "id", threshold=threshold, group_cols=["grp"], block_rows=7)
+    assert blocks.schema.simpleString() == index.schema.simpleString()
+    assert sorted(blocks.collect()) == sorted(index.collect()) and blocks.count() > (50 if threshold else 500)
+    one = CH.tanimoto_pairs(df, "id", threshold=threshold, block_rows=7)
+    assert CH.tanimoto_pairs(df.limit(0), "id", threshold=threshold).count() == 0
+    # a row that stands twice gives what the index gives
+    twice = df.where("id < 9").unionByName(df.where("id < 3"))
+    a, b = (CH.tanimoto_pairs(twice, "id", threshold=threshold, group_cols=["grp"], block_rows=r) for r in (5, 0))
+    cols = ["grp", "a", "b", "inter"]
+    assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
+    carried = CH.tanimoto_pairs(df.where("id < 30").withColumn("c", df.id % 3), "id", threshold=threshold, block_rows=7, carry=["c"])
+    assert all(r.a_c == r.a % 3 and r.b_c == r.b % 3 for r in carried.collect()) and one.count() > blocks.count()
+
+
+def test_few_links_keep_components(spark):
+    """With ``forest`` the links of 300 equal sets are no longer all pairs."""
+    from sigflow.operators import compounds as CH
+    from sigflow.operators.components import connected_components
+    rng = np.random.default_rng(12)
+    rows = [(i, [1, 2, 3]) for i in range(300)] + [(300 + i, sorted(rng.choice(60, size=4, replace=False).tolist())) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, bits array<int>")
+    every = CH.tanimoto_pairs(df, "id", threshold=0.4)
+    few = CH.tanimoto_pairs(df, "id", threshold=0.4, block_rows=100, forest=True)
+    assert every.count() > 300 * 299 // 2 and few.count() < 2 * 500 * 6
+    want = sorted(connected_components(df, every).select("id", "component").collect())
+    assert sorted(connected_components(df, few).select("id", "component").collect()) == want
