@@ -95,3 +95,20 @@ def test_keyed_file_names(spark, tmp_path):
     got = sorted((r.cor_type, r.cell, r.pert) for r in df.collect())
     assert got == [("pearson", "A375", "raw_pert"), ("spearman", "HT_29", "pathway_pert")]
     assert df.where(F.col("cell") == "").count() == 0
+
+
+def test_a_folder_holds_one_file_and_is_read_back(spark, tmp_path):
+    """Rows of a key in many tasks used to give one file each."""
+    from sigflow.sources import formats as FM
+    df = spark.range(600).repartition(6).selectExpr("concat('correlations_moa_pearson_', id % 5, '_raw_pert') AS _file", "id AS moa", "id / 7 AS r")
+    path = str(tmp_path / "keyed")
+    FM.write_table(df, path, "csv", ["_file"])
+    folders = [d for d in (tmp_path / "keyed").iterdir() if d.is_dir()]
+    assert len(folders) == 5 and all(len(list(d.glob("*.csv"))) == 1 for d in folders)
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("moa", T.LongType()), T.StructField("r", T.DoubleType())])
+    from sigflow.plans.q_io import SETUP_RE
+    names = ["outname", "cor_type", "cell", "pert_type"]
+    back = FM.read_keyed_csv(spark, path, SETUP_RE, names, schema)
+    by_glob = FM.read_keyed_csv(spark, f"{path}/*/*.csv", SETUP_RE, names, schema)
+    assert back.count() == 600 and sorted(back.collect()) == sorted(by_glob.collect())
