@@ -1,7 +1,10 @@
 """Exact RBF kernel ridge (ML6): (K + alpha I) c = y for all targets.
 
-Up to ``DENSE_ROWS`` training rows one task solves the system directly. Beyond
-that conjugate gradients run over a table of rows: each carries its part of the
+Rows with equal features (replicates of a drug in a cell) enter once: m of them
+with mean target y have the summed coefficient s of (K + alpha / m I) s = y over
+the distinct rows, and only that sum is ever used. Up to ``DENSE_ROWS`` distinct
+rows one task solves the system directly. Beyond that conjugate gradients, scaled
+by the diagonal, run over a table of rows: each carries its part of the
 coefficients, residuals and directions, and a kernel product is one pass over
 the rows for every block of them, whose features and directions are dealt to
 the tasks. No kernel matrix is stored, and the driver holds one block at a time.
@@ -18,14 +21,15 @@ from pyspark.sql import functions as F
 
 from sigflow.session import cut_lineage
 
-DENSE_ROWS = 4096            # rows solved in one task
+DENSE_ROWS = 4096            # distinct rows solved in one task
 BLOCK_BYTES = 64 << 20       # features and directions dealt to the tasks at once
+CELLS = 1 << 21              # kernel values held at once in a task
 TOLERANCE = 1e-10            # residual over the targets' norm at which a target is solved
 
 
 @dataclass
 class KernelModel:
-    """Training rows with their coefficients: (block, x, c)."""
+    """Distinct training rows with their summed coefficients: (block, x, c)."""
     rows: DataFrame
     blocks: int
     gamma: float
@@ -46,6 +50,21 @@ def _blocks_of(n: int, width: int, targets: int) -> int:
     return max(1, -(-n * 8 * (width + targets) // BLOCK_BYTES))
 
 
+def distinct_rows(df: DataFrame, x_col: str, v_col: str, targets: int) -> DataFrame:
+    """(x, v, m): the distinct feature vectors, the sums of ``v_col`` over their
+    rows and how many those are."""
+    sums = [F.sum(F.col(v_col)[j].cast("double")).alias(f"_v{j}") for j in range(targets)]
+    x = F.col(x_col).cast("array<double>").alias("x")
+    return (df.groupBy(x).agg(F.count("*").alias("m"), *sums)
+            .select("x", F.array(*[F.col(f"_v{j}") for j in range(targets)]).cast("array<double>").alias("v"), "m"))
+
+
+def in_blocks(rows: DataFrame, width: int, targets: int) -> tuple[DataFrame, int]:
+    """Rows with their ``block``, and the number of blocks."""
+    blocks = _blocks_of(rows.count(), width, targets)
+    return cut_lineage(rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))), blocks
+
+
 def kernel_product(df: DataFrame, x_col: str, rows: DataFrame, blocks: int, c_col: str, gamma: float,
                    targets: int, out: str) -> DataFrame:
     """``df`` with ``out``: the sum of kernel values with all of ``rows``
@@ -61,7 +80,10 @@ def kernel_product(df: DataFrame, x_col: str, rows: DataFrame, blocks: int, c_co
         def add(xs: pd.Series, sums: pd.Series) -> pd.Series:
             if not len(xs):
                 return pd.Series([], dtype=object)
-            return pd.Series(list(_matrix(sums) + rbf(_matrix(xs), z, gamma) @ c))
+            done, step = [], max(1, CELLS // len(z))
+            for a in range(0, len(xs), step):
+                done.extend(_matrix(sums.iloc[a:a + step]) + rbf(_matrix(xs.iloc[a:a + step]), z, gamma) @ c)
+            return pd.Series(done)
 
         result = result.withColumn(out, add(F.col(x_col), F.col(out)))
         if blocks > 1:
@@ -87,38 +109,43 @@ def _step(a: str, b: str, scale: np.ndarray):
 def fit_kernel_ridge(train: DataFrame, alpha: float = 1.0, gamma: float = 1.0 / 200, x_col: str = "features",
                      y_col: str = "y", max_iter: int = 500) -> KernelModel:
     """The dual coefficients of every target."""
-    rows = cut_lineage(train.select(F.col(x_col).cast("array<double>").alias("x"), F.col(y_col).cast("array<double>").alias("y")))
-    first = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d"), F.max(F.size("y")).alias("t")).first()
-    if not first["n"]:
+    shape = train.agg(F.max(F.size(x_col)).alias("d"), F.max(F.size(y_col)).alias("t")).first()
+    if shape["d"] is None:
         raise ValueError("no training rows")
-    n, targets = first["n"], first["t"]
-    blocks = _blocks_of(n, first["d"], targets)
-    if n <= DENSE_ROWS:
+    targets = shape["t"]
+    rows = distinct_rows(train, x_col, y_col, targets)
+    rows, blocks = in_blocks(cut_lineage(rows.select("x", F.transform("v", lambda v: v / F.col("m")).alias("y"), "m")),
+                             shape["d"], targets)
+    if rows.count() <= DENSE_ROWS:
         def solve(pdf: pd.DataFrame) -> pd.DataFrame:
             x, y = _matrix(pdf["x"]), _matrix(pdf["y"])
-            c = np.linalg.solve(rbf(x, x, gamma) + alpha * np.eye(len(x)), y)
-            return pd.DataFrame({"block": np.arange(len(x)) % blocks, "x": list(x), "c": list(c)})
+            k = rbf(x, x, gamma)
+            k[np.diag_indices(len(x))] += alpha / pdf["m"].to_numpy()
+            return pd.DataFrame({"block": pdf["block"], "x": list(x), "c": list(np.linalg.solve(k, y))})
 
         whole = rows.withColumn("all", F.lit(0)).groupBy("all")                   # at most DENSE_ROWS rows
         return KernelModel(cut_lineage(whole.applyInPandas(solve, "block int, x array<double>, c array<double>")),
                            blocks, gamma, targets)
     zero = F.array_repeat(F.lit(0.0), targets)
-    state = cut_lineage(rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
-                        .select("block", "x", zero.alias("c"), F.col("y").alias("r"), F.col("y").alias("p")))
-    old = _dots(state, "r", "r", targets)
-    goal = TOLERANCE**2 * old
+    ridge = F.lit(float(alpha)) / F.col("m")
+    scaled = lambda r: F.transform(r, lambda v: v / (1 + ridge))
+    state = cut_lineage(rows.select("block", "x", "m", zero.alias("c"), F.col("y").alias("r"), scaled("y").alias("p"))
+                        .withColumn("z", F.col("p")))
+    goal = TOLERANCE**2 * _dots(state, "r", "r", targets)
+    old, left = _dots(state, "r", "z", targets), goal / TOLERANCE**2
     for _ in range(max_iter):
-        if (old <= goal).all():
+        if (left <= goal).all():
             break
         q = cut_lineage(kernel_product(state, "x", state, blocks, "p", gamma, targets, "q")
-                        .withColumn("q", _step("q", "p", np.full(targets, alpha))))
+                        .withColumn("q", F.zip_with("q", "p", lambda u, v: u + ridge * v)))
         slope = _dots(q, "p", "q", targets)
-        size = np.where(old > goal, old / np.where(slope > 0, slope, 1), 0.0)    # solved targets stand still
-        moved = q.select("block", "x", _step("c", "p", size).alias("c"), _step("r", "q", -size).alias("r"), "p")
-        moved = cut_lineage(moved)
-        new = _dots(moved, "r", "r", targets)
-        state = cut_lineage(moved.select("block", "x", "c", "r", _step("r", "p", new / np.where(old > 0, old, 1)).alias("p")))
-        old = np.where(old > goal, new, old)
+        size = np.where(left > goal, old / np.where(slope > 0, slope, 1), 0.0)   # solved targets stand still
+        moved = q.select("block", "x", "m", _step("c", "p", size).alias("c"), _step("r", "q", -size).alias("r"), "p")
+        moved = cut_lineage(moved.withColumn("z", scaled("r")))
+        left = np.where(left > goal, _dots(moved, "r", "r", targets), left)
+        new = _dots(moved, "r", "z", targets)
+        state = cut_lineage(moved.select("block", "x", "m", "c", "r", "z", _step("z", "p", new / np.where(old > 0, old, 1)).alias("p")))
+        old = new
     return KernelModel(state.select("block", "x", "c"), blocks, gamma, targets)
 
 

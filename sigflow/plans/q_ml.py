@@ -293,8 +293,9 @@ def ml6_fixed_point(spark, sf):
     train = cut_lineage(d.where(~F.col("is_test")))
     m = M.fit_kernel_ridge(train)
     p = cut_lineage(M.predict_kernel(train, m))
-    dual = p.select(F.lit(0).alias("block"), F.col("features").alias("x"), F.zip_with("y", "pred", lambda a, b: a - b).alias("c"))
-    again = M.kernel_product(p, "features", cut_lineage(dual), 1, "c", m.gamma, m.targets, "again")
+    left = M.distinct_rows(p.withColumn("c", F.zip_with("y", "pred", lambda a, b: a - b)), "features", "c", m.targets)
+    dual, blocks = M.in_blocks(cut_lineage(left.select("x", F.col("v").alias("c"))), len(p.first()["features"]), m.targets)
+    again = M.kernel_product(p, "features", dual, blocks, "c", m.gamma, m.targets, "again")
     off = F.array_max(F.transform(F.arrays_zip("pred", "again"), lambda v: F.abs(v["pred"] - v["again"])))
     moved = F.array_max(F.transform("pred", lambda v: F.abs(v)))
     return rounded(again.agg(F.max(off).alias("worst"), (F.max(moved) > 0).alias("fitted")))

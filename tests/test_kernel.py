@@ -27,6 +27,21 @@ def test_kernel_ridge_equals_a_dense_solve(spark, monkeypatch, dense, block):
     assert np.allclose([got[str(i)] for i in range(n)], want, atol=1e-7)
 
 
+@pytest.mark.parametrize("dense", [20, 10])
+def test_kernel_ridge_takes_equal_rows_once(spark, monkeypatch, dense):
+    """200 rows of 20 feature vectors are a system of 20."""
+    monkeypatch.setattr(K, "DENSE_ROWS", dense)
+    x, y = data(200)
+    x = x[np.minimum(np.arange(200) ** 2 // 1000, 19)]                   # groups of unequal size
+    df = _table(spark, x, y).repartition(3)
+    model = K.fit_kernel_ridge(df, 1.0, 1 / 20)
+    assert model.rows.count() == 20
+    got = {r.row_id: r.pred for r in K.predict_kernel(df, model).collect()}
+    k = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 20)
+    want = k @ np.linalg.solve(k + np.eye(200), y)
+    assert np.allclose([got[str(i)] for i in range(200)], want, atol=1e-7)
+
+
 def test_elastic_net_is_optimal(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 8)) + 2
