@@ -1,8 +1,10 @@
 """Exact k-nearest neighbours and neighbour-label purity (ANA6-ANA8, AGG16,
 AGG17).
 
-A group (the whole input, or one cell line) of at most ``block_rows`` rows is
-one block: one ``applyInPandas`` task compares it with itself. A larger group
+Blocks have ``block_rows`` rows, or what makes ``BLOCKS`` of them of the largest
+group up to ``MOST`` times as many: so long as they can grow, a row meets no more
+blocks however many rows there are. A group (the whole input, or one cell line)
+of no more rows is one block: one ``applyInPandas`` task compares it with itself. A larger group
 gets a pivot index, and two blocks meet only where the triangle inequality
 leaves room for a neighbour:
 
@@ -40,6 +42,9 @@ from sigflow.functions.vectors import attach_group_values, standardize
 from sigflow.session import cut_lineage
 
 PIVOTS = 64        # pivots of a group
+BLOCKS = 32        # blocks of the largest group before they hold more rows
+MOST = 8           # times the given rows that a block may hold
+CELLS = 1 << 22    # distances held at once in a task
 SPAN = 4           # blocks whose rows share one copy of a candidate block
 SUMMARIES = 1024   # block bounds compared in one task
 SLACK = 1e-9       # share of the distances by which a bound is loosened for round-off
@@ -62,8 +67,9 @@ def _nearest(q: pd.DataFrame, c: pd.DataFrame, k: int, key_names: list[str], id_
     cid = c[id_name].to_numpy()
     keep = min(k, len(c))
     out = []
-    for at in range(0, len(q), 2048):
-        part = q.iloc[at:at + 2048]
+    step = max(1, CELLS // len(c))
+    for at in range(0, len(q), step):
+        part = q.iloc[at:at + step]
         Q = _matrix(part["_v"])
         d2, slack = _squares(Q, C)
         # every candidate whose d2 is within twice the round-off bound of the
@@ -149,10 +155,9 @@ def _bounded(rows: DataFrame, g: list[str], k: int) -> DataFrame:
         if len(pdf) < k:
             u = np.full(len(pdf), np.inf)
         else:
-            # a block may exceed its size where steps are uneven: rows go by thousands
-            u = []
-            for at in range(0, len(V), 1024):
-                d2, slack = _squares(V[at:at + 1024], V)
+            u, step = [], max(1, CELLS // len(V))
+            for at in range(0, len(V), step):
+                d2, slack = _squares(V[at:at + step], V)
                 u.append(np.sqrt(np.maximum(np.partition(d2, k - 1, axis=1)[:, k - 1] + 2 * slack, 0)))
             u = np.concatenate(u)
         D = _matrix(pdf["_pd"])
@@ -259,6 +264,9 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5,
         base = standardize(base, vec_col, g, out_col="_v").drop(vec_col)
     else:
         base = base.withColumn("_v", F.transform(vec_col, lambda x: x.cast("double"))).drop(vec_col)
+    largest = df.groupBy(*g).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    block_rows = min(max(block_rows, -(-largest // BLOCKS)), MOST * block_rows)
+
     def blocks_of(x: DataFrame) -> DataFrame:
         return x.groupBy(*g).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block_rows))).cast("int").alias("_nb"))
 
@@ -275,7 +283,7 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int = 5,
     def first_k(local: DataFrame) -> DataFrame:
         return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    if (blocks_of(df).agg(F.max("_nb")).first()[0] or 1) == 1:
+    if largest <= block_rows:
         # every group is one block: each row's list is whole
         alone = base if g else base.withColumn("_one", F.lit(0))
         return first_k(alone.groupBy(*(g or ["_one"])).applyInPandas(
@@ -329,9 +337,10 @@ def class_purity_stats(sample_stats: DataFrame, label_col: str,
                        group_cols: Sequence[str] = ()) -> DataFrame:
     """AGG16: per class mean/std(ddof 1)/count of nn_purity, the 1/n_classes
     baseline and lift = mean / baseline; also the class-frequency baseline.
-    Null labels form no class (pandas groupby drops them)."""
+    Null labels form no class (pandas groupby drops them). The samples are
+    written once: they are read twice, and neighbours stand behind them."""
     g = list(group_cols)
-    lab = sample_stats.where(F.col(label_col).isNotNull())
+    lab = cut_lineage(sample_stats.where(F.col(label_col).isNotNull()))
     per = lab.groupBy(*g, label_col).agg(
         F.avg("nn_purity").alias("mean"), F.stddev_samp("nn_purity").alias("std"),
         F.count("nn_purity").alias("count"))

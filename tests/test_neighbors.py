@@ -81,6 +81,33 @@ def test_copies_are_compared_once(spark):
     assert all(r.q_own == r.q_id and r.c_own == r.c_id and r.dist == 0 and r.c_id == r.q_id % 3 + 3 * (r["rank"] - 1) for r in got)
 
 
+def test_blocks_grow_before_their_number(spark, monkeypatch):
+    """Without structure every row meets every block: a row for each of 4 blocks
+    of 100 rows, not of 20 blocks of 20."""
+    monkeypatch.setattr(N, "BLOCKS", 4)
+    sizes, real = [], N.indexed_tiles
+    monkeypatch.setattr(N, "indexed_tiles", lambda *a: sizes.append(real(*a)) or sizes[-1])
+    x = np.random.default_rng(2).normal(size=(400, 20))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in N.knn(df, "id", "v", 3, scale=False, block_rows=20).collect():
+        got.setdefault(r.q_id, {})[r.rank] = r.c_id
+    assert sizes[0].where("_role = 0").count() <= 8 * 400
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(len(x)):
+        assert [got[i][r] for r in (1, 2, 3)] == np.lexsort((np.arange(len(x)), d[i]))[:3].tolist()
+
+
+def test_class_statistics_read_the_samples_once(spark):
+    from pyspark.sql import functions as F
+    runs = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda v: runs.add(1) or v, "double")
+    rows = spark.createDataFrame([("a", 0.5), ("a", 1.0), ("b", 0.0)], "lab string, p double")
+    got = N.class_purity_stats(rows.select("lab", seen("p").alias("nn_purity")), "lab").collect()
+    assert {r.lab: (r["mean"], r["count"]) for r in got} == {"a": (0.75, 2), "b": (0.0, 1)}
+    assert runs.value == 3
+
+
 def test_block_sizes_stay_bounded(spark):
     from pyspark.sql import functions as F
     x = _clusters(7, 1500, 3, 5)
