@@ -9,7 +9,8 @@ trees, the sums are added up in two steps, and only the best split of each node
 reaches the driver. A node that fits into a task is finished there. Both ways
 look at the same thresholds and take the same split: the largest fall of the
 squared error summed over targets, then the first feature, then the lowest
-threshold.
+threshold. While a forest grows a row is its bin numbers, a byte a feature: the
+features themselves are read once, some rows at a time.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ HIST_BYTES = 256 << 20       # histograms of one pass in a task
 CHUNK_BYTES = 8 << 20        # histogram of one node and some features, as one row
 CELLS = 1 << 22              # running sums held at once in a task
 MODEL_BYTES = 64 << 20       # trees dealt to the tasks at once in a prediction
+SLICE_ROWS = 512             # rows of a batch that are a matrix at once
 
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 20)])))
 
@@ -134,6 +136,16 @@ def binned(x: np.ndarray, edges: dict[int, np.ndarray]) -> np.ndarray:
     return out
 
 
+def in_bins(tree: Tree, edges: dict[int, np.ndarray]) -> Tree:
+    """The tree over bin numbers: a value is at most a threshold where its bin
+    is at most the threshold's."""
+    place = {f: i for i, f in enumerate(edges)}
+    inner = [f >= 0 for f in tree.feature]
+    feature = [place[f] if on else f for f, on in zip(tree.feature, inner)]
+    threshold = [np.searchsorted(edges[f], t) if on else t for f, t, on in zip(tree.feature, tree.threshold, inner)]
+    return Tree(np.array(feature), np.array(threshold, np.float64), tree.left, tree.right, tree.value)
+
+
 # ------------------------------------------------------------------ a node within a task
 def _best(order, bins, wy, w, min_leaf):
     """(gain, feature, bin) of the best split of the rows in ``order``
@@ -176,7 +188,9 @@ def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, min_leaf: i
         value.append(wy[rows].sum(0) / w[rows].sum())
         return len(feature) - 1
 
-    order = np.argsort(bins, axis=0, kind="stable").T
+    order = np.empty(bins.shape[::-1], np.int32)
+    for f in range(bins.shape[1]):
+        order[f] = np.argsort(bins[:, f], kind="stable")
     everything = np.arange(len(bins))
     todo = [(node(everything), everything, order, depth)]
     inside = np.zeros(len(bins), bool)
@@ -211,25 +225,26 @@ def _histograms(rows: DataFrame, tops: list, nodes: list[tuple[int, int]], seed:
     chunk = max(1, CHUNK_BYTES // (bins * stats * 8))
     parts = -(-d // chunk)
     slot = {n: i for i, n in enumerate(nodes)}
-    trees = sorted({t for t, _ in nodes})
+    trees = {t: in_bins(tops[t], edges) for t in sorted({t for t, _ in nodes})}
 
     def part(batches):
         from pyspark import TaskContext
         sums = np.zeros((len(nodes), d, bins, stats))
         for batch in batches:
-            h, b, x, y = _unpack(batch, d)
-            for t in trees:
+            h, b, y = _unpack(batch, d)
+            for t, top in trees.items():
                 w = bootstrap(h, t, seed)
-                end = tops[t].place(x)
+                end = top.place(b)
                 for node in {n for s, n in nodes if s == t}:
                     on = np.flatnonzero((end == node) & (w > 0))
                     if not len(on):
                         continue
                     out = sums[slot[t, node]].reshape(-1, stats)
                     weights = np.concatenate([np.ones((len(on), 1)), w[on, None], y[on] * w[on, None]], axis=1)
-                    at = b[on].astype(np.int64) + np.arange(d) * bins
-                    for s in range(stats):
-                        out[:, s] += np.bincount(at.ravel(), np.repeat(weights[:, s], d), minlength=d * bins)
+                    for f in range(d):
+                        at, into = b[on, f], out[f * bins:(f + 1) * bins]
+                        for s in range(stats):
+                            into[:, s] += np.bincount(at, weights[:, s], minlength=bins)
         task = TaskContext.get().partitionId()
         for i in range(len(nodes)):
             for p in range(parts):
@@ -264,10 +279,10 @@ def _histograms(rows: DataFrame, tops: list, nodes: list[tuple[int, int]], seed:
 
 
 def _unpack(batch, d):
-    """(row hashes, bins, features, targets) of a batch of prepared rows."""
+    """(row hashes, bins, targets) of a batch of prepared rows."""
     column = lambda n: batch.column(batch.schema.get_field_index(n))
     b = np.frombuffer(b"".join(column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, d)
-    return column("h").to_numpy(), b, _matrix(column("x")), _matrix(column("y"))
+    return column("h").to_numpy(), b, _matrix(column("y"))
 
 
 def fit_forest(train: DataFrame, num_trees: int = 200, max_depth: int = 15, min_leaf: int = 5, seed: int = 42,
@@ -281,14 +296,16 @@ def fit_forest(train: DataFrame, num_trees: int = 200, max_depth: int = 15, min_
 
     def prepare(batches):
         for batch in batches:
-            column = lambda n: batch.column(batch.schema.get_field_index(n))
-            b = binned(_matrix(column("x")), edges)
-            yield pa.RecordBatch.from_arrays(
-                [column("h"), pa.array([r.tobytes() for r in b], pa.binary()), column("x"), column("y")], ["h", "bins", "x", "y"])
+            for a in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(a, SLICE_ROWS)
+                column = lambda n: part.column(part.schema.get_field_index(n))  # noqa: B023, E731
+                b = binned(_matrix(column("x")), edges)
+                yield pa.RecordBatch.from_arrays(
+                    [column("h"), pa.array([r.tobytes() for r in b], pa.binary()), column("y")], ["h", "bins", "y"])
 
     rows = train.select(F.xxhash64(row_col).alias("h"), F.col(x_col).cast("array<double>").alias("x"),
                         F.col(y_col).cast("array<double>").alias("y"))
-    rows = cut_lineage(rows.mapInArrow(prepare, "h long, bins binary, x array<double>, y array<double>"))
+    rows = cut_lineage(rows.mapInArrow(prepare, "h long, bins binary, y array<double>"))
     first = rows.agg(F.count("*").alias("n"), F.max(F.size("y")).alias("t")).first()
     targets = first["t"]
     most = max(2 * min_leaf, LOCAL_BYTES // (d + 8 * (width + targets) + 64))    # rows of a node in one task
@@ -321,11 +338,13 @@ def fit_forest(train: DataFrame, num_trees: int = 200, max_depth: int = 15, min_
             if not open_:
                 break
 
+    binned_tops = [in_bins(top, edges) for top in tops]
+
     def deal(batches):
         for batch in batches:
-            h, _, x, _ = _unpack(batch, d)
-            for t, top in enumerate(tops):
-                w, end = bootstrap(h, t, seed), top.place(x)
+            h, b, _ = _unpack(batch, d)
+            for t, top in enumerate(binned_tops):
+                w, end = bootstrap(h, t, seed), top.place(b)
                 on = np.flatnonzero((w > 0) & (top.feature[end] == -2))
                 take = pa.array(on)
                 yield pa.RecordBatch.from_arrays(
@@ -379,19 +398,22 @@ def predict_forest(df: DataFrame, forest: Forest, x_col: str = "features", out:
         def step(xs: pd.Series, sums: pd.Series) -> pd.Series:
             if not len(xs):
                 return pd.Series([], dtype=object)
-            x = np.vstack([np.asarray(v, np.float64) for v in xs])
-            total = np.vstack([np.asarray(v, np.float64) for v in sums])
-            for t, top in enumerate(tops):
-                end = top.place(x)
-                kind = top.feature[end]
-                if first and (kind == -1).any():
-                    total[kind == -1] += top.value[end[kind == -1]] / count
-                for node in np.unique(end[kind == -2]):
-                    tree = trees.get((t, int(node)))
-                    if tree is not None:
-                        on = np.flatnonzero(end == node)
-                        total[on] += tree.value[tree.place(x[on])] / count
-            return pd.Series(list(total))
+            done = []
+            for a in range(0, len(xs), SLICE_ROWS):
+                x = np.vstack([np.asarray(v, np.float64) for v in xs.iloc[a:a + SLICE_ROWS]])
+                total = np.vstack([np.asarray(v, np.float64) for v in sums.iloc[a:a + SLICE_ROWS]])
+                for t, top in enumerate(tops):
+                    end = top.place(x)
+                    kind = top.feature[end]
+                    if first and (kind == -1).any():
+                        total[kind == -1] += top.value[end[kind == -1]] / count
+                    for node in np.unique(end[kind == -2]):
+                        tree = trees.get((t, int(node)))
+                        if tree is not None:
+                            on = np.flatnonzero(end == node)
+                            total[on] += tree.value[tree.place(x[on])] / count
+                done.extend(total)
+            return pd.Series(done)
 
         result = result.withColumn(out, step(F.col(x_col), F.col(out)))
         if groups > 1:

@@ -78,6 +78,16 @@ def test_equals_naive_trees(spark, monkeypatch, local, hist):
     assert np.allclose(forest.importances, share, atol=1e-9)
 
 
+def test_bins_decide_as_thresholds_do():
+    """A tree over bin numbers places every row where the thresholds do, also
+    values equal to one."""
+    x = np.random.default_rng(1).normal(size=(300, 3)).round(1)
+    edges = {f: np.unique(x[::3, f])[:-1] for f in (0, 2)}
+    tree, _ = T.grow(T.binned(x, edges), x[:, :1] * x[:, 2:], np.ones(300), 6, 3, edges, 3)
+    assert len(tree.feature) > 10
+    assert (T.in_bins(tree, edges).place(T.binned(x, edges)) == tree.place(x)).all()
+
+
 def test_bootstrap_is_poisson():
     w = T.bootstrap(np.random.default_rng(0).integers(-2**62, 2**62, 200_000), 3, 42)
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03 and abs((w == 0).mean() - np.exp(-1)) < 0.01
