@@ -30,7 +30,7 @@ from sigflow.llm.common import materialise, text_of
 from sigflow.llm.textbatch import distinct_spans, lower_bytes, padded, ragged, slices, span_hashes, words_of
 
 BLOCK = 128                  # postings in a block
-SEGMENT_BYTES = 4 << 20      # text in a segment; a longer text is a segment of its own
+SEGMENT_BYTES = 2 << 20      # text in a segment; a longer text is a segment of its own
 QUERY_TERMS = 1 << 18        # (query, term) rows dealt to the tasks at once, about
 
 # the bytes between terms: all ASCII but 0-9, A-Z and a-z

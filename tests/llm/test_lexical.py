@@ -118,3 +118,15 @@ def test_blocks_are_rejected_unread(monkeypatch):
     read.clear()
     doc2, score2 = X.best_of_segment(lists, size, found, scorer, 10, int(top))
     assert set(doc2[score2 >= top]) == set(doc[score >= top]) and sum(read) < everything / 2
+
+
+def test_a_segment_is_built_in_bounded_memory():
+    """What a task holds while it indexes one slice of full size."""
+    import tracemalloc
+    words = " ".join(f"w{i}" for i in np.random.default_rng(0).integers(0, 20_000, X.SEGMENT_BYTES // 7)).encode()
+    X.segment(np.frombuffer(b"a b", np.uint8), np.array([0, 3]))          # imports and tables
+    tracemalloc.start()
+    X.segment(np.frombuffer(words, np.uint8), np.array([0, len(words)]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 45 << 20, most >> 20
