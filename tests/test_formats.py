@@ -112,3 +112,27 @@ def test_a_folder_holds_one_file_and_is_read_back(spark, tmp_path):
     back = FM.read_keyed_csv(spark, path, SETUP_RE, names, schema)
     by_glob = FM.read_keyed_csv(spark, f"{path}/*/*.csv", SETUP_RE, names, schema)
     assert back.count() == 600 and sorted(back.collect()) == sorted(by_glob.collect())
+
+
+def test_tasks_write_the_files_that_spark_writes(spark, tmp_path):
+    """Hadoop's local file system starts a process for every file (and leaves a
+    checksum file beside it); keys and contents are those of Spark's own writes."""
+    rows = [("a/b=c%", 1, "x,\"y\"", 1e10), ("", 1, "", 0.1), (None, 1, None, None), ("a", None, " z ", -0.0),
+            ("a", None, "two\nlines", float("nan")), ("ä b", 2, "ü", 1.5), ("a", 2, "'", 2.5)]
+    df = spark.createDataFrame(rows, "k string, n int, t string, v double").repartition(3)
+    for fmt in ("csv", "parquet"):
+        ours, theirs = tmp_path / f"ours-{fmt}", tmp_path / f"theirs-{fmt}"
+        FM.write_table(df, str(ours), fmt, ["k", "n"])
+        df.repartition(4, "k", "n").write.partitionBy("k", "n").option("header", True).format(fmt).save(str(theirs))
+        folders = lambda top: {str(p.parent.relative_to(top)) for p in top.rglob(f"*.{fmt}")}
+        assert folders(ours) == folders(theirs) and len(folders(ours)) == 5
+        files = [p for p in ours.rglob("*") if p.is_file()]
+        assert len(files) == 5 and all(p.suffix == f".{fmt}" for p in files)        # one a key, nothing beside it
+        if fmt == "csv":
+            lines = lambda top, f: sorted(x for p in (top / f).glob("*.csv") for x in p.read_text().split("\n"))
+            for f in folders(ours) - {"k=__HIVE_DEFAULT_PARTITION__/n=1"}:
+                assert lines(ours, f) == lines(theirs, f)
+        read = lambda top: sorted(map(str, spark.read.option("header", True).format(fmt).load(str(top)).collect()))
+        assert read(ours) == read(theirs)
+    FM.write_table(df.where("n = 2"), str(ours), "parquet", ["k", "n"])              # overwritten, not added to
+    assert spark.read.parquet(str(ours)).count() == 2
