@@ -31,6 +31,7 @@ from sigflow.llm.textbatch import distinct_spans, lower_bytes, padded, ragged, s
 
 BLOCK = 128                  # postings in a block
 SEGMENT_BYTES = 2 << 20      # text in a segment; a longer text is a segment of its own
+GROUP_BYTES = 4 << 20        # segments that a task reads or writes at once, about
 QUERY_TERMS = 1 << 18        # (query, term) rows dealt to the tasks at once, about
 
 # the bytes between terms: all ASCII but 0-9, A-Z and a-z
@@ -139,7 +140,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     names = [c.split()[0] for c in SEGMENT.split(", ")]
     schema = f"ids array<{kind}>, n_docs long, n_terms long, {SEGMENT}"
-    return materialise(rows.mapInArrow(run, schema).select("ids", "n_docs", "n_terms", *names), "segments")
+    return materialise(rows.mapInArrow(run, schema).select("ids", "n_docs", "n_terms", *names), "segments", GROUP_BYTES)
 
 
 # ------------------------------------------------------------------ one segment's search
