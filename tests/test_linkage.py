@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from sigflow.operators import compounds as CH
 from sigflow.operators.compounds import _tanimoto_dense, linkage_clusters, silhouette
 
 
@@ -163,3 +164,60 @@ def test_few_links_keep_components(spark):
     assert every.count() > 300 * 299 // 2 and few.count() < 2 * 500 * 6
     want = sorted(connected_components(df, every).select("id", "component").collect())
     assert sorted(connected_components(df, few).select("id", "component").collect()) == want
+
+
+def test_average_linkage_without_a_matrix():
+    """A component of 60,000 rows needed a matrix of 29 GB; here sums are made
+    from the rows when needed, whatever fits the memory."""
+    rng = np.random.default_rng(5)
+    for n, cutoff, low, held in ((90, 0.6, None, 1 << 20), (140, 0.7, 0.35, 4000), (60, 0.99, None, 0), (1, 0.6, None, 0)):
+        centre = rng.random((9, 700)) < 0.3
+        rows = [np.flatnonzero(centre[k % 9] ^ (rng.random(700) < 0.12 * rng.random())) for k in range(n)]
+        sim = CH._tanimoto_dense(rows, 700)
+        if low is not None:
+            sim[sim < low] = 0.0
+        old, CH.LINKAGE_BYTES = CH.LINKAGE_BYTES, held
+        try:
+            got = CH.average_linkage(rows, 700, cutoff, low)
+        finally:
+            CH.LINKAGE_BYTES = old
+        assert got.tolist() == CH.linkage_clusters(1.0 - sim, cutoff).tolist()
+
+
+def test_clusters_are_the_same_without_a_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centre = rng.random((4, 300)) < 0.3
+    rows = [(i, i % 2, np.flatnonzero(centre[i % 4] ^ (rng.random(300) < 0.05)).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, moa int, bits array<int>")
+    want = sorted(map(str, CH.cluster_groups(df, "id", "moa", cutoff=0.7).collect()))
+    monkeypatch.setattr(CH, "linkage_clusters", None)         # a matrix would be needed
+    monkeypatch.setattr(CH, "LINKAGE_ROWS", 1)
+    assert sorted(map(str, CH.cluster_groups(df, "id", "moa", cutoff=0.7).collect())) == want
+
+
+def test_pairs_are_added_up_by_label_where_they_are_made(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(i % 50), "g", int(i % 50 % 6), float(1 + i % 50 % 3), sorted(rng.choice(20, 6, replace=False).tolist()))
+            for i in range(70)]                                # keys that stand twice
+    df = spark.createDataFrame(rows, "id long, grp string, lab int, w double, bits array<int>")
+    pairs = CH.tanimoto_pairs(df, "id", group_cols=["grp"], block_rows=0, carry=["lab", "w"]).collect()
+    want = {}
+    for p in pairs:
+        if p.a_lab != p.b_lab:
+            at = (p.grp, min(p.a_lab, p.b_lab), max(p.a_lab, p.b_lab))
+            want[at] = want.get(at, 0) + p.sim * p.a_w * p.b_w
+    for block_rows in (0, 1000, 12, 5):                        # by the index, in one block, labels whole, labels cut
+        got = CH.tanimoto_pairs(df, "id", group_cols=["grp"], block_rows=block_rows, carry=["lab", "w"], sum_by=("lab", "w"))
+        got = {(r.grp, r.x, r.y): r.s for r in got.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_a_block_is_shipped_as_bits(spark):
+    """Rows of lists used to go to every block they meet."""
+    df = spark.range(64).selectExpr("id", "filter(sequence(0, 63), i -> (id * (i + 3)) % 7 < 3) AS bits")
+    plan = CH.tanimoto_pairs(df, "id", block_rows=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_cells" in plan
+    text = [(r.id, [f"b{x}" for x in r.bits]) for r in df.collect()]
+    text = CH.tanimoto_pairs(spark.createDataFrame(text, "id long, bits array<string>"), "id", block_rows=8, threshold=0.4)
+    plain = CH.tanimoto_pairs(df, "id", block_rows=0, threshold=0.4)
+    assert sorted(text.collect()) == sorted(plain.collect()) and plain.count()
