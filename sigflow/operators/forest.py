@@ -33,6 +33,7 @@ CHUNK_BYTES = 8 << 20        # histogram of one node and some features, as one r
 CELLS = 1 << 22              # running sums held at once in a task
 MODEL_BYTES = 64 << 20       # trees dealt to the tasks at once in a prediction
 SLICE_ROWS = 512             # rows of a batch that are a matrix at once
+ALIKE_ROWS = 32              # rows of a node whose features are compared with each other
 
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 20)])))
 
@@ -147,28 +148,65 @@ def in_bins(tree: Tree, edges: dict[int, np.ndarray]) -> Tree:
 
 
 # ------------------------------------------------------------------ a node within a task
-def _best(order, bins, wy, w, min_leaf):
-    """(gain, feature, bin) of the best split of the rows in ``order``
-    (features x rows, sorted by bin), or None."""
+def _different(order, bins, of):
+    """The places in ``order`` of features that may split its rows: those of two
+    bins at least, of several that order and cut the rows alike the first. The
+    others never win, in these rows or fewer."""
+    keep = np.flatnonzero(bins[of, order[:, 0]] != bins[of, order[:, -1]])
+    if order.shape[1] < ALIKE_ROWS:
+        return keep
+    first = {}
+    for i in keep:
+        b = bins[of[i]][order[i]]
+        first.setdefault((order[i].tobytes(), (b[1:] != b[:-1]).tobytes()), i)
+    return np.array(list(first.values()), np.int64)
+
+
+def _near_best(bits, two, rows, wy, w, min_leaf):
+    """(those of ``two`` that can split ``rows`` or fewer, those of them whose
+    gain is the highest but for round-off, from a matrix product)."""
+    if not len(two):
+        return two, two
+    sums = np.empty((len(two), wy.shape[1] + 2))
+    values = np.column_stack([wy[rows], w[rows], np.ones(len(rows))])
+    step = max(1, CELLS // len(rows))
+    for a in range(0, len(two), step):
+        sums[a:a + step] = bits[two[a:a + step, None], rows] @ values
+    whole = values.sum(0)
+    good = (sums[:, -1] >= min_leaf) & (whole[-1] - sums[:, -1] >= min_leaf)
+    two, high = two[good], sums[good, :-1]
+    low = whole[:-1] - high
+    gain = (low[:, :-1]**2).sum(1) / low[:, -1] + (high[:, :-1]**2).sum(1) / high[:, -1]
+    return two, two[gain >= gain.max(initial=0.0) * (1 - 1e-9)]
+
+
+def _best(order, bins, of, lead, wy, w, min_leaf):
+    """(gain, place in ``order``, bin) of the best split of the rows in ``order``
+    (features x rows, sorted by bin), or None. ``bins``: features x all rows;
+    ``lead``: the rows in the order in which they are added up as a whole."""
     d, m = order.shape
-    total, weight = wy[order[0]].sum(0), w[order[0]].sum()
+    total, weight = wy[lead].sum(0), w[lead].sum()
     base = (total * total).sum() / weight
     step = max(1, CELLS // (m * wy.shape[1]))
+    by_target = np.ascontiguousarray(wy.T)
     best = None
     lo, hi = min_leaf - 1, m - min_leaf                    # cut after position lo .. hi - 1
     for a in range(0, d, step):
         part = order[a:a + step]
-        b = bins[part, np.arange(a, a + len(part))[:, None]]
+        b = np.take_along_axis(bins[of[a:a + step]], part, 1)
         cut = b[:, lo:hi] != b[:, lo + 1:hi + 1]
         if not cut.any():
             continue
-        cs, cw = np.cumsum(wy[part], axis=1)[:, lo:hi], np.cumsum(w[part], axis=1)[:, lo:hi]
+        at = np.nonzero(cut)                               # by feature, then by bin; gains are needed here only
+        below = lambda v: np.cumsum(v[part], axis=1)[:, lo:hi][at]  # noqa: B023, E731
+        cs, cw = np.stack([below(v) for v in by_target], axis=1), below(w)
         rest = total - cs
-        gain = np.einsum("fmt,fmt->fm", cs, cs) / cw + np.einsum("fmt,fmt->fm", rest, rest) / np.maximum(weight - cw, 1e-300)
-        gain = np.where(cut, gain, -np.inf)
-        f, i = np.unravel_index(int(gain.argmax()), gain.shape)
-        if best is None or gain[f, i] > best[0]:
-            best = float(gain[f, i]), a + int(f), int(b[f, lo + i])
+        square = lambda v: np.einsum("fmt,fmt->fm", v[None], v[None])[0]
+        gain = square(cs) / cw + square(rest) / np.maximum(weight - cw, 1e-300)
+        k = int(gain.argmax())
+        if best is None or gain[k] > best[0]:
+            f, i = at[0][k], at[1][k]
+            best = float(gain[k]), a + int(f), int(b[f, lo + i])
     if best is None or best[0] - base <= 1e-12 * max(abs(base), 1e-300):
         return None
     return best[0] - base, best[1], best[2]
@@ -188,20 +226,38 @@ def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, min_leaf: i
         value.append(wy[rows].sum(0) / w[rows].sum())
         return len(feature) - 1
 
-    order = np.empty(bins.shape[::-1], np.int32)
-    for f in range(bins.shape[1]):
-        order[f] = np.argsort(bins[:, f], kind="stable")
+    # features of two bins are bits: no order of their rows is kept
+    by_feature = np.ascontiguousarray(bins.T)
+    least, most = (v(by_feature, axis=1, initial=i) for v, i in ((np.min, 255), (np.max, 0)))
+    two = np.array([m > n and ((c == n) | (c == m)).all() for c, n, m in zip(by_feature, least, most)], bool)
+    pairs, of = np.flatnonzero(two), np.flatnonzero(~two & (least < most))
+    bits = by_feature[pairs] == most[pairs, None]
+    order = np.empty((len(of), len(bins)), np.int32)
+    for i, f in enumerate(of):
+        order[i] = np.argsort(by_feature[f], kind="stable")
     everything = np.arange(len(bins))
-    todo = [(node(everything), everything, order, depth)]
+    lead = np.argsort(by_feature[0], kind="stable") if len(by_feature) else everything
+    todo = [(node(everything), everything, order, of, np.arange(len(pairs)), lead, depth)]
     inside = np.zeros(len(bins), bool)
     while todo:
-        at, rows, order, levels = todo.pop()
-        if levels <= 0 or len(rows) < 2 * min_leaf or not len(order):
+        at, rows, order, of, two, lead, levels = todo.pop()
+        if levels <= 0 or len(rows) < 2 * min_leaf:
             continue
-        found = _best(order, bins, wy, w, min_leaf)
+        if len(of):
+            some = _different(order, by_feature, of)
+            order, of = order[some], of[some]
+        two, near = _near_best(bits, two, rows, wy, w, min_leaf)
+        if not len(of) and not len(near):
+            continue
+        again = [np.concatenate([rows[~bits[k, rows]], rows[bits[k, rows]]]) for k in near]
+        every = np.concatenate([of, pairs[near]])
+        turn = np.argsort(every)                           # the first feature wins among equals
+        every = every[turn]
+        found = _best(np.array([*order, *again], np.int32)[turn], by_feature, every, lead, wy, w, min_leaf)
         if found is None:
             continue
         gain, f, b = found
+        f = every[f]
         inside[:] = False
         inside[rows[bins[rows, f] <= b]] = True
         low = inside[order]
@@ -210,8 +266,8 @@ def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, min_leaf: i
         gains[names[f]] += gain
         lows, highs = rows[inside[rows]], rows[~inside[rows]]
         left[at], right[at] = node(lows), node(highs)
-        todo.append((right[at], highs, order[~low].reshape(len(order), len(rows) - m), levels - 1))
-        todo.append((left[at], lows, order[low].reshape(len(order), m), levels - 1))
+        todo.append((right[at], highs, order[~low].reshape(len(order), len(rows) - m), of, two, lead[~inside[lead]], levels - 1))
+        todo.append((left[at], lows, order[low].reshape(len(order), m), of, two, lead[inside[lead]], levels - 1))
     return Tree(*map(np.array, (feature, threshold, left, right)), np.array(value)), gains
 
 
@@ -368,6 +424,8 @@ def fit_forest(train: DataFrame, num_trees: int = 200, max_depth: int = 15, min_
                          "gains": pa.array([gain.tobytes()], pa.binary())})
 
     dealt = rows.mapInArrow(deal, "tree int, node int, w double, h long, bins binary, y array<double>")
+    # much work for few bytes: more tasks than Spark would choose for their size
+    dealt = dealt.repartition(16 * train.sparkSession.sparkContext.defaultParallelism, "tree", "node")
     subtrees = cut_lineage(dealt.groupBy("tree", "node").applyInArrow(
         finish, "tree int, node int, feature binary, threshold binary, left binary, right binary, value binary, gains binary"))
 

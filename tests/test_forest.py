@@ -102,3 +102,58 @@ def test_quantile_cuts_and_constant_features(spark):
     assert len(got) == 1 and 0.2 < got.pop()[0] < 0.8
     with pytest.raises(ValueError):
         T.fit_forest(df.limit(0), 3, 5, 5)
+
+
+def test_features_of_two_bins_are_not_sorted_and_trees_stay_the_same(monkeypatch):
+    """Every feature used to be ordered and added up in every node; those of two
+    bins now come from a matrix product, and only the best are added up."""
+    rng = np.random.default_rng(9)
+    for n, min_leaf, depth in ((400, 5, 15), (37, 1, 15), (6, 2, 3), (300, 3, 0)):
+        x = np.concatenate([rng.integers(0, 9, (n, 4)), rng.random((n, 30)) < 0.3, rng.random((n, 6)) < 0.02], axis=1).astype(float)
+        x = np.concatenate([x, x[:, 5:9], 1 - x[:, 5:9], x[:, :1] * 2, np.ones((n, 1))], axis=1)[:, rng.permutation(50) % 50]
+        y = np.stack([x[:, 3] * x[:, 7] + rng.normal(0, 0.1, n), rng.normal(size=n)], axis=1)
+        w = rng.integers(1, 4, n).astype(float)
+        edges = {f: T.cut_points(np.append(x[:, f], [0.0, 1.0]), 256) for f in range(x.shape[1])}
+        bins, seen, best = T.binned(x, edges), [], T._best
+
+        def watched(order, *rest):
+            seen.append(len(order))
+            return best(order, *rest)
+
+        monkeypatch.setattr(T, "_best", watched)
+        tree, gains = T.grow(bins, y, w, depth, min_leaf, edges, x.shape[1])
+        monkeypatch.setattr(T, "_best", best)
+        assert max(seen, default=0) < 25                     # of 50 features
+
+        # the plain way: all features in every node
+        wy, count, want = y * w[:, None], 0, np.zeros(x.shape[1])
+
+        def check(at, rows, level):
+            nonlocal count
+            count += 1
+            total, weight = wy[rows].sum(0), w[rows].sum()
+            top = (-np.inf, None, None)
+            for f in range(x.shape[1]) if level < depth and len(rows) >= 2 * min_leaf else ():
+                for b in np.unique(bins[rows, f])[:-1]:
+                    low = rows[bins[rows, f] <= b]
+                    if min(len(low), len(rows) - len(low)) < min_leaf:
+                        continue
+                    s, v = wy[low].sum(0), w[low].sum()
+                    gain = (s * s).sum() / v + ((total - s)**2).sum() / (weight - v) - (total * total).sum() / weight
+                    if gain > top[0] * (1 + 1e-9) + 1e-12:
+                        top = gain, f, b
+            assert np.allclose(tree.value[at], total / weight)
+            if top[1] is None or top[0] <= 1e-9:
+                assert tree.feature[at] == -1 or top[0] > -np.inf
+                return
+            f = tree.feature[at]
+            low = x[rows, f] <= tree.threshold[at]
+            s, v = wy[rows[low]].sum(0), w[rows[low]].sum()
+            got = (s * s).sum() / v + ((total - s)**2).sum() / (weight - v) - (total * total).sum() / weight
+            assert abs(got - top[0]) <= 1e-9 * max(abs(got), 1)
+            want[f] += got
+            check(tree.left[at], rows[low], level + 1)
+            check(tree.right[at], rows[~low], level + 1)
+
+        check(0, np.arange(n), 0)
+        assert count == len(tree.feature) and np.allclose(gains, want)
