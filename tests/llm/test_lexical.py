@@ -130,3 +130,17 @@ def test_a_segment_is_built_in_bounded_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 45 << 20, most >> 20
+
+
+def test_a_task_holds_few_segments_at_once(spark, monkeypatch):
+    """A row group is read whole: all segments of a file used to be one."""
+    import pyarrow.parquet as pq
+
+    from sigflow.llm import lexical
+    monkeypatch.setattr(lexical, "SEGMENT_BYTES", 2000)
+    monkeypatch.setattr(lexical, "GROUP_BYTES", 8000)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 60), i -> md5(string(id * i)))) AS text")
+    index = lexical.build_index(docs.coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("//", "/")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)]
+    assert sum(groups) == index.count() > 300 and max(groups) <= 4
