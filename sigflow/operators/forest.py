@@ -364,7 +364,7 @@ def fit_forest(train: DataFrame, num_trees: int = 200, max_depth: int = 15, min_
     rows = cut_lineage(rows.mapInArrow(prepare, "h long, bins binary, y array<double>"))
     first = rows.agg(F.count("*").alias("n"), F.max(F.size("y")).alias("t")).first()
     targets = first["t"]
-    most = max(2 * min_leaf, LOCAL_BYTES // (d + 8 * (width + targets) + 64))    # rows of a node in one task
+    most = max(2 * min_leaf, LOCAL_BYTES // (8 * d + 64 * (targets + 4)))    # rows of a node in one task: bins, their copies and orders, targets
     blank = lambda feature: Tree(np.array([feature]), np.zeros(1), np.array([-1]), np.array([-1]), np.zeros((1, targets)))
     tops = [blank(-2 if first["n"] <= most or not d else -1) for _ in range(num_trees)]
     gains = np.zeros((num_trees, width))
